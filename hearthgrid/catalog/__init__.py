@@ -6,7 +6,7 @@ import importlib
 
 from hearthgrid.catalog import registry
 
-CHAPTERS = ("projections",)
+CHAPTERS = ("projections", "neighbours")
 
 
 def load():

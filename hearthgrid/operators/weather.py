@@ -1,10 +1,18 @@
-"""Weather tables: normalisation, run look-ups, interpolation, bias."""
+"""Weather tables: normalisation, point look-ups, interpolation and bias statistics."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthgrid.functions import scoring
+from hearthgrid.operators.neighbours import HOUR_US, micros
+from hearthgrid.operators.runs import as_of_run
+
+VARIABLES = ("u10", "v10", "t2m", "rh2m")
+
 
 def affine(x: Column, alpha, beta, low: float | None = None, high: float | None = None) -> Column:
     """``alpha + beta * x`` with an optional clamp; alpha and beta may be numbers or columns."""
@@ -20,3 +28,43 @@ def affine(x: Column, alpha, beta, low: float | None = None, high: float | None
 def normalize_truth(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Rename latitude/longitude and the foreign variable names."""
     return df.withColumnsRenamed({"latitude": "lat", "longitude": "lon", **names})
+
+
+def nearest_node(coord: str, origin: float, step: float, count: int) -> Column:
+    """Index of the nearest grid node (ties go up), clamped to the grid."""
+    return F.expr(f"least(greatest(floor(({coord} - {origin!r}D) / {step!r}D + 5e-1), 0), {count - 1})")
+
+
+def pack_series(cells: DataFrame, variables: Sequence[str]) -> DataFrame:
+    """One row per (run, node) with its short time series; its length is the number of forecast steps."""
+    step = F.struct(micros(F.col("valid_time")).alias("at"), *variables)
+    return cells.groupBy("run_id", "i", "j").agg(F.sort_array(F.collect_list(step)).alias("steps"))
+
+
+def nearest_step(steps: str, at: str) -> Column:
+    """The step nearest in time; of two equally near ones the later."""
+    return F.expr(
+        f"array_min(transform({steps}, s -> named_struct('gap', abs(s.at - {at}), 'late', -s.at, 'step', s))).step"
+    )
+
+
+def weather_at_points(points: DataFrame, runs: DataFrame, cells: DataFrame, grid: tuple[float, float, float, int],
+                      tolerance_h: int = 6, lookback_h: int = 72) -> DataFrame:
+    """id, run_id, rh2m, wind_ms, precip_mm of the as-of run at the nearest node and time.
+
+    ``points``: id, lat, lon, t_us. ``grid``: origin_lat, origin_lon, step, nodes per side. Precipitation
+    is the sum of the run's own steps in ``[t - lookback, t]``: no step gives null, all-null steps give 0.
+    """
+    lat0, lon0, step, count = grid
+    chosen = points.join(as_of_run(points, runs, tolerance_h), "id").withColumns({
+        "i": nearest_node("lat", lat0, step, count), "j": nearest_node("lon", lon0, step, count)})
+    packed = pack_series(cells, ["u10", "v10", "rh2m", "tp"])
+    met = chosen.join(packed, ["run_id", "i", "j"])
+    met = met.withColumn("near", nearest_step("steps", "t_us")).withColumn(
+        "past", F.expr(f"filter(steps, s -> s.at BETWEEN t_us - {lookback_h * HOUR_US} AND t_us)"))
+    return met.select(
+        "id", "run_id",
+        F.col("near.rh2m").alias("rh2m"),
+        scoring.wind_speed(F.col("near.u10"), F.col("near.v10")).alias("wind_ms"),
+        F.expr("CASE WHEN size(past) > 0 THEN aggregate(past, 0e0, (a, s) -> a + coalesce(s.tp, 0e0)) * 1000e0 END").alias("precip_mm"),
+    )
