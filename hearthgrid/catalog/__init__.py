@@ -6,7 +6,7 @@ import importlib
 
 from hearthgrid.catalog import registry
 
-CHAPTERS = ("projections", "neighbours")
+CHAPTERS = ("projections", "filters", "neighbours")
 
 
 def load():

@@ -55,6 +55,7 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         ),
         ("aois",),
     ),
+    "hindcast": (f"SELECT {_cols(tb.HINDCAST)} FROM lineitem", ()),
     "forecast_runs": (f"SELECT {_cols(tb.FORECAST_RUNS)} FROM orders", ()),
 }
 

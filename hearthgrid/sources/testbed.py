@@ -184,6 +184,20 @@ SCORES = {
 }
 
 
+# Forecast cells with their outcome: one per order line, sixty cases of three horizons.
+HINDCAST = {
+    "cell_id": "l_orderkey * 10 + l_linenumber",
+    "case_id": "l_orderkey % 60",
+    "ref_time": "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * (12 * (l_orderkey % 60))",
+    "horizon_h": "CASE l_linenumber % 3 WHEN 0 THEN 6 WHEN 1 THEN 12 ELSE 24 END",
+    "i": "l_partkey % 200",
+    "j": "l_suppkey % 200",
+    "y_pred": "l_quantity / 50e0",
+    "y_obs": "CASE WHEN (l_partkey * 7 + l_orderkey) % 100 < l_quantity * l_quantity / 25e0 THEN 1e0 ELSE 0e0 END",
+    "fire_t0": "CASE WHEN l_discount > 0.08e0 THEN 1e0 ELSE 0e0 END",
+}
+
+
 def select_text(columns: dict[str, str]) -> list[str]:
     # Times carry no zone, so plain literals become zone-free ones here.
     return [f"{expr.replace('TIMESTAMP ', 'TIMESTAMP_NTZ ')} AS {name}" for name, expr in columns.items()]
@@ -271,6 +285,10 @@ class Tables:
         base = self.raw("customer").selectExpr(*select_text(AOIS))
         return base.selectExpr("aoi_id", "name", "created_at", "segment", *select_text(AOI_BOX), f"array({ring}) AS rings")
 
+    @cached_property
+    def hindcast(self) -> DataFrame:
+        return self.raw("lineitem").selectExpr(*select_text(HINDCAST))
+
     @cached_property
     def forecast_runs(self) -> DataFrame:
         return self.raw("orders").selectExpr(*select_text(FORECAST_RUNS))
