@@ -6,7 +6,7 @@ import importlib
 
 from hearthgrid.catalog import registry
 
-CHAPTERS = ("projections", "filters", "neighbours")
+CHAPTERS = ("projections", "filters", "neighbours", "aggregates", "fields")
 
 
 def load():

@@ -32,6 +32,11 @@ _CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         f"SELECT run_id, run_time, valid_time, lead_h, i, j, lat, lon, {_cols(tb.TRUTH_CELLS)} FROM weather_cells",
         ("weather_cells",),
     ),
+    "truth_nodes": (
+        f"SELECT {_cols(tb.TRUTH_NODES)} FROM supplier, (SELECT unnest(range({tb.TRUTH_SHAPE[0]})) AS ti) t, "
+        f"(SELECT unnest(range({tb.TRUTH_SHAPE[1]})) AS i) a, (SELECT unnest(range({tb.TRUTH_SHAPE[2]})) AS j) b",
+        (),
+    ),
     "terrain_meta": (f"SELECT {_cols(tb.TERRAIN_META)} FROM supplier", ()),
     "dem_cells": (
         f"SELECT {_cols(tb.DEM_CELLS)} FROM (SELECT t.*, a.a, b.b FROM terrain_meta t, "

@@ -58,7 +58,7 @@ PERSIST_SQL = ("least(1e0, CASE WHEN {n} <= 1 THEN 0.2e0 WHEN {n} <= 3 THEN 0.3e
                "+ CASE WHEN {s} >= 2 THEN 0.1e0 ELSE 0e0 END)")
 WEATHER_SQL = ("greatest(least(0.5e0 + CASE WHEN {rh} > 70 THEN -0.3e0 ELSE 0e0 END + CASE WHEN {pr} > 10 THEN -0.2e0 ELSE 0e0 END "
                "+ CASE WHEN {rh} < 40 THEN 0.2e0 ELSE 0e0 END + CASE WHEN {ws} > 3 THEN 0.1e0 ELSE 0e0 END, 1e0), 0.1e0)")
-NORM_SQL = "coalesce(greatest(least({c}, 100e0), 0e0) / 100e0, 0.5e0)"
+NORM_SQL = "(CASE WHEN {c} IS NULL THEN 0.5e0 ELSE greatest(least({c}, 100e0), 0e0) / 100e0 END)"
 LIKELY_SQL = ("CASE WHEN {m} THEN 0e0 ELSE greatest(least(coalesce({c}, 0.5e0) * 0.2e0 + coalesce({p}, 0.5e0) * 0.3e0 "
               "+ coalesce({l}, 0.5e0) * 0.25e0 + coalesce({w}, 0.5e0) * 0.25e0, 1e0), 0e0) END")
 LEVEL_SQL = "CASE WHEN {s} < 0.3e0 THEN 'low' WHEN {s} < 0.6e0 THEN 'medium' ELSE 'high' END"

@@ -16,7 +16,8 @@ RISK_STATIC, RISK_DYNAMIC = 0.6, 0.4
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+    """Null stays null (least and greatest alone would skip it and return a bound)."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(high)), F.lit(low)))
 
 
 def confidence_norm(confidence: Column) -> Column:

@@ -50,12 +50,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, bin_deg
     listed = box.withColumn("bin_i", F.explode(F.expr(span.format("lat", width)))).withColumn("bin_j", F.explode(F.expr(span.format("lon", width))))
     placed = points.withColumns({"bin_i": F.expr(f"CAST(floor(lat / {width}) AS INT)"), "bin_j": F.expr(f"CAST(floor(lon / {width}) AS INT)")})
     candidates = placed.join(listed, ["bin_i", "bin_j"]).where("lat BETWEEN lat_lo AND lat_hi AND lon BETWEEN lon_lo AND lon_hi")
-    crossing = (
-        "aggregate({r}, 0, (total, ring) -> total + size(filter(sequence(1, size(ring) - 1), n -> "
-        "(ring[n - 1].lat > lat) <> (ring[n].lat > lat) AND "
-        "lon < (ring[n].lon - ring[n - 1].lon) * (lat - ring[n - 1].lat) / nullif(ring[n].lat - ring[n - 1].lat, 0e0) + ring[n - 1].lon)))"
-    ).format(r=rings)
-    return candidates.where(F.expr(crossing) % 2 == 1).drop("bin_i", "bin_j", "lat_lo", "lat_hi", "lon_lo", "lon_hi", rings)
+    return candidates.where(crossings(rings, "lat", "lon")).drop("bin_i", "bin_j", "lat_lo", "lat_hi", "lon_lo", "lon_hi", rings)
+
+
+def crossings(rings: str, lat: str, lon: str) -> Column:
+    """Even-odd test of a point against the rings held in the same row."""
+    return F.expr(
+        f"aggregate({rings}, 0, (total, ring) -> total + size(filter(sequence(1, size(ring) - 1), n -> "
+        f"(ring[n - 1].lat > {lat}) <> (ring[n].lat > {lat}) AND "
+        f"{lon} < (ring[n].lon - ring[n - 1].lon) * ({lat} - ring[n - 1].lat) / nullif(ring[n].lat - ring[n - 1].lat, 0e0) + ring[n - 1].lon)))"
+    ) % 2 == 1
 
 
 def cell_outline(cells: DataFrame, keys: list[str]) -> DataFrame:

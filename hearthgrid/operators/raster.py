@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from hearthgrid.grid import GridSpec, GridWindow
 
@@ -75,11 +74,11 @@ def difference(before: str, here: str, after: str) -> Column:
     )
 
 
-def slope_aspect(dem: DataFrame, cell_deg: float, lat_centre: Column, keys: Sequence[str]) -> DataFrame:
-    """Slope in degrees and downslope azimuth; null where undefined, aspect null where flat.
+def gradients(dem: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Central differences per cell step along i (north) and j (east), one-sided at the edges.
 
-    Neighbours come from one self-union onto the target cell and a grouped pivot, keyed by raster and
-    cell: no per-raster window, so one huge raster spreads over all tasks.
+    Neighbours come from sending every cell to its four neighbours and pivoting once per target cell,
+    keyed by raster and cell: no per-raster window, so one huge raster spreads over all tasks.
     """
     moves = F.expr(
         "array(named_struct('ti', i, 'tj', j, 'c', 0), named_struct('ti', i + 1, 'tj', j, 'c', 1), "
@@ -93,20 +92,53 @@ def slope_aspect(dem: DataFrame, cell_deg: float, lat_centre: Column, keys: Sequ
         .groupBy(*keys, "i", "j")
         .agg(
             *[F.max(F.when(F.col("c") == n, F.col("z"))).alias(name) for n, name in enumerate(names)],
-            *[F.max((F.col("c") == n)).alias(f"{name}_in") for n, name in enumerate(names)],
+            *[F.max(F.col("c") == n).alias(f"{name}_in") for n, name in enumerate(names)],
         )
         .where("z_in")
     )
-    graded = cells.withColumns({
-        "d_north": difference("south", "z", "north") / F.lit(METRES_PER_DEGREE * cell_deg),
-        "d_east": difference("west", "z", "east") / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat_centre)) * F.lit(cell_deg)),
+    return cells.select(*keys, "i", "j", "z", difference("south", "z", "north").alias("d_i"), difference("west", "z", "east").alias("d_j"))
+
+
+def slope_aspect(dem: DataFrame, cell_deg: float, lat_centre: Column, keys: Sequence[str]) -> DataFrame:
+    """Slope in degrees and downslope azimuth; null where undefined, aspect null where flat."""
+    graded = gradients(dem, keys).withColumns({
+        "north": F.col("d_i") / F.lit(METRES_PER_DEGREE * cell_deg),
+        "east": F.col("d_j") / (F.lit(METRES_PER_DEGREE) * F.cos(F.radians(lat_centre)) * F.lit(cell_deg)),
     })
-    slope = F.degrees(F.atan(F.sqrt(F.col("d_east") * F.col("d_east") + F.col("d_north") * F.col("d_north"))))
-    turned = F.degrees(F.atan2(-F.col("d_east"), -F.col("d_north"))) + F.lit(360.0)
-    graded = graded.withColumn("slope_deg", F.least(F.greatest(slope, F.lit(0.0)), F.lit(90.0)))
+    steep = F.degrees(F.atan(F.sqrt(F.col("east") * F.col("east") + F.col("north") * F.col("north"))))
+    known = F.col("east").isNotNull() & F.col("north").isNotNull()
+    graded = graded.withColumn("slope_deg", F.when(known, F.least(F.greatest(steep, F.lit(0.0)), F.lit(90.0))))
+    turned = F.degrees(F.atan2(-F.col("east"), -F.col("north"))) + F.lit(360.0)
     graded = graded.withColumn("aspect_deg", F.when(F.col("slope_deg") > 1e-9, F.pmod(turned, F.lit(360.0))))
     return graded.select(*keys, "i", "j", "z", "slope_deg", "aspect_deg")
 
 
-def neighbour_window(keys: Sequence[str], line: str, order: str):
-    return Window.partitionBy(*keys, line).orderBy(order)
+def circular_mean(degrees: Column) -> Column:
+    """Mean direction; null when the directions cancel out."""
+    s, c = F.avg(F.sin(F.radians(degrees))), F.avg(F.cos(F.radians(degrees)))
+    return F.when(F.sqrt(s * s + c * c) >= 1e-12, F.pmod(F.degrees(F.atan2(s, c)) + F.lit(360.0), F.lit(360.0)))
+
+
+def regrid(cells: DataFrame, keys: Sequence[str], value: str, first: tuple[float, float], step: float, shape: tuple[int, int],
+           new_first: tuple[float, float], new_step: float, new_shape: tuple[int, int]) -> DataFrame:
+    """Bilinear resampling of every raster onto a new regular grid (centres at new_first + n * new_step).
+
+    Each source square carries its four corners and generates the new nodes that fall into it, so the
+    work is one pivot and one explode; no join with the target grid at all.
+    """
+    square = quads(cells, value, keys).where(f"bi BETWEEN 0 AND {shape[0] - 2} AND bj BETWEEN 0 AND {shape[1] - 2}")
+
+    def span(base: str, axis: int) -> Column:
+        to_new = f"(({first[axis]!r}D + {{}} * {step!r}D) - {new_first[axis]!r}D) / {new_step!r}D - 1e-9"
+        start = f"CAST(ceil({to_new.format(base)}) AS BIGINT)"
+        # The last square also owns the nodes on its far edge.
+        stop = (f"CASE WHEN {base} = {shape[axis] - 2} THEN CAST(floor({to_new.format(f'({base} + 1)')} + 2e-9) AS BIGINT) "
+                f"ELSE CAST(ceil({to_new.format(f'({base} + 1)')}) AS BIGINT) - 1 END")
+        return F.expr(f"filter(CASE WHEN {stop} >= {start} THEN sequence({start}, {stop}) ELSE array() END, n -> n BETWEEN 0 AND {new_shape[axis] - 1})")
+
+    nodes = square.withColumn("i", F.explode(span("bi", 0))).withColumn("j", F.explode(span("bj", 1)))
+    fi = f"(({new_first[0]!r}D + i * {new_step!r}D) - {first[0]!r}D) / {step!r}D - bi"
+    fj = f"(({new_first[1]!r}D + j * {new_step!r}D) - {first[1]!r}D) / {step!r}D - bj"
+    placed = nodes.withColumns({"fi": F.expr(fi), "fj": F.expr(fj)})
+    mix = "z00 * (1e0 - fi) * (1e0 - fj) + z01 * (1e0 - fi) * fj + z10 * fi * (1e0 - fj) + z11 * fi * fj"
+    return placed.select(*keys, "i", "j", F.expr(mix).alias(value))

@@ -76,3 +76,29 @@ def as_of_run(points: DataFrame, runs: DataFrame, tolerance_h: int = 6) -> DataF
         .agg(F.max_by(F.struct("run_id", "run_time"), F.struct("run_time", "created_at", "run_id")).alias("run"))
         .select("id", "run.run_id", "run.run_time")
     )
+
+
+def latest_run_for_boxes(boxes: DataFrame, runs: DataFrame) -> DataFrame:
+    """Newest completed run at or before ``at`` that covers each box (id, box, at); no age limit.
+
+    Runs reduce to distinct boxes first: for one box only its newest run in time can win, so a request
+    meets each distinct run box once, found through the map tile of its south-west corner.
+    """
+    ready = runs.where("status = 'completed'")
+    listed = ready.groupBy(*[F.col(c).alias(f"r_{c}") for c in BOX]).agg(
+        F.sort_array(F.collect_list(F.struct("run_time", "created_at", "run_id")), asc=False).alias("runs"))
+
+    def tiles(low: str, high: str, shift: int):
+        return F.explode(F.expr(f"sequence(CAST(floor((coalesce({low}, -{shift}e0) + {shift}e0) / {TILE_DEG}) AS INT), "
+                                f"CAST(floor((coalesce({high}, {shift}e0) + {shift}e0) / {TILE_DEG}) AS INT))"))
+
+    tiled = listed.withColumn("tile_i", tiles("r_min_lat", "r_max_lat", 90)).withColumn("tile_j", tiles("r_min_lon", "r_max_lon", 180))
+    asked = boxes.withColumns({
+        "tile_i": F.expr(f"CAST(floor((min_lat + 90e0) / {TILE_DEG}) AS INT)"),
+        "tile_j": F.expr(f"CAST(floor((min_lon + 180e0) / {TILE_DEG}) AS INT)"),
+    })
+    met = asked.join(tiled, ["tile_i", "tile_j"]).where(
+        "coalesce(r_min_lon, -180e0) <= min_lon AND coalesce(r_max_lon, 180e0) >= max_lon "
+        "AND coalesce(r_min_lat, -90e0) <= min_lat AND coalesce(r_max_lat, 90e0) >= max_lat")
+    best = met.withColumn("best", F.expr("filter(runs, r -> r.run_time <= at)[0]")).where("best IS NOT NULL")
+    return best.groupBy("id").agg(F.max("best").alias("best")).select("id", "best.run_id", "best.run_time")

@@ -109,6 +109,17 @@ TRUTH_CELLS = {
     "rh2m": "rh2m * 0.95e0",
 }
 
+# Reference fields on a coarser grid: every 6 h and every 4 degrees.
+TRUTH_NODES = {
+    "run_id": "s_suppkey",
+    "ti": "ti",
+    "i": "i",
+    "j": "j",
+    "u10": "CAST((s_suppkey * 5 + i * 3 + j + ti) % 17 - 8 AS DOUBLE)",
+    "t2m": "CAST(268 + (s_suppkey + i * 2 + j * 3 + ti) % 29 AS DOUBLE)",
+}
+TRUTH_SHAPE = (5, 6, 6)
+
 # Terrain tiles of 20 x 20 cells of 0.1 degree; a region may have several versions.
 TERRAIN_META = {
     "terrain_id": "s_suppkey",
@@ -253,6 +264,13 @@ class Tables:
         keep = ["run_id", "run_time", "valid_time", "lead_h", "i", "j", "lat", "lon"]
         return self.weather_cells.selectExpr(*keep, *select_text(TRUTH_CELLS))
 
+    @cached_property
+    def truth_nodes(self) -> DataFrame:
+        out = self.raw("supplier").select("s_suppkey")
+        for name, count in zip(("ti", "i", "j"), TRUTH_SHAPE):
+            out = out.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        return out.selectExpr(*select_text(TRUTH_NODES))
+
     @cached_property
     def terrain_meta(self) -> DataFrame:
         return self.raw("supplier").selectExpr(*select_text(TERRAIN_META))
