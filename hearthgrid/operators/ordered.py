@@ -50,3 +50,18 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], bucket: Colum
         low, high = held(F.floor(at)), held(F.ceil(at))
         aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
     return ranked.agg(*aggs)
+
+
+def grouped_rank(df: DataFrame, keys: Sequence[str], order: str, bucket: Column, out: str = "rank") -> DataFrame:
+    """Exact rank inside each group in the order of a unique column, without one window per whole group.
+
+    Rows are ranked inside (group, bucket); the sizes of the buckets before are added. ``bucket`` must grow
+    with ``order`` and have a bounded number of values.
+    """
+    placed = df.withColumn("_bucket", bucket)
+    sizes = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    ranked = placed.withColumn("_local", F.row_number().over(inside))
+    return ranked.join(bases, [*keys, "_bucket"]).withColumn(out, F.col("_base") + F.col("_local")).drop("_bucket", "_base", "_local")

@@ -2,9 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from hearthgrid.operators.metrics import brier, calibration_error, probability_bin
 
 
 def candidates(cells: DataFrame, p_min: float) -> DataFrame:
     return cells.where((F.col("fire_t0") > 0) | (F.col("y_pred") >= p_min))
+
+
+def binned_knots(cells: DataFrame) -> DataFrame:
+    """Monotone calibration curve from ten probability bins: (horizon_h, xs, ys), at most ten knots each."""
+    bins = cells.groupBy("horizon_h", probability_bin(F.col("y_pred")).alias("bin")).agg(F.avg("y_pred").alias("x"), F.avg("y_obs").alias("y"))
+    rising = Window.partitionBy("horizon_h").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    knots = bins.withColumn("y", F.max("y").over(rising))
+    listed = F.sort_array(F.collect_list(F.struct("x", "y")))
+    return knots.groupBy("horizon_h").agg(listed.alias("k")).select("horizon_h", F.transform("k", lambda p: p["x"]).alias("xs"), F.transform("k", lambda p: p["y"]).alias("ys"))
+
+
+def interpolate(p: str, xs: str = "xs", ys: str = "ys") -> Column:
+    """Piecewise linear between knots, constant outside; raw value where there is no model; clipped to [0, 1]."""
+    at = f"size(filter({xs}, x -> x <= {p}))"
+    inner = f"{ys}[{at} - 1] + ({ys}[{at}] - {ys}[{at} - 1]) * ({p} - {xs}[{at} - 1]) / ({xs}[{at}] - {xs}[{at} - 1])"
+    value = f"CASE WHEN {xs} IS NULL THEN {p} WHEN {at} = 0 THEN {ys}[0] WHEN {at} >= size({xs}) THEN {ys}[size({ys}) - 1] ELSE {inner} END"
+    return F.expr(f"least(greatest({value}, 0e0), 1e0)")
+
+
+def apply_knots(cells: DataFrame, knots: DataFrame, p: str = "y_pred", out: str = "y_cal") -> DataFrame:
+    """Calibrated probability per row. One model row per horizon: a small join, no driver round trip."""
+    return cells.join(knots, "horizon_h", "left").withColumn(out, interpolate(p)).drop("xs", "ys")
+
+
+def evaluate(cells: DataFrame, raw: str = "y_pred", cal: str = "y_cal") -> DataFrame:
+    """Brier score and expected calibration error per horizon, raw and calibrated."""
+    scores = cells.groupBy("horizon_h").agg(brier("y_obs", raw).alias("brier_raw"), brier("y_obs", cal).alias("brier_cal"))
+    ece_raw = calibration_error(cells, "y_obs", raw, ["horizon_h"]).select("horizon_h", F.col("ece").alias("ece_raw"), "n")
+    ece_cal = calibration_error(cells, "y_obs", cal, ["horizon_h"]).select("horizon_h", F.col("ece").alias("ece_cal"))
+    return scores.join(ece_raw, "horizon_h").join(ece_cal, "horizon_h")
+
+
+def oldest_cases(cells: DataFrame, share: float, case: str = "ref_time") -> DataFrame:
+    """Flag rows of the oldest ``int(n * share)`` cases."""
+    from hearthgrid.plans.training import split_by_time_steps
+    return split_by_time_steps(cells, case, share)
+
+
+def fit_horizons(train: DataFrame, method: str = "isotonic") -> DataFrame:
+    """Fit one calibrator per horizon and return its knots (horizon_h, xs, ys).
+
+    Platt scaling needs both classes, else the isotonic fit is used; its curve is tabulated at 101 points
+    so every model is applied the same way.
+    """
+    if method not in ("isotonic", "platt"):
+        raise ValueError(f"unknown calibration method: {method}")
+    spark, rows = train.sparkSession, []
+    classes = train.groupBy("horizon_h").agg(F.count_distinct(F.col("y_obs") > 0.5).alias("n")).orderBy("horizon_h").collect()  # one row per horizon
+    for horizon, n in classes:
+        part = train.where(F.col("horizon_h") == horizon)
+        if method == "platt" and n == 2:
+            data = VectorAssembler(inputCols=["y_pred"], outputCol="features").transform(part)
+            fit = LogisticRegression(labelCol="y_obs", featuresCol="features", maxIter=50).fit(data)
+            a, b = float(fit.intercept), float(fit.coefficients[0])
+            grid = [k / 100.0 for k in range(101)]
+            curve = spark.createDataFrame([(x,) for x in grid], "x double").select(F.collect_list("x").alias("xs")).withColumn(
+                "ys", F.transform("xs", lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) + F.lit(b) * x)))))
+            xs, ys = curve.first()
+        else:
+            fit = IsotonicRegression(labelCol="y_obs", featuresCol="y_pred").fit(part)
+            xs, ys = _distinct_knots(fit.boundaries.toArray().tolist(), fit.predictions.toArray().tolist())
+        rows.append((horizon, [float(x) for x in xs], [float(y) for y in ys]))
+    return spark.createDataFrame(rows, "horizon_h int, xs array<double>, ys array<double>")
+
+
+def _distinct_knots(xs: list[float], ys: list[float]) -> tuple[list[float], list[float]]:
+    kept = [n for n in range(len(xs)) if n == 0 or xs[n] > xs[n - 1]]
+    return [xs[n] for n in kept], [ys[n] for n in kept]

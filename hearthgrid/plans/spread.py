@@ -1,4 +1,4 @@
-"""Spread forecasts: inputs, neighbourhood sums, normalisation."""
+"""Spread forecasts: runs, inputs, neighbourhood sums, normalisation."""
 
 from __future__ import annotations
 
@@ -7,6 +7,117 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthgrid.functions.spread import KernelConfig, cell_km, kernel_half, kernel_weight
+from hearthgrid.grid import GridSpec, with_cell
+from hearthgrid.operators.heatmap import cell_values, noise_weight
+from hearthgrid.operators.neighbours import HOUR_US, micros
+from hearthgrid.operators.runs import latest_run_for_boxes
+from hearthgrid.operators.weather import nearest_node, nearest_step, pack_series
+
+CELL = ["run_id", "horizon_h", "i", "j"]
+RUN_STEP = ["run_id", "horizon_h"]
+
+
+def reference_runs(detections: DataFrame, every_h: int = 24) -> DataFrame:
+    """(run_id, ref_time): the end of every time bucket that has detections."""
+    slot = F.floor(micros(F.col("acq_time")) / F.lit(every_h * HOUR_US)) + 1
+    return detections.select(slot.alias("run_id")).distinct().withColumn(
+        "ref_time", F.timestamp_micros(F.col("run_id") * F.lit(every_h * HOUR_US)).cast("timestamp_ntz"))
+
+
+def in_windows(detections: DataFrame, windows: DataFrame, width_h: int) -> DataFrame:
+    """Pair detections with windows ``[end - width, end]`` they fall into.
+
+    ``windows`` has ``end_us`` and any other columns. Both sides meet in slots of one width, so a
+    detection is listed twice at most and never meets windows far away in time.
+    """
+    width = width_h * HOUR_US
+    dets = detections.withColumn("t_us", micros(F.col("acq_time"))).withColumn(
+        "slot", F.explode(F.expr(f"array(floor(t_us / {width}), floor(t_us / {width}) + 1)")))
+    wins = windows.withColumn("slot", F.expr(f"floor(end_us / {width})"))
+    return dets.join(wins, "slot").where(f"t_us BETWEEN end_us - {width} AND end_us").drop("slot", "t_us", "end_us")
+
+
+def active_cells(detections: DataFrame, runs: DataFrame, grid: GridSpec, lookback_h: int = 24) -> DataFrame:
+    """(run_id, i, j, fire): largest noise-weighted value of the look-back window; zero cells are absent."""
+    windows = runs.select("run_id", micros(F.col("ref_time")).alias("end_us"))
+    seen = in_windows(detections.select("lat", "lon", "acq_time", "denoised_score"), windows, lookback_h)
+    cells = cell_values(with_cell(seen, grid, drop_outside=True), "max", noise_weight(), ["run_id"])
+    return cells.withColumnRenamed("value", "fire")
+
+
+def node_weather(runs: DataFrame, weather_runs: DataFrame, cells: DataFrame, grid: GridSpec, horizons: Sequence[int]) -> DataFrame:
+    """(run_id, horizon_h, ni, nj, u10, v10, t2m, rh2m): newest run covering the grid, step nearest to ref + horizon."""
+    west, south, east, north = grid.bounds
+    boxes = runs.select(F.col("run_id").alias("id"), F.lit(west).alias("min_lon"), F.lit(south).alias("min_lat"),
+                        F.lit(east).alias("max_lon"), F.lit(north).alias("max_lat"), F.col("ref_time").alias("at"))
+    chosen = latest_run_for_boxes(boxes, weather_runs).select(F.col("id").alias("spread_run"), "run_id")
+    refs = runs.select(F.col("run_id").alias("spread_run"), micros(F.col("ref_time")).alias("ref_us"))
+    packed = pack_series(cells, ["u10", "v10", "t2m", "rh2m"]).withColumnsRenamed({"i": "ni", "j": "nj"})
+    steps = packed.join(chosen, "run_id").join(refs, "spread_run").withColumn("horizon_h", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    near = steps.withColumn("target_us", F.expr(f"ref_us + horizon_h * {HOUR_US}")).withColumn("s", nearest_step("steps", "target_us"))
+    return near.select(F.col("spread_run").alias("run_id"), "horizon_h", "ni", "nj", "s.u10", "s.v10", "s.t2m", "s.rh2m")
+
+
+def run_steps(runs: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    return runs.withColumn("horizon_h", F.explode(F.array(*[F.lit(h) for h in horizons])))
+
+
+def mean_wind(runs: DataFrame, horizons: Sequence[int], nodes: DataFrame, grid: GridSpec, weather_grid: tuple) -> DataFrame:
+    """Window-mean wind per run and horizon; calm where a run has no weather.
+
+    The mean is over grid cells, so every node counts as often as it is the nearest one of a cell.
+    """
+    lat0, lon0, step, count = weather_grid
+    share = (
+        grid.cells(runs.sparkSession).withColumns({"lat": grid.lat_centre(F.col("i")), "lon": grid.lon_centre(F.col("j"))})
+        .withColumns({"ni": nearest_node("lat", lat0, step, count), "nj": nearest_node("lon", lon0, step, count)})
+        .groupBy("ni", "nj").agg(F.count(F.lit(1)).alias("cells"))
+    )
+    wind = nodes.join(share, ["ni", "nj"]).groupBy(*RUN_STEP).agg(
+        (F.sum(F.col("u10") * F.col("cells")) / F.sum("cells")).alias("u"), (F.sum(F.col("v10") * F.col("cells")) / F.sum("cells")).alias("v"))
+    return run_steps(runs, horizons).join(wind, RUN_STEP, "left").withColumns({"u": F.coalesce("u", F.lit(0.0)), "v": F.coalesce("v", F.lit(0.0))})
+
+
+def cell_weather(cells: DataFrame, nodes: DataFrame, grid: GridSpec, weather_grid: tuple) -> DataFrame:
+    """Weather at the nearest node of each (run, horizon, cell); wind falls back to calm, the rest stays null."""
+    lat0, lon0, step, count = weather_grid
+    placed = cells.withColumns({"lat": grid.lat_centre(F.col("i")), "lon": grid.lon_centre(F.col("j"))}).withColumns(
+        {"ni": nearest_node("lat", lat0, step, count), "nj": nearest_node("lon", lon0, step, count)})
+    met = placed.join(nodes, [*RUN_STEP, "ni", "nj"], "left").drop("ni", "nj")
+    return met.withColumns({"u10": F.coalesce("u10", F.lit(0.0)), "v10": F.coalesce("v10", F.lit(0.0))})
+
+
+def spread_inputs(cells: DataFrame, horizons: Sequence[int], nodes: DataFrame, terrain: DataFrame, grid: GridSpec, weather_grid: tuple) -> DataFrame:
+    """Model inputs per run, horizon and cell: fire, terrain with aspect parts, weather."""
+    met = cell_weather(run_steps(cells, horizons), nodes, grid, weather_grid)
+    joined = met.join(terrain.select("i", "j", "z", "slope_deg", "aspect_deg"), ["i", "j"], "left")
+    return joined.withColumns({
+        "aspect_sin": F.sin(F.radians("aspect_deg")), "aspect_cos": F.cos(F.radians("aspect_deg")),
+        "wind_speed": F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10")),
+    }).withColumnRenamed("z", "elevation_m")
+
+
+def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig()) -> DataFrame:
+    """Sum of the decay weights of all active cells around each cell, per run and horizon.
+
+    Every active cell unrolls its own neighbourhood in place (the weight is plain column arithmetic, no
+    offsets table is shipped) and equal target cells are added up before the shuffle.
+    """
+    mean_lat = F.lit(grid.origin_lat + grid.n_lat * grid.cell / 2.0)
+    dy, dx = cell_km(grid.cell, mean_lat)
+    shaped = wind.withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn(
+        "half", kernel_half(F.col("horizon_h"), F.col("wind"), dy, dx, cfg).cast("int")).drop("ref_time")
+    burning = active.where(F.col("fire") > cfg.fire_threshold).select("run_id", F.col("i").alias("ai"), F.col("j").alias("aj"))
+    spans = (
+        burning.join(shaped, "run_id")
+        .withColumn("di", F.explode(F.expr("sequence(-half, half)"))).where(f"ai + di BETWEEN 0 AND {grid.n_lat - 1}")
+        .withColumn("dj", F.explode(F.expr("sequence(-half, half)"))).where(f"aj + dj BETWEEN 0 AND {grid.n_lon - 1}")
+    )
+    weight = kernel_weight(F.col("di").cast("double"), F.col("dj").cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg)
+    return spans.select(*RUN_STEP, (F.col("ai") + F.col("di")).alias("i"), (F.col("aj") + F.col("dj")).alias("j"), weight.alias("w")).groupBy(*CELL).agg(
+        F.sum("w").alias("p"))
+
 
 def normalise_by_max(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Divide by the largest value of each forecast and clip to [0, 1].
@@ -16,3 +127,32 @@ def normalise_by_max(cells: DataFrame, keys: Sequence[str], value: str) -> DataF
     top = cells.groupBy(*keys).agg(F.max(value).alias("_top"))
     scaled = F.when(F.col("_top") > 0, F.col(value) / F.col("_top")).otherwise(F.col(value))
     return cells.join(top, list(keys)).withColumn(value, F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("_top")
+
+
+def apply_masks(cells: DataFrame, mask: DataFrame, value: str = "p") -> DataFrame:
+    """Zero outside the mask (i, j, valid); cells the mask does not know count as invalid."""
+    met = cells.join(mask.select("i", "j", F.col("valid").alias("_ok")), ["i", "j"], "left")
+    return met.withColumn(value, F.when(F.coalesce("_ok", F.lit(False)), F.col(value)).otherwise(F.lit(0.0))).drop("_ok")
+
+
+def heuristic_forecast(active: DataFrame, wind: DataFrame, mask: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig()) -> DataFrame:
+    """Sparse forecast (run_id, horizon_h, i, j, p): sums, then normalised by the maximum, then masked."""
+    return apply_masks(normalise_by_max(kernel_sums(active, wind, grid, cfg), RUN_STEP, "p"), mask)
+
+
+MODELS = {"heuristic_v0": heuristic_forecast}
+
+
+def model(name: str):
+    """Look a forecast model up by name."""
+    if name not in MODELS:
+        raise ValueError(f"unknown spread model: {name}")
+    return MODELS[name]
+
+
+def horizon_slice(forecast: DataFrame, run_id: int, horizon_h: int) -> DataFrame:
+    """Cells of exactly one horizon; an absent horizon is an error, never replaced by the nearest."""
+    out = forecast.where((F.col("run_id") == run_id) & (F.col("horizon_h") == horizon_h))
+    if out.isEmpty():
+        raise ValueError(f"run {run_id} has no horizon {horizon_h}")
+    return out

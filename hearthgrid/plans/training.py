@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.operators.metrics import confusion_at, min_max
 from hearthgrid.operators.neighbours import HOUR_US, micros
-from hearthgrid.operators.ordered import quantiles, running_totals, unit_bucket
+from hearthgrid.operators.ordered import grouped_rank, quantiles, running_totals, unit_bucket
 
 
 def bad_labels(df: DataFrame, label: str = "label_numeric") -> DataFrame:
@@ -92,21 +92,18 @@ def split_by_time_steps(df: DataFrame, time: str, share: float) -> DataFrame:
 def split_stratified(df: DataFrame, y: str, key: str, eval_share: float, seed: int) -> DataFrame:
     """Deterministic random split with both classes in eval.
 
-    Rows are ordered by a hash of (key, seed). The first row of each class goes to eval, and the rest of
-    eval is filled in hash order. With fewer than two rows in a class the hash order alone decides.
+    Rows are ordered by md5(key|seed). The first row of each class goes to eval, and the rest of eval is
+    filled in hash order. With fewer than two rows in a class the hash order alone decides.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    sizes = hashed.agg(F.struct(
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    s = hashed.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"),
-        F.min_by(key, F.when(F.col(y) == 1, F.struct("_h", key))).alias("first_pos"),
-        F.min_by(key, F.when(F.col(y) == 0, F.struct("_h", key))).alias("first_neg"),
+        F.min(F.when(F.col(y) == 1, F.col("_h"))).alias("first_pos"), F.min(F.when(F.col(y) == 0, F.col("_h"))).alias("first_neg"),
     ).alias("s")).scalar()
-    wanted = F.greatest(F.lit(1), F.least(sizes["n"] - 1, F.ceil(F.lit(eval_share) * sizes["n"])))
-    force = (sizes["pos"] >= 2) & (sizes["neg"] >= 2) & (wanted >= 2)
-    seeded = force & ((F.col(key) == sizes["first_pos"]) | (F.col(key) == sizes["first_neg"]))
-    # Rank all rows by (seeded first, hash): folded per hash value, totals per hash range.
-    marked = hashed.withColumn("_rank_key", F.when(seeded, F.lit(-(2 ** 63)).cast("long")).otherwise(F.col("_h")))
-    folded = marked.groupBy("_rank_key").agg(F.count(F.lit(1)).alias("m"))
-    ranked = running_totals(folded, "_rank_key", ["m"], F.shiftright("_rank_key", 52))
-    return marked.join(ranked.select("_rank_key", "upto_m"), "_rank_key").withColumn(
-        "part", F.when(F.col("upto_m") <= wanted, "eval").otherwise("train")).drop("_h", "_rank_key", "upto_m")
+    wanted = F.greatest(F.lit(1), F.least(s["n"] - 1, F.ceil(F.lit(eval_share) * s["n"])))
+    force = (s["pos"] >= 2) & (s["neg"] >= 2) & (wanted >= 2)
+    seeded = force & ((F.col("_h") == s["first_pos"]) | (F.col("_h") == s["first_neg"]))
+    # Two-step rank over (seeded first, hash): hashes are spread evenly over 4096 prefixes.
+    marked = hashed.withColumn("_order", F.concat(F.when(seeded, "").otherwise("~"), F.col("_h")))
+    ranked = grouped_rank(marked, [], "_order", F.when(seeded, "").otherwise(F.substring("_h", 1, 3)), "_rank")
+    return ranked.withColumn("part", F.when(F.col("_rank") <= wanted, "eval").otherwise("train")).drop("_h", "_order", "_rank")
