@@ -6,7 +6,7 @@ import importlib
 
 from hearthgrid.catalog import registry
 
-CHAPTERS = ("projections", "filters", "neighbours", "aggregates", "fields", "spreading")
+CHAPTERS = ("projections", "filters", "neighbours", "aggregates", "fields", "spreading", "io", "learning")
 
 
 def load():
