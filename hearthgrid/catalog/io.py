@@ -15,7 +15,7 @@ from hearthgrid.operators import tables
 from hearthgrid.plans import contours, ingest, scoring
 from hearthgrid.session import scratch_path
 from hearthgrid.sources import readers, sinks
-from hearthgrid.sources.testbed import RAW_ROWS, select_text
+from hearthgrid.sources.testbed import DETECTIONS, RAW_ROWS, Tables, select_text
 from hearthgrid.streaming import ingest as stream
 
 D = with_ctes("detections")
@@ -195,18 +195,17 @@ def str_buckets(t):
     "g": "SELECT *, CASE WHEN acq_time - lag(acq_time) OVER (PARTITION BY ti, tj ORDER BY acq_time) < INTERVAL '9' HOUR THEN 0 ELSE 1 END AS gap FROM r", "e": "SELECT *, sum(gap) OVER (PARTITION BY ti, tj ORDER BY acq_time) AS ev FROM g"}) +
        "SELECT ti, tj, min(acq_time) AS event_start, count(*) AS detections FROM e GROUP BY ti, tj, ev HAVING max(acq_time) + INTERVAL '9' HOUR <= (SELECT max(acq_time) FROM detections) - INTERVAL '10' DAY")
 def str_events(t):
-    from hearthgrid.sources.testbed import DETECTIONS
     d = _stream_events(t).selectExpr(*select_text(DETECTIONS)).select(F.floor((F.col("lat") - 40) / 2).alias("ti"), F.floor((F.col("lon") - 22) / 2).alias("tj"), "acq_time")
     return stream.run_available(stream.events(d, ["ti", "tj"], 6), "events")
 
 
 @query("str_score_batch", with_ctes("scored") + "SELECT id, round(" + LIKELY_SQL.format(m="masked", c="confidence_score", p="persistence_score", l="landcover_score", w="weather_score") + ", 6) AS fire_likelihood FROM scored")
 def str_score(t):
-    from hearthgrid.sources.testbed import DETECTIONS
     rows = _stream_events(t).selectExpr(*select_text(DETECTIONS)).select("id", "lat", "lon", "acq_time", "sensor", "confidence")
 
     def score(batch):
-        got = scoring.score_detections(batch, t.industrial, t.landcover, COARSE, t.weather_runs, t.weather_cells, WGRID)
+        side = Tables(batch.sparkSession, t.folder)
+        got = scoring.score_detections(batch, side.industrial, side.landcover, COARSE, side.weather_runs, side.weather_cells, WGRID)
         return got.select("id", "fire_likelihood")
 
     return stream.score_batches(rows, "scores", [score]).select("id", r6(F.col("fire_likelihood")).alias("fire_likelihood"))

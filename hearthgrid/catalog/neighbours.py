@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthgrid.catalog.ansi import add_cte, metres, with_ctes
+from hearthgrid.catalog.ansi import add_cte, haversine, metres, with_ctes
 from hearthgrid.catalog.projections import COARSE, LANDCOVER_SQL, LIKELY_SQL, NORM_SQL, PERSIST_SQL, WEATHER_SQL, r6
 from hearthgrid.catalog.registry import query
 from hearthgrid.operators.neighbours import HOUR_US, Span, attach_counts, micros, neighbour_counts
+from hearthgrid.operators.nearest import nearest_before
 from hearthgrid.operators.proximity import near_any
 from hearthgrid.operators.raster import sample_cell
 from hearthgrid.operators.runs import as_of_run
@@ -139,3 +140,13 @@ def score_detections(t):
     got = plan.score_detections(t.detections, t.industrial, t.landcover, COARSE, t.weather_runs, t.weather_cells, WGRID)
     rounded = ("confidence_score", "persistence_score", "weather_score", "fire_likelihood")
     return got.select("id", "cluster_size", "sensor_count", "masked", "landcover_score", *[r6(F.col(c)).alias(c) for c in rounded])
+
+
+@query("join_nn_24h", with_ctes("detections", extra={
+    "x": f"SELECT a.id, (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) AS planar, {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM detections a JOIN detections b "
+         "ON b.acq_time BETWEEN a.acq_time - INTERVAL '24' HOUR AND a.acq_time AND b.id <> a.id",
+    "m": "SELECT id, min(planar) AS planar FROM x GROUP BY 1", "y": "SELECT x.id, min(km) AS km FROM x JOIN m ON x.id = m.id AND x.planar = m.planar GROUP BY 1"}) +
+       "SELECT d.id, round(coalesce(km, 999e0), 6) AS dist_nn_24h_km FROM detections d LEFT JOIN y USING (id)")
+def nn_24h(t):
+    d = t.detections.select("id", "lat", "lon", "acq_time")
+    return attach_counts(d, nearest_before(d)).select("id", r6(F.col("nn_km")).alias("dist_nn_24h_km"))

@@ -187,6 +187,16 @@ def _dense_part(targets, rows, crowded, spans, cells, offsets, group):
         key.append("g_key")
         stream = stream.withColumn("g_key", F.expr(f"coalesce(concat('=', {group}), '-')"))
         questions = questions.join(stream.select(*key, group).distinct(), UNIT)
+    answered = count_upto(stream, questions, key)
+    return answered.selectExpr(
+        *POINT, *tag, *[f"CASE WHEN span = '{s.name}' THEN sign * upto ELSE 0L END AS {s.name}" for s in spans])
+
+
+def count_upto(stream: DataFrame, questions: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Add ``upto``: how many events (weight n) of the same key have ``at_us`` at or before the question's.
+
+    Equal questions are asked once, so the sorted stream of a key is bounded by its distinct instants.
+    """
     moments = questions.select(*key, "at_us").distinct().selectExpr(*key, "at_us", "0L AS n", "1 AS asked")
     running = Window.partitionBy(*key).orderBy("at_us", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     answers = (
@@ -194,8 +204,7 @@ def _dense_part(targets, rows, crowded, spans, cells, offsets, group):
         .withColumn("upto", F.sum("n").over(running))
         .where("asked = 1").select(*key, "at_us", "upto")
     )
-    return questions.join(answers, [*key, "at_us"]).selectExpr(
-        *POINT, *tag, *[f"CASE WHEN span = '{s.name}' THEN sign * upto ELSE 0L END AS {s.name}" for s in spans])
+    return questions.join(answers, [*key, "at_us"])
 
 
 def _units(rows: DataFrame, cells: DistanceCells, level: int) -> DataFrame:

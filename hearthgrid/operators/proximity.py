@@ -12,7 +12,8 @@ def near_any(df: DataFrame, places: DataFrame, radius_m: float, out: str) -> Dat
 
     Each place is listed in the few cells its disc can touch; rows meet it through an equi-join on their
     own cell. The existence join keeps one row per detection however many places match, and Spark
-    broadcasts the places only while their estimated size allows it.
+    broadcasts the places only while their estimated size allows it. Both frames must belong to one
+    session (inside a micro-batch: read the places through the batch's session).
     """
     cells = DistanceCells(radius_m)
     around = cells.explode_cover(places.select("lat", "lon").distinct()).selectExpr(

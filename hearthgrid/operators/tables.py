@@ -49,6 +49,6 @@ def ledger_state(entries: DataFrame, key: str, order: str, meta: str = "metadata
     """
     values = [c for c in entries.columns if c not in (key, order, meta)]
     last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in values]
-    listed = F.sort_array(F.collect_list(F.struct(order, meta)))
+    listed = F.array_sort(F.collect_list(F.struct(order, meta)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
     merged = F.aggregate(listed, F.create_map().cast("map<string,string>"), lambda acc, e: F.map_concat(acc, F.coalesce(e[meta], F.create_map().cast("map<string,string>"))))
     return entries.groupBy(key).agg(*last, merged.alias(meta))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hearthgrid.operators import metrics
 
 from hearthgrid.plans.training import split_at_quantile, with_sample_weight
+from hearthgrid.session import materialize
 
 FEATURES = (
     "frp", "brightness", "bright_t31", "brightness_minus_t31", "confidence_norm", "is_day", "sin_hour", "cos_hour", "sin_doy", "cos_doy",
@@ -35,7 +36,7 @@ def with_missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_boosted(train: DataFrame, columns: Sequence[str], label: str, rounds: int = 10, depth: int = 4, seed: int = 42) -> PipelineModel:
     """Boosted trees with balanced weights; gaps are filled with the training median."""
-    ready = with_sample_weight(with_missing_flags(train, columns), label)
+    ready = with_sample_weight(with_missing_flags(train.select(label, *columns), columns), label)
     filled = [f"{c}_filled" for c in columns]
     stages = [
         Imputer(strategy="median", inputCols=list(columns), outputCols=filled),
@@ -52,7 +53,8 @@ def predict(model: PipelineModel, df: DataFrame, columns: Sequence[str], out: st
 
 def train_denoiser(labelled: DataFrame, columns: Sequence[str] = FEATURES, share: float = 0.8, gap_hours: int = 0) -> tuple[PipelineModel, DataFrame]:
     """Fit on the older part; returns the model and the scored newer part."""
-    parts = split_at_quantile(labelled, "acq_time", share, gap_hours=gap_hours)
+    # The trees pass over the data many times, so the split is written once.
+    parts = materialize(split_at_quantile(labelled, "acq_time", share, gap_hours=gap_hours), "training-parts")
     model = fit_boosted(parts.where("part = 'train'"), columns, "label_numeric")
     return model, predict(model, parts.where("part = 'eval'"), columns)
 

@@ -17,8 +17,9 @@ EXPORT_LIMIT = 10_000
 
 def through_csv(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or scratch_path(df.sparkSession, name)
-    df.write.csv(path, header=True)
-    return df.sparkSession.read.csv(path, header=True, schema=df.schema)
+    stamp = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    df.write.option("timestampNTZFormat", stamp).csv(path, header=True)
+    return df.sparkSession.read.option("timestampNTZFormat", stamp).csv(path, header=True, schema=df.schema)
 
 
 def through_parquet(df: DataFrame, name: str, partitions: Sequence[str] = (), path: str | None = None) -> DataFrame:
