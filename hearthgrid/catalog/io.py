@@ -95,7 +95,7 @@ def src_hindcast(t):
 @query("snk_hindcast", HIND + "SELECT case_id AS event_id, count_if(fire_t0 > 0) AS active_t0, count_if(y_obs > 0) AS positives FROM hindcast WHERE case_id IN (SELECT case_id FROM ok) GROUP BY 1")
 def snk_hindcast(t):
     path = sinks.write_hindcast(_cases(t), 175)
-    return t.spark.read.json(f"{path}/index").select("event_id", "active_t0", "positives")
+    return readers.read_hindcast_index(t.spark, path).select("event_id", "active_t0", "positives")
 
 
 @query("snk_detections", with_ctes("raw_rows", extra=PULLS) + "SELECT source, dedupe_hash FROM target UNION SELECT source, dedupe_hash FROM fresh")

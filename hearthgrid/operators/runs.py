@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hearthgrid.operators.neighbours import HOUR_US, micros
 
@@ -78,27 +79,49 @@ def as_of_run(points: DataFrame, runs: DataFrame, tolerance_h: int = 6) -> DataF
     )
 
 
+def _reigns(ready: DataFrame, keys: list[str], requests: DataFrame) -> DataFrame:
+    """Days on which each run is the newest one of its key: from its own day to that of its successor.
+
+    A key has one row per run time left, so the ordered list of a key is as long as the model calendar.
+    The last run reigns until the last request.
+    """
+    best = newest_per(ready.select(*keys, "run_time", "created_at", "run_id"), [*keys, "run_time"], ["created_at", "run_id"])
+    following = F.lead("run_time").over(Window.partitionBy(*keys).orderBy("run_time"))
+    end = requests.agg(F.max("at").alias("at")).scalar()
+    spans = best.withColumn("until", following).withColumn("last", F.coalesce("until", F.greatest(end, F.col("run_time"))))
+    return spans.withColumn("day", F.explode(F.sequence(F.to_date("run_time"), F.to_date("last")))).drop("last")
+
+
+_IN_REIGN = "run_time <= at AND (until IS NULL OR at < until)"
+
+
+def latest_run_at(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Newest run at or before ``at`` (id, at); no age limit. One equi-join on the day, one hit per request."""
+    reign = _reigns(runs.where("status = 'completed'").withColumn("_all", F.lit(0)), ["_all"], requests).drop("_all")
+    return requests.select("id", "at", F.to_date("at").alias("day")).join(reign, "day").where(_IN_REIGN).select("id", "run_id", "run_time")
+
+
 def latest_run_for_boxes(boxes: DataFrame, runs: DataFrame) -> DataFrame:
     """Newest completed run at or before ``at`` that covers each box (id, box, at); no age limit.
 
-    Runs reduce to distinct boxes first: for one box only its newest run in time can win, so a request
-    meets each distinct run box once, found through the map tile of its south-west corner.
+    A request first finds the distinct run boxes that cover it, through the map tile of its south-west
+    corner; within one run box only the newest run in time can win, and that is one equi-join on (box, day).
     """
-    ready = runs.where("status = 'completed'")
-    listed = ready.groupBy(*[F.col(c).alias(f"r_{c}") for c in BOX]).agg(
-        F.sort_array(F.collect_list(F.struct("run_time", "created_at", "run_id")), asc=False).alias("runs"))
+    world = {"min_lon": -180.0, "max_lon": 180.0, "min_lat": -90.0, "max_lat": 90.0}
+    ready = runs.where("status = 'completed'").select(
+        "run_time", "created_at", "run_id", *[F.coalesce(c, F.lit(v)).alias(f"r_{c}") for c, v in world.items()])
+    keys = [f"r_{c}" for c in world]
 
-    def tiles(low: str, high: str, shift: int):
-        return F.explode(F.expr(f"sequence(CAST(floor((coalesce({low}, -{shift}e0) + {shift}e0) / {TILE_DEG}) AS INT), "
-                                f"CAST(floor((coalesce({high}, {shift}e0) + {shift}e0) / {TILE_DEG}) AS INT))"))
+    def tiles(axis: str, shift: int) -> Column:
+        return F.explode(F.expr(f"sequence(CAST(floor((r_min_{axis} + {shift}e0) / {TILE_DEG}) AS INT), CAST(floor((r_max_{axis} + {shift}e0) / {TILE_DEG}) AS INT))"))
 
-    tiled = listed.withColumn("tile_i", tiles("r_min_lat", "r_max_lat", 90)).withColumn("tile_j", tiles("r_min_lon", "r_max_lon", 180))
+    tiled = ready.select(*keys).distinct().withColumn("tile_i", tiles("lat", 90)).withColumn("tile_j", tiles("lon", 180))
     asked = boxes.withColumns({
         "tile_i": F.expr(f"CAST(floor((min_lat + 90e0) / {TILE_DEG}) AS INT)"),
         "tile_j": F.expr(f"CAST(floor((min_lon + 180e0) / {TILE_DEG}) AS INT)"),
     })
-    met = asked.join(tiled, ["tile_i", "tile_j"]).where(
-        "coalesce(r_min_lon, -180e0) <= min_lon AND coalesce(r_max_lon, 180e0) >= max_lon "
-        "AND coalesce(r_min_lat, -90e0) <= min_lat AND coalesce(r_max_lat, 90e0) >= max_lat")
-    best = met.withColumn("best", F.expr("filter(runs, r -> r.run_time <= at)[0]")).where("best IS NOT NULL")
-    return best.groupBy("id").agg(F.max("best").alias("best")).select("id", "best.run_id", "best.run_time")
+    covering = asked.join(tiled, ["tile_i", "tile_j"]).where(
+        "r_min_lon <= min_lon AND r_max_lon >= max_lon AND r_min_lat <= min_lat AND r_max_lat >= max_lat"
+    ).select("id", "at", *keys, F.to_date("at").alias("day"))
+    met = covering.join(_reigns(ready, keys, boxes), [*keys, "day"]).where(_IN_REIGN)
+    return met.groupBy("id").agg(F.max_by(F.struct("run_id", "run_time"), F.struct("run_time", "created_at", "run_id")).alias("best")).select("id", "best.*")

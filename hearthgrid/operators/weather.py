@@ -121,13 +121,15 @@ def _finite_pair(f: str, t: str) -> Column:
     return ok(f) & ok(t)
 
 
+def _bias_struct(v: str, column: str, name: str) -> Column:
+    d = F.when(_finite_pair(column, f"truth_{v}"), F.col(column) - F.col(f"truth_{v}"))
+    return F.struct(F.lit(v).alias("variable"), F.avg(d).alias("bias_mean"), F.stddev_pop(d).alias("bias_std"), F.avg(F.abs(d)).alias("mae"),
+                    F.sqrt(F.avg(d * d)).alias("rmse"), F.count(d).alias("n")).alias(name)
+
+
 def bias_metrics(pairs: DataFrame, variables: Sequence[str], prefix: str = "", keys: Sequence[str] = ()) -> DataFrame:
     """(variable, bias_mean, bias_std, mae, rmse, n) of ``prefix + v`` against ``truth_v``, finite pairs only."""
-    per = []
-    for v in variables:
-        d = F.when(_finite_pair(f"{prefix}{v}", f"truth_{v}"), F.col(f"{prefix}{v}") - F.col(f"truth_{v}"))
-        per.append(F.struct(F.lit(v).alias("variable"), F.avg(d).alias("bias_mean"), F.stddev_pop(d).alias("bias_std"),
-                            F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count(d).alias("n")).alias(f"m_{v}"))
+    per = [_bias_struct(v, f"{prefix}{v}", f"m_{v}") for v in variables]
     grouped = pairs.groupBy(*keys).agg(*per) if keys else pairs.agg(*per)
     return grouped.select(*keys, F.inline(F.array(*[f"m_{v}" for v in variables])))
 
@@ -175,9 +177,11 @@ def apply_bias(df: DataFrame, fit: DataFrame, variables: Sequence[str], prefix:
 
 
 def improvements(pairs: DataFrame, variables: Sequence[str], prefix: str = "corr_") -> DataFrame:
-    """Raw against corrected metrics and their reductions, per variable."""
-    raw = bias_metrics(pairs, variables).withColumnsRenamed({c: f"raw_{c}" for c in ("bias_mean", "bias_std", "mae", "rmse", "n")})
-    corr = bias_metrics(pairs, variables, prefix).withColumnsRenamed({c: f"corr_{c}" for c in ("bias_mean", "bias_std", "mae", "rmse", "n")})
-    return raw.join(corr, "variable").withColumns({
+    """Raw against corrected metrics and their reductions, per variable, in one pass over the pairs."""
+    row = pairs.agg(*[_bias_struct(v, v, f"r_{v}") for v in variables], *[_bias_struct(v, f"{prefix}{v}", f"c_{v}") for v in variables])
+    listed = row.select(F.explode(F.array(*[F.struct(F.col(f"r_{v}").alias("r"), F.col(f"c_{v}").alias("c")) for v in variables])).alias("x"))
+    both = listed.select(F.col("x.r.variable").alias("variable"), *[F.col(f"x.{s}.{c}").alias(f"{name}_{c}") for s, name in (("r", "raw"), ("c", "corr"))
+                                                                  for c in ("bias_mean", "bias_std", "mae", "rmse", "n")])
+    return both.withColumns({
         "bias_mean_abs_reduction": F.abs("raw_bias_mean") - F.abs("corr_bias_mean"),
         "mae_reduction": F.col("raw_mae") - F.col("corr_mae"), "rmse_reduction": F.col("raw_rmse") - F.col("corr_rmse")})

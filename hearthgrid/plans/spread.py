@@ -11,7 +11,7 @@ from hearthgrid.functions.spread import KernelConfig, cell_km, kernel_half, kern
 from hearthgrid.grid import GridSpec, with_cell
 from hearthgrid.operators.heatmap import cell_values, noise_weight
 from hearthgrid.operators.neighbours import HOUR_US, micros
-from hearthgrid.operators.runs import latest_run_for_boxes
+from hearthgrid.operators.runs import covers_box, latest_run_at
 from hearthgrid.operators.weather import nearest_node, nearest_step, pack_series
 
 CELL = ["run_id", "horizon_h", "i", "j"]
@@ -48,10 +48,8 @@ def active_cells(detections: DataFrame, runs: DataFrame, grid: GridSpec, lookbac
 
 def node_weather(runs: DataFrame, weather_runs: DataFrame, cells: DataFrame, grid: GridSpec, horizons: Sequence[int]) -> DataFrame:
     """(run_id, horizon_h, ni, nj, u10, v10, t2m, rh2m): newest run covering the grid, step nearest to ref + horizon."""
-    west, south, east, north = grid.bounds
-    boxes = runs.select(F.col("run_id").alias("id"), F.lit(west).alias("min_lon"), F.lit(south).alias("min_lat"),
-                        F.lit(east).alias("max_lon"), F.lit(north).alias("max_lat"), F.col("ref_time").alias("at"))
-    chosen = latest_run_for_boxes(boxes, weather_runs).select(F.col("id").alias("spread_run"), "run_id")
+    covering = weather_runs.where(covers_box(*[F.lit(edge) for edge in grid.bounds]))
+    chosen = latest_run_at(runs.select(F.col("run_id").alias("id"), F.col("ref_time").alias("at")), covering).select(F.col("id").alias("spread_run"), "run_id")
     refs = runs.select(F.col("run_id").alias("spread_run"), micros(F.col("ref_time")).alias("ref_us"))
     packed = pack_series(cells, ["u10", "v10", "t2m", "rh2m"]).withColumnsRenamed({"i": "ni", "j": "nj"})
     steps = packed.join(chosen, "run_id").join(refs, "spread_run").withColumn("horizon_h", F.explode(F.array(*[F.lit(h) for h in horizons])))

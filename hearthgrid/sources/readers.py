@@ -46,9 +46,16 @@ def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.parquet(f"{folder}/eval").withColumn("part", F.lit("eval")), allowMissingColumns=True)
 
 
+INDEX_SCHEMA = "event_id long, ref_time string, active_t0 long, positives long"
+CASE_SCHEMA = "cell_id long, ref_time timestamp_ntz, horizon_h int, i long, j long, y_pred double, y_obs double, fire_t0 double, event_id long"
+
+
+def read_hindcast_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).json(f"{folder}/index")
+
+
 def read_hindcast_cases(spark: SparkSession, folder: str) -> DataFrame:
     """Cells of the cases listed in the manifest; files that have gone missing are skipped."""
-    manifest = spark.read.json(f"{folder}/index")
-    cells = spark.read.option("ignoreMissingFiles", "true").parquet(f"{folder}/cases")
-    return cells.join(manifest.select("event_id", "ref_time").distinct().withColumn("ref_time", F.col("ref_time").cast("timestamp_ntz")),
-                      ["event_id", "ref_time"], "left_semi")
+    listed = read_hindcast_index(spark, folder).select("event_id", F.col("ref_time").cast("timestamp_ntz").alias("ref_time")).distinct()
+    cells = spark.read.schema(CASE_SCHEMA).option("ignoreMissingFiles", "true").parquet(f"{folder}/cases")
+    return cells.join(listed, ["event_id", "ref_time"], "left_semi")
