@@ -3,8 +3,8 @@
 Order is by planar degrees, the reported distance is the great circle. Nothing is paired wholesale:
 
 1. Copies of a detection (same place and time) are at distance 0.
-2. In cells that hold few rows, the 2x2 cells around a target are joined row by row; a hit counts only
-   inside the radius those cells are sure to cover.
+2. Where cells hold few rows, the 2x2 cells around a target are joined row by row, with wider cells for
+   those that found nothing; a hit counts only inside the radius those cells are sure to cover.
 3. All other targets walk down a tree of ever smaller cells. At each level the running counts over time
    tell which cells have a detection in the target's span; only cells that can still hold the nearest
    one are opened. Each target carries a handful of cells from level to level.
@@ -19,7 +19,8 @@ from hearthgrid.functions.geo import haversine_km
 from hearthgrid.operators.neighbours import CROWDED_ROWS, HOUR_US, POINT, count_upto, micros
 from hearthgrid.session import materialize
 
-NEAR_DEG = 0.05
+# Cell sides of the row-by-row passes in degrees, fine to coarse.
+NEAR_DEG = (0.05, 0.4, 3.2, 25.6)
 # Cell sides of the tree in degrees, coarse to fine; below the last one single positions are compared.
 TREE_DEG = (128.0, 16.0, 2.0, 0.25, 0.03125, 0.00390625)
 NONE_KM = 999.0
@@ -34,10 +35,14 @@ def nearest_before(df: DataFrame, span_h: int = 24, crowded_rows: int = CROWDED_
     copies = series.where("n > 1").select(*POINT, F.lit(0.0).alias("nn_km"))
     alone = series.where("n = 1")
 
-    close = materialize(_close_by(alone, series, width, crowded_rows), "nearest-close")
-    rest = materialize(alone.join(close, POINT, "left_anti"), "nearest-rest")
-    parts = copies.unionByName(close)
-    if not rest.isEmpty():
+    parts, rest = copies, alone
+    for deg in NEAR_DEG:
+        close = materialize(_close_by(rest, series, width, crowded_rows, deg), "nearest-close")
+        parts = parts.unionByName(close)
+        rest = materialize(rest.join(close, POINT, "left_anti"), "nearest-rest")
+        if rest.isEmpty():
+            break
+    else:
         parts = parts.unionByName(_walk_down(rest, series, width))
     return series.select(*POINT).join(parts, POINT, "left").withColumn("nn_km", F.coalesce("nn_km", F.lit(NONE_KM)))
 
@@ -52,12 +57,12 @@ def _closest(pairs: DataFrame) -> DataFrame:
     return scored.groupBy(*POINT).agg(F.min(F.struct("planar", "km")).alias("best")).select(*POINT, "best.planar", F.col("best.km").alias("nn_km"))
 
 
-def _close_by(alone: DataFrame, series: DataFrame, width: int, crowded_rows: int) -> DataFrame:
-    placed = series.selectExpr(f"floor(lat / {NEAR_DEG}D) AS ci", f"floor(lon / {NEAR_DEG}D) AS cj", "b", "lat AS q_lat", "lon AS q_lon", "t_us AS q_us")
+def _close_by(alone: DataFrame, series: DataFrame, width: int, crowded_rows: int, deg: float) -> DataFrame:
+    placed = series.selectExpr(f"floor(lat / {deg}D) AS ci", f"floor(lon / {deg}D) AS cj", "b", "lat AS q_lat", "lon AS q_lon", "t_us AS q_us")
     crowded = placed.groupBy("ci", "cj", "b").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowded_rows).drop("rows")
     around = (
-        alone.withColumn("ci", F.explode(F.expr(f"array(floor(lat / {NEAR_DEG}D - 5e-1), floor(lat / {NEAR_DEG}D + 5e-1))")))
-        .withColumn("cj", F.explode(F.expr(f"array(floor(lon / {NEAR_DEG}D - 5e-1), floor(lon / {NEAR_DEG}D + 5e-1))")))
+        alone.withColumn("ci", F.explode(F.expr(f"array(floor(lat / {deg}D - 5e-1), floor(lat / {deg}D + 5e-1))")))
+        .withColumn("cj", F.explode(F.expr(f"array(floor(lon / {deg}D - 5e-1), floor(lon / {deg}D + 5e-1))")))
         .withColumn("b", F.explode(F.expr("array(b - 1, b)")))
     )
     touched = around.join(crowded, ["ci", "cj", "b"], "left_semi").select(*POINT).distinct()
@@ -65,7 +70,7 @@ def _close_by(alone: DataFrame, series: DataFrame, width: int, crowded_rows: int
         around.join(touched, POINT, "left_anti").join(placed, ["ci", "cj", "b"])
         .where(f"q_us BETWEEN t_us - {width} AND t_us AND NOT (q_lat = lat AND q_lon = lon AND q_us = t_us)")
     )
-    reach = (NEAR_DEG / 2.0) ** 2
+    reach = (deg / 2.0) ** 2
     return _closest(pairs).where(F.col("planar") <= F.lit(reach)).select(*POINT, "nn_km")
 
 
@@ -110,6 +115,8 @@ def _walk_down(targets: DataFrame, series: DataFrame, width: int) -> DataFrame:
         # A present cell holds a detection no farther than its far corner: farther cells cannot win.
         limit = reach.groupBy(*POINT).agg(F.min("far").alias("limit"))
         frontier = materialize(reach.join(limit, POINT).where("near <= limit * (1e0 + 1e-9) + 1e-12").select(*POINT, "ci", "cj"), f"nearest-level-{level}")
+        if frontier.isEmpty():
+            return targets.limit(0).select(*POINT, F.lit(NONE_KM).alias("nn_km"))
     ci, cj = _cell(TREE_DEG[-1])
     sites = series.selectExpr("lat AS q_lat", "lon AS q_lon", f"{ci} AS ci", f"{cj} AS cj").distinct()
     stream = series.selectExpr("lat AS q_lat", "lon AS q_lon", "b", "t_us AS at_us", "n")

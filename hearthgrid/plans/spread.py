@@ -51,7 +51,8 @@ def node_weather(runs: DataFrame, weather_runs: DataFrame, cells: DataFrame, gri
     covering = weather_runs.where(covers_box(*[F.lit(edge) for edge in grid.bounds]))
     chosen = latest_run_at(runs.select(F.col("run_id").alias("id"), F.col("ref_time").alias("at")), covering).select(F.col("id").alias("spread_run"), "run_id")
     refs = runs.select(F.col("run_id").alias("spread_run"), micros(F.col("ref_time")).alias("ref_us"))
-    packed = pack_series(cells, ["u10", "v10", "t2m", "rh2m"]).withColumnsRenamed({"i": "ni", "j": "nj"})
+    wanted = cells.join(chosen.select("run_id").distinct(), "run_id", "left_semi")  # a few of all stored runs
+    packed = pack_series(wanted, ["u10", "v10", "t2m", "rh2m"]).withColumnsRenamed({"i": "ni", "j": "nj"})
     steps = packed.join(chosen, "run_id").join(refs, "spread_run").withColumn("horizon_h", F.explode(F.array(*[F.lit(h) for h in horizons])))
     near = steps.withColumn("target_us", F.expr(f"ref_us + horizon_h * {HOUR_US}")).withColumn("s", nearest_step("steps", "target_us"))
     return near.select(F.col("spread_run").alias("run_id"), "horizon_h", "ni", "nj", "s.u10", "s.v10", "s.t2m", "s.rh2m")
@@ -107,8 +108,11 @@ def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelC
     shaped = wind.withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn(
         "half", kernel_half(F.col("horizon_h"), F.col("wind"), dy, dx, cfg).cast("int")).drop("ref_time")
     burning = active.where(F.col("fire") > cfg.fire_threshold).select("run_id", F.col("i").alias("ai"), F.col("j").alias("aj"))
+    # The rows are few and small but unroll to up to max_width^2 targets each: spread them over all tasks first
+    # (a fixed count is not merged away again at run time).
+    tasks = max(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), active.sparkSession.sparkContext.defaultParallelism)
     spans = (
-        burning.join(shaped, "run_id")
+        burning.join(shaped, "run_id").repartition(tasks, *RUN_STEP, "ai", "aj")
         .withColumn("di", F.explode(F.expr("sequence(-half, half)"))).where(f"ai + di BETWEEN 0 AND {grid.n_lat - 1}")
         .withColumn("dj", F.explode(F.expr("sequence(-half, half)"))).where(f"aj + dj BETWEEN 0 AND {grid.n_lon - 1}")
     )
