@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,16 +41,19 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new temp folder only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the context).
+
+    A local session without one gets a temporary folder of its own machine; a cluster must name a shared one.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
     created = tempfile.mkdtemp(prefix="hearthgrid-")
     spark.sparkContext.setCheckpointDir(created)
-    return created
+    return created.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
