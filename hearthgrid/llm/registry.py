@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("neardedup",)
+MODULES = ("toxicity", "quality", "neardedup",)
 
 
 def _modules():
