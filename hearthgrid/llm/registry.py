@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("toxicity", "quality", "neardedup",)
+MODULES = ("toxicity", "quality", "neardedup", "packing",)
 
 
 def _modules():
