@@ -32,7 +32,7 @@ KNOWN_UNITS = 400_000
 #: Split points that no pre-token of the byte-level pattern crosses, for texts with plain white space only.
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where Python's and the tokenizer's idea of white space could differ, or a special token could hide.
-UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]|<\|endoftext\|>")
+UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
 
 
 def tokenizer_files() -> dict[str, str]:
