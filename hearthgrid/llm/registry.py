@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("decontamination", "toxicity", "quality", "neardedup", "packing",)
+MODULES = ("secrets", "decontamination", "toxicity", "quality", "neardedup", "packing",)
 
 
 def _modules():
