@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("fingerprints", "sharding", "secrets", "decontamination", "toxicity", "quality", "neardedup", "packing",)
+MODULES = ("token_counts", "fingerprints", "sharding", "secrets", "decontamination", "toxicity", "quality", "neardedup", "packing",)
 
 
 def _modules():
