@@ -24,7 +24,7 @@ QUERY = "op4_toxicity"
 ORACLE_SQL = None
 
 #: At most so many labelled rows of each class are learned from.
-SAMPLE_ROWS = 2500
+SAMPLE_ROWS = 2000
 BITS, ORDERS, FEATURES = 18, (3, 4, 5, 6), 4096
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 SLICE = 1 << 19
@@ -53,7 +53,7 @@ def grams(items: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarra
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
-def all_grams(items: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def all_grams(items: list[bytes], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = [(grams(items[lo:hi], keep), lo) for lo, hi in slices(items, SLICE)]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -80,8 +80,13 @@ def fit(labelled: list[tuple[bytes, int]], totals: dict[int, int], l2: float = 1
     have = [(y == k).sum() for k in (0, 1)]
     if min(have) == 0:
         return ToxicityModel(np.full(1 << BITS, -1, np.int16), np.zeros(1), base)
-    owner, bucket = all_grams([t for t, _ in labelled])
-    with_0, with_1 = (np.bincount(bucket[y[owner] == k], minlength=1 << BITS) for k in (0, 1))
+    items = [t for t, _ in labelled]
+    with_0, with_1 = (np.zeros(1 << BITS, dtype=np.int64) for _ in (0, 1))
+    for lo, hi in slices(items, SLICE):  # counted slice by slice: the n-grams of the sample are never held together
+        owner, bucket = grams(items[lo:hi])
+        positive = y[lo:hi][owner] == 1
+        with_1 += np.bincount(bucket[positive], minlength=1 << BITS)
+        with_0 += np.bincount(bucket[~positive], minlength=1 << BITS)
     ratio = np.log((with_1 + 1) / (have[1] + 2)) - np.log((with_0 + 1) / (have[0] + 2))
     share = (with_0 + with_1) / len(y)
     noise = np.sqrt(share * (1 - share) * (1 / have[0] + 1 / have[1])) + 1e-9
@@ -90,8 +95,7 @@ def fit(labelled: list[tuple[bytes, int]], totals: dict[int, int], l2: float = 1
     keep = np.full(1 << BITS, -1, dtype=np.int16)
     keep[chosen] = np.arange(FEATURES)
     scale = ratio[chosen]
-    feature = keep[bucket]
-    owner, feature = owner[feature >= 0], feature[feature >= 0]
+    owner, feature = all_grams(items, keep)
     row_weight = np.array([totals[k] / have[k] for k in (0, 1)])[y]
     row_weight *= len(y) / row_weight.sum()
     x, beta, intercept = scale[feature], np.zeros(FEATURES), base
