@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthgrid.llm.frames import documents, materialize
+from hearthgrid.llm.decontamination import drop_contaminated
+from hearthgrid.llm.frames import corpus_session, documents, labels, materialize
 from hearthgrid.llm.neardedup import drop_near_copies
+from hearthgrid.llm.packing import pack
+from hearthgrid.llm.quality import keep_good, train
+from hearthgrid.llm.secrets import redact
 
+#: Classifiers, fingerprints and token ids have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    corpus_session(spark)
+    return keep_good(docs, train(docs, labels(spark, sf_dir)))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    corpus_session(spark)
     return drop_near_copies(docs)
 
 
-STAGES = [("near_copies", near_copies)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark go."""
+    return drop_contaminated(docs, corpus_session(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are blacked out."""
+    corpus_session(spark)
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences; one row per piece, with its ids."""
+    corpus_session(spark)
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("decontamination", decontamination), ("secrets", secrets), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
