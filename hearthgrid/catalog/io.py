@@ -130,12 +130,12 @@ def run_ledger(t):
     return state.select("run_id", "status", "run_time", F.col("metadata")["model"].alias("m_model"), F.col("metadata")["stage"].alias("m_stage"))
 
 
-@query("snk_csv_export", D + "SELECT id, lat, lon, acq_time, sensor, source, confidence, frp FROM detections WHERE lat BETWEEN 43 AND 57 AND lon BETWEEN 25 AND 38 AND acq_time BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-20 18:30:00' ORDER BY acq_time, id LIMIT 10000")
+@query("snk_csv_export", D + "SELECT id, lat, lon, acq_time, confidence, frp, sensor, source FROM detections WHERE lat BETWEEN 43 AND 57 AND lon BETWEEN 25 AND 38 AND acq_time BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-20 18:30:00'")
 def csv_export(t):
     return sinks.export_detections(t.detections, (25.0, 43.0, 38.0, 57.0), "2024-01-05 06:00:00", "2024-01-20 18:30:00")
 
 
-@query("snk_geojson_points", D + "SELECT CAST(json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', [lon, lat]), 'properties', json_object('id', id, 'acq_time', strftime(acq_time, '%Y-%m-%dT%H:%M:%S'), 'sensor', sensor, 'source', source, 'confidence', confidence, 'frp', frp)) AS VARCHAR) AS feature FROM detections")
+@query("snk_geojson_points", D + "SELECT CAST(json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', [lon, lat]), 'properties', json_object('id', id, 'acq_time', strftime(acq_time, '%Y-%m-%dT%H:%M:%S'), 'confidence', confidence, 'frp', frp, 'sensor', sensor, 'source', source)) AS VARCHAR) AS feature FROM detections")
 def geojson_points(t):
     return sinks.write_lines(sinks.point_lines(t.detections), "feature", "points")
 

@@ -64,9 +64,14 @@ LIKELY_SQL = ("CASE WHEN {m} THEN 0e0 ELSE greatest(least(coalesce({c}, 0.5e0) *
 LEVEL_SQL = "CASE WHEN {s} < 0.3e0 THEN 'low' WHEN {s} < 0.6e0 THEN 'medium' ELSE 'high' END"
 
 
-@query("prj_allowed", D + "SELECT id, lat, lon, acq_time, sensor, confidence, frp FROM detections")
+# Component scores that a list of detections may carry: the confidence score of the row, and k-based stand-ins for the others.
+_SCORED = {"confidence_score": NORM_SQL.format(c="confidence"), "persistence_score": "(k % 10) / 10e0", "landcover_score": "(k % 4) / 4e0", "weather_score": "(k % 7) / 7e0"}
+
+
+@query("prj_allowed", with_ctes("detections", extra={"rich": "SELECT *, " + ", ".join(f"{text} AS {name}" for name, text in _SCORED.items()) + " FROM detections"})
+       + f"SELECT {', '.join(records.ALLOWED)} FROM rich")
 def allowed(t):
-    return records.select_allowed(t.detections, ["id", "lat", "lon", "acq_time", "sensor", "confidence", "frp"])
+    return records.select_allowed(t.detections.selectExpr("*", *[f"{text} AS {name}" for name, text in _SCORED.items()]), records.ALLOWED)
 
 
 @query("prj_firms_parse", with_ctes("raw_rows", extra={"parsed": PARSED_SQL}) +

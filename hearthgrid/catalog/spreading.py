@@ -34,9 +34,9 @@ add_cte("wind", "SELECT s.run_id, s.horizon_h, coalesce(u, 0e0) AS u, coalesce(v
         ("steps", "nodes", "node_share"))
 _DX = "(0.1e0 * (111e0 * cos(radians(50e0))))"
 _PX = f"greatest((0.05e0 * horizon_h + sqrt(u * u + v * v) * horizon_h * 0.1e0) / {_DX}, (0.05e0 * horizon_h + sqrt(u * u + v * v) * horizon_h * 0.1e0) / 11.1e0)"
-add_cte("shape", f"SELECT *, floor(least(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END, 201) / 2) AS half FROM (SELECT *, floor(greatest(7e0, 2e0 * ({_PX} * 3e0) + 1e0)) AS k FROM wind)", ("wind",))
+add_cte("shape", f"SELECT *, floor((CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END) / 2) AS half FROM (SELECT *, floor(greatest(7e0, 2e0 * ({_PX} * 3e0) + 1e0)) AS k FROM wind)", ("wind",))
 add_cte("sums", f"SELECT run_id, horizon_h, i, j, sum(w) AS p FROM (SELECT a.run_id, s.horizon_h, a.i + d.di AS i, a.j + e.dj AS j, {kernel_sql('di', 'dj', 'horizon_h', 'u', 'v', '11.1e0', _DX)} AS w "
-        "FROM active a JOIN shape s USING (run_id) JOIN (SELECT unnest(range(-100, 101)) AS di) d ON abs(di) <= half JOIN (SELECT unnest(range(-100, 101)) AS dj) e ON abs(dj) <= half "
+        "FROM active a JOIN shape s USING (run_id) JOIN (SELECT unnest(range(-199, 200)) AS di) d ON abs(di) <= half JOIN (SELECT unnest(range(-199, 200)) AS dj) e ON abs(dj) <= half "
         "WHERE a.fire > 0 AND a.i + di BETWEEN 0 AND 199 AND a.j + dj BETWEEN 0 AND 199) GROUP BY ALL", ("active", "shape"))
 for _name, _text in SLOPE.items():
     add_cte(f"cur_{_name}", _text.replace("FROM dem_cells", "FROM dem").replace("FROM n", "FROM cur_n").replace("FROM g", "FROM cur_g").replace("FROM v", "FROM cur_v").replace("FROM sl", "FROM cur_sl"),
@@ -258,7 +258,7 @@ def latest_contours(t):
     return tiles.contours_of_run(rows, ledger).select("run_id", "horizon_h", "threshold")
 
 
-RISK_BOX, RISK_KM, RISK_AT = (24.0, 42.0, 34.0, 52.0), 40.0, "2024-01-12 08:30:00"
+RISK_BOX, RISK_KM, RISK_AT = (24.0, 42.0, 34.0, 52.0), 20.0, "2024-01-12 08:30:00"
 _G = risk.risk_layout(RISK_BOX, RISK_KM)
 _RISK = {
     "g": f"SELECT a.r * {_G.n_lon} + b.c AS id, 42e0 + a.r * {_G.size_lat!r}::DOUBLE AS min_lat, 42e0 + (a.r + 1) * {_G.size_lat!r}::DOUBLE AS max_lat, 24e0 + b.c * {_G.size_lon!r}::DOUBLE AS min_lon, 24e0 + (b.c + 1) * {_G.size_lon!r}::DOUBLE AS max_lon "

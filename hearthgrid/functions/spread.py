@@ -17,13 +17,13 @@ class KernelConfig:
     wind_elongation: float = 1.5
     decay_km: float = 2.0
     fire_threshold: float = 0.0
-    max_width: int = 201
+    max_width: int | None = None
     slope_bias: bool = False
     slope_influence: float = 0.35
     slope_reference_deg: float = 30.0
 
     def __post_init__(self):
-        if self.max_width < 7 or self.max_width % 2 == 0:
+        if self.max_width is not None and (self.max_width < 7 or self.max_width % 2 == 0):
             raise ValueError("max_width must be odd and at least 7")
 
     @property
@@ -39,12 +39,12 @@ def cell_km(cell_deg: float, mean_lat: Column) -> tuple[Column, Column]:
 
 
 def kernel_half(horizon_h: Column, wind: Column, dy: Column, dx: Column, cfg: KernelConfig) -> Column:
-    """Half width in cells: three times the reach, at least 3, capped by ``max_width``."""
+    """Half width in cells: three times the reach, at least 3; ``max_width`` cuts it only where a caller sets one."""
     reach = F.lit(cfg.base_spread_km_h) * horizon_h + wind * horizon_h * F.lit(cfg.wind_influence)
     pixels = F.greatest(reach / dx, reach / dy)
     width = F.floor(F.greatest(F.lit(7.0), F.lit(2.0) * (pixels * F.lit(3.0)) + F.lit(1.0)))
     odd = F.when(width % 2 == 0, width + 1).otherwise(width)
-    return F.floor(F.least(odd, F.lit(cfg.max_width)) / 2)
+    return F.floor((odd if cfg.max_width is None else F.least(odd, F.lit(cfg.max_width))) / 2)
 
 
 def kernel_weight(di: Column, dj: Column, horizon_h: Column, u: Column, v: Column, dy: Column, dx: Column,

@@ -67,8 +67,7 @@ def neighbour_counts(df: DataFrame, spans: Sequence[Span], group: str | None = N
     bucket_us = max(max(s.before_us, s.after_us) for s in spans)
     cells = DistanceCells(max(s.radius_m for s in spans))
     series = cells.add_home(series).withColumn("b", F.floor(F.col("t_us") / F.lit(bucket_us)))
-    # Written once: every branch below reads it, its size is then known to the optimizer, and whether
-    # any cell is crowded decides which branches are planned at all.
+    # Written once: every branch below reads it, and its size is then known to the optimizer.
     series = materialize(series, "neighbour-series")
 
     place = ["cell_row", "cell_col", "b"]
@@ -78,15 +77,10 @@ def neighbour_counts(df: DataFrame, spans: Sequence[Span], group: str | None = N
     )
     offsets = [o for o, wanted in ((-1, any(s.before_us for s in spans)), (0, True), (1, any(s.after_us for s in spans))) if wanted]
     targets = series.selectExpr(*POINT, "b AS tb").distinct() if group else series.selectExpr(*POINT, "b AS tb")
-    if crowded.isEmpty():
-        parts = _sparse_part(targets, series, spans, cells, offsets, group)
-    else:
-        marked = series.join(crowded, place, "left")
-        sparse = marked.where(F.col("crowded").isNull()).drop("crowded")
-        dense = marked.where(F.col("crowded")).drop("crowded")
-        parts = _sparse_part(targets, sparse, spans, cells, offsets, group).unionByName(
-            _dense_part(targets, dense, crowded, spans, cells, offsets, group)
-        )
+    marked = series.join(crowded, place, "left")
+    sparse = marked.where(F.col("crowded").isNull()).drop("crowded")
+    dense = marked.where(F.col("crowded")).drop("crowded")
+    parts = _sparse_part(targets, sparse, spans, cells, offsets, group).unionByName(_dense_part(targets, dense, crowded, spans, cells, offsets, group))
     sums = [F.sum(s.name).alias(s.name) for s in spans]
     if not group:
         return parts.groupBy(*POINT).agg(*sums)

@@ -11,9 +11,8 @@ from hearthgrid.grid import GridSpec
 
 # Columns a caller may ask for.
 ALLOWED = (
-    "id", "lat", "lon", "acq_time", "sensor", "source", "confidence", "brightness", "bright_t31", "frp",
-    "raw_properties", "denoised_score", "is_noise", "confidence_score", "persistence_score", "landcover_score",
-    "weather_score", "false_source_masked", "fire_likelihood", "created_at",
+    "id", "acq_time", "lat", "lon", "frp", "confidence", "confidence_score", "persistence_score", "landcover_score", "weather_score",
+    "brightness", "bright_t31", "scan", "track", "sensor", "source", "is_noise", "denoised_score", "false_source_masked", "fire_likelihood",
 )
 
 

@@ -108,7 +108,7 @@ def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelC
     shaped = wind.withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn(
         "half", kernel_half(F.col("horizon_h"), F.col("wind"), dy, dx, cfg).cast("int")).drop("ref_time")
     burning = active.where(F.col("fire") > cfg.fire_threshold).select("run_id", F.col("i").alias("ai"), F.col("j").alias("aj"))
-    # The rows are few and small but unroll to up to max_width^2 targets each: spread them over all tasks first
+    # The rows are few and small but unroll to a whole neighbourhood of targets each: spread them over all tasks first
     # (a fixed count is not merged away again at run time).
     tasks = max(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), active.sparkSession.sparkContext.defaultParallelism)
     spans = (

@@ -11,8 +11,7 @@ from hearthgrid.functions import geojson
 from hearthgrid.session import scratch_path
 
 # Columns and order of the CSV export.
-EXPORT_COLUMNS = ("id", "lat", "lon", "acq_time", "sensor", "source", "confidence", "frp")
-EXPORT_LIMIT = 10_000
+EXPORT_COLUMNS = ("id", "lat", "lon", "acq_time", "confidence", "frp", "sensor", "source")
 
 
 def through_csv(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -37,13 +36,13 @@ def validate_export(bbox: tuple[float, float, float, float], start: str, end: st
         raise ValueError("start must not be after end")
 
 
-def export_detections(detections: DataFrame, bbox, start: str, end: str, limit: int = EXPORT_LIMIT, path: str | None = None) -> DataFrame:
-    """Detections of a box and time range as CSV, oldest first; the limit is part of the export request."""
+def export_detections(detections: DataFrame, bbox, start: str, end: str, limit: int | None = None, path: str | None = None) -> DataFrame:
+    """All detections of a box and time range as CSV files, oldest first; only a caller's own ``limit`` shortens them."""
     from hearthgrid.operators.filters import in_bbox, in_time
 
     validate_export(bbox, start, end)
-    rows = detections.where(in_bbox(*bbox) & in_time(start, end)).orderBy("acq_time", "id").limit(limit).select(*EXPORT_COLUMNS)
-    return through_csv(rows, "detections-csv", path)
+    rows = detections.where(in_bbox(*bbox) & in_time(start, end)).orderBy("acq_time", "id").select(*EXPORT_COLUMNS)
+    return through_csv(rows if limit is None else rows.limit(limit), "detections-csv", path)
 
 
 def write_lines(features: DataFrame, column: str, name: str, path: str | None = None) -> DataFrame:

@@ -58,8 +58,8 @@ def test_scores(spark):
     sizes = one(spark, *[F.round(scoring.persistence_score(lit(n), lit(s)), 6) for n, s in ((1, 1), (2, 1), (3, 2), (4, 1), (9, 1), (10, 1), (50, 1), (50, 2))])
     assert sizes == (0.2, 0.3, 0.5, 0.5, 0.665, 0.7, 0.9, 1.0)
     like = one(spark, *[F.round(scoring.likelihood(*[lit(x).cast("double") for x in parts], lit(masked)), 6) for parts, masked in
-                        (((0.8, 0.9, 1.0, 0.7), False), ((0.9, 0.9, 0.9, 0.9), True), ((0.5, None, None, None), False), ((1.0, 1.0, 1.0, 1.0), False))])
-    assert like == (0.855, 0.0, 0.5, 1.0)
+                        (((0.35, 0.6, 0.44, 0.12), False), ((0.9, 0.9, 0.9, 0.9), True), ((0.5, None, None, None), False), ((1.0, 1.0, 1.0, 1.0), False))])
+    assert like == (0.39, 0.0, 0.5, 1.0)
     weather = one(spark, *[F.round(scoring.weather_score(*[lit(x).cast("double") for x in parts]), 6) for parts in
                            ((80.0, 20.0, 0.0), (30.0, 0.0, 5.0), (None, None, None), (50.0, None, None), (80.0, 20.0, None))])
     assert weather == (0.1, 0.8, None, 0.5, 0.1)
