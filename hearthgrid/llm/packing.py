@@ -12,7 +12,9 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,9 @@ UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Where Python's and the tokenizer's idea of white space could differ, or a special token could hide.
 UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\|endoftext\|>")
 
+#: Bytes without which a text has nothing unusual: a quick look before the pattern.
+SUSPECT = bytes([0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, ord("<")])
+
 
 def tokenizer_files() -> dict[str, str]:
     """Where the vocabulary lies on this machine and the pattern that belongs to it."""
@@ -46,6 +51,7 @@ class Ids:
     """Token ids of texts as little-endian 16-bit numbers, with a bounded store of the units seen before."""
 
     def __init__(self, ranks: str, pattern: str):
+        assert sys.byteorder == "little" and array("H").itemsize == 2
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=merges, special_tokens={"<|endoftext|>": len(merges)})
@@ -55,19 +61,22 @@ class Ids:
         return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u2").tobytes()
 
     def of(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
+        raw = text.encode()
+        if len(raw.translate(None, SUSPECT)) < len(raw) and UNUSUAL.search(text):
             return self.direct(text)
         units, known = UNIT.findall(text), self.known
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            pass
-        if len(known) > KNOWN_UNITS:
-            known.clear()
-        for unit in units:
-            if unit not in known:
-                known[unit] = self.direct(unit)
-        return b"".join([known[u] for u in units])
+        parts = list(map(known.get, units))
+        if None in parts:
+            if len(known) > KNOWN_UNITS:
+                known.clear()
+            for k, part in enumerate(parts):
+                if part is None:
+                    unit = units[k]
+                    part = known.get(unit)
+                    if part is None:
+                        part = known[unit] = array("H", self.encoding.encode_ordinary(unit)).tobytes()
+                    parts[k] = part
+        return b"".join(parts)
 
 
 @functools.lru_cache(maxsize=2)
