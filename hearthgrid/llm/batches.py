@@ -163,3 +163,28 @@ def bit_votes(hashes: np.ndarray, first: np.ndarray, weights: np.ndarray | None
 def packed(bits: np.ndarray) -> np.ndarray:
     """Rows of 64 bits, lowest first, as unsigned numbers."""
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(U64)
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    """Another 64 bits from a hash (the finaliser of splitmix64)."""
+    with np.errstate(over="ignore"):
+        h = h + U64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
+    return h ^ (h >> U64(31))
+
+
+def counted_hashes(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of each group ``first[g]:first[g+1]``, how often each occurs, and the groups' limits among them."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    hashes = hashes[order]
+    fresh = np.ones(len(hashes), dtype=bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(fresh)
+    return hashes[at], np.diff(np.append(at, len(hashes))), np.searchsorted(at, first)
+
+
+def distinct_hashes(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, _, limits = counted_hashes(hashes, first)
+    return found, limits

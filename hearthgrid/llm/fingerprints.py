@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm.batches import U64, bit_votes, packed, slices, texts, words_of, xxh64
+from hearthgrid.llm.batches import U64, bit_votes, counted_hashes, packed, slices, spread, texts, words_of, xxh64
 from hearthgrid.llm.frames import documents, materialize
 
 QUERY = "op2_fingerprints"
@@ -33,34 +33,17 @@ RADIUS, BLOCKS = 3, 5
 RANGES_PER_PARTITION = 2
 
 
-def spread(h: np.ndarray) -> np.ndarray:
-    """Another 64 bits from a hash (the finaliser of splitmix64)."""
-    with np.errstate(over="ignore"):
-        h = h + U64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> U64(27))) * U64(0x94D049BB133111EB)
-    return h ^ (h >> U64(31))
-
-
 def simhash(items: list[bytes]) -> np.ndarray:
     """Fingerprints as rows of two 64-bit numbers; a text of one word has that word as its term, one without words is zero."""
     out = np.zeros((len(items), 2), dtype=U64)
     for lo, hi in slices(items):
         words = words_of(items[lo:hi])
         start, length, first = words.shingles(TERM_WORDS)
-        hashes = xxh64(words.data, start, length)
-        owner = np.repeat(np.arange(hi - lo), np.diff(first))
-        order = np.lexsort((hashes, owner))
-        hashes = hashes[order]
-        fresh = np.ones(len(hashes), dtype=bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(fresh)
-        count = np.diff(np.append(at, len(hashes)))
+        hashes, count, limits = counted_hashes(xxh64(words.data, start, length), first)
         weight = np.minimum(np.frexp(count)[1], TOP_WEIGHT).astype(U64)
-        limits = np.searchsorted(at, first)
-        total = np.add.reduceat(np.append(weight, U64(0)), np.minimum(limits[:-1], len(weight))) if len(at) else np.zeros(hi - lo, U64)
+        total = np.add.reduceat(np.append(weight, U64(0)), np.minimum(limits[:-1], len(weight))) if len(hashes) else np.zeros(hi - lo, U64)
         total = np.where(np.diff(limits) > 0, total, 0).astype(np.int64)
-        for k, h in enumerate((hashes[at], spread(hashes[at]))):
+        for k, h in enumerate((hashes, spread(hashes))):
             out[lo:hi, k] = packed(2 * bit_votes(h, limits, weight, TOP_WEIGHT) > total[:, None])
     return out
 

@@ -1,10 +1,10 @@
 """SimHash near-dedup: fingerprints within a few bits are linked, candidates are pruned by pigeonring chains.
 
-A fingerprint of 64 bits is cut into ``radius + 1`` segments on a ring. If two fingerprints differ in at most
-``radius`` bits, then from some segment on every chain of ``l`` consecutive segments differs in at most
-``l * radius / (radius + 1)`` bits: in none of the first segment, in at most one of the first two, and so on. So both
-share, for that start, the first segment and the second one with one bit blanked out. Each fingerprint emits one key
-per start and blanked bit; a fingerprint that is alone under all its keys has no link and is done.
+A fingerprint of 64 bits is cut into ``2 * radius`` segments on a ring. If two fingerprints differ in at most
+``radius`` bits, then from some segment on every chain of ``l`` consecutive segments differs in at most ``l / 2`` bits,
+its share: in no bit of the first segment, and in at most one bit of the two segments behind it, so one of these two is equal
+as well. Each fingerprint emits one key for each such pair of segments; a fingerprint that is alone under all its
+keys has no link and is done.
 
 The full Hamming check of the others pairs nobody within a key: two fingerprints differ in at most ``2k`` bits exactly
 if flipping at most ``k`` bits of each leads to one common value. Members of such a meeting point are all within the
@@ -18,16 +18,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthgrid.llm.batches import bit_votes, packed, slices, texts, words_of, xxh64
+from hearthgrid.llm.batches import bit_votes, distinct_hashes, packed, slices, spread, texts, words_of, xxh64
 from hearthgrid.llm.components import components
 from hearthgrid.llm.frames import documents, materialize
 
 QUERY = "op8_neardedup"
 ORACLE_SQL = None
 BITS, SEED = 64, 42
+#: Hashes under which documents are compared when similar texts are looked for.
+VIEWS = 10
 
 
 def signed(value: int) -> int:
@@ -57,15 +60,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def chain_masks(radius: int) -> list[int]:
-    """What stays of a fingerprint under each key: one segment whole, the next with one bit blanked out."""
-    cuts = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    parts = [range(a, b) for a, b in zip(cuts, cuts[1:])]
-    masks = []
-    for k, part in enumerate(parts):
-        follower = parts[(k + 1) % len(parts)]
-        whole = sum(1 << b for b in {*part, *follower})
-        masks += [whole & ~(1 << b) for b in follower]
-    return masks
+    """The segments that a chain leaves equal: one and the next, or one and the next but one (radius 1: one alone)."""
+    count = 2 * radius
+    cuts = [BITS * k // count for k in range(count + 1)]
+    parts = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:])]
+    if radius == 1:
+        return parts
+    return sorted({parts[k] | parts[(k + step) % count] for k in range(count) for step in (1, 2)})
 
 
 def flips(most: int) -> list[int]:
@@ -124,12 +125,87 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     return named.union(prints.filter("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long")))
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each group, once; rows without doc_id all stay.
+def word_views(docs: DataFrame, views: int) -> DataFrame:
+    """``(doc_id, t1, t2, f0, f1, ...)``: a 128-bit hash of each row's words in order, and fingerprints of its set of words under several hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "t1", "t2", *[f"f{k}" for k in range(views)]]
+        for batch in batches:
+            items = texts(batch.column(1))
+            for lo, hi in slices(items):
+                words = words_of(items[lo:hi])
+                whole_start, whole_size, whole_first = words.shingles(1 << 40)
+                ids = np.zeros((hi - lo, 2), dtype=np.int64)
+                for t, a, n in zip(np.flatnonzero(np.diff(whole_first)).tolist(), whole_start.tolist(), whole_size.tolist()):
+                    ids[t] = np.frombuffer(xxhash.xxh3_128_digest(words.data[a:a + n]), np.int64)
+                start, length, first = words.shingles(1)
+                hashes, limits = distinct_hashes(xxh64(words.data, start, length, SEED), first)
+                columns = []
+                for _ in range(views):
+                    columns.append(pa.array(packed(2 * bit_votes(hashes, limits) > np.diff(limits)[:, None]).view(np.int64)))
+                    hashes = spread(hashes)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(ids[:, 0]), pa.array(ids[:, 1]), *columns], names)
+
+    schema = ", ".join(["doc_id long", "t1 long", "t2 long", *[f"f{k} long" for k in range(views)]])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those ``pairs(a, b)`` of doc_ids whose texts' sets of word shingles have at least this Jaccard similarity."""
+
+    def shingles_of(words, k: int) -> set[bytes]:
+        lo, hi = int(words.first[k]), int(words.first[k + 1])
+        width = min(shingle, hi - lo)
+        return {bytes(words.data[a:b]) for a, b in zip(words.start[lo:hi - width + 1].tolist(), words.end[lo + width - 1:hi].tolist())} if hi > lo else set()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = []
+            for left, right in zip(texts(batch.column(2)), texts(batch.column(3))):
+                words = words_of([left, right])
+                x, y = shingles_of(words, 0), shingles_of(words, 1)
+                both = len(x & y)
+                stay.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi")
+    left, right = (named.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)`` of every row with a doc_id: the smallest doc_id that links of similar texts reach.
+
+    Texts of equal words in equal order are copies. Of the others, fingerprints of the set of words are taken under
+    ``views`` hashes; in each view a document is paired with the smallest doc_id that lies within ``radius`` bits (at a meeting point,
+    after pigeonring). Pairs are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
+    similar are within two bits in at least one view with high but not full probability (README has measured figures).
+    Repeated doc_ids are one document; a link of any of its texts counts.
+    """
+    prints = materialize(word_views(docs.filter("doc_id IS NOT NULL"), views), "word_views")
+    names = [f"f{k}" for k in range(views)]
+    nodes = materialize(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names]), "texts")
+    rows = nodes.select("node", F.posexplode(F.array(*names)).alias("view", "fp"))
+    chains = F.posexplode(_longs(chain_masks(radius))).alias("chain", "mask")
+    keyed = rows.select("view", "fp", "node", chains).select("view", "fp", "node", F.xxhash64("view", "chain", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
+    near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
+    points = near.select("view", "node", "fp", F.explode(_longs(flips(radius // 2))).alias("flip")).select("view", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
+    met = points.groupBy("view", "point").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
+    pairs = points.join(met, ["view", "point"]).filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("low"))
+    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    found = components(verified(pairs, docs, shingle, similarity))
+    rooted = nodes.select("t1", "t2", "node").join(found, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
+    return prints.select("doc_id", "t1", "t2").join(rooted, ["t1", "t2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: the smallest doc_id of each group of similar texts, once; rows without doc_id all stay.
 
     Of several rows with the doc_id that stays, the one with the smallest text hash is kept.
     """
-    gone = near_groups(docs, radius, shingle).filter("doc_id <> component_id").select("doc_id")
+    gone = similar_groups(docs, views, radius, shingle, similarity).filter("doc_id <> component_id").select("doc_id")
     stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     numbered = stay.withColumn("__again", F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1))
