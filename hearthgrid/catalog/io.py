@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.catalog.aggregates import BUCKET6, PULLS, _pulls
 from hearthgrid.catalog.ansi import with_ctes
+from hearthgrid.catalog.learning import FEATURE_SQL
 from hearthgrid.catalog.neighbours import WGRID
 from hearthgrid.catalog.projections import ACCEPTED_SQL, COARSE, LIKELY_SQL, PARSED_SQL, r6
 from hearthgrid.catalog.registry import query
@@ -72,11 +73,10 @@ def snk_snapshot(t):
     return t.spark.read.json(f"{path}/metadata").select("part", "rows", "positives")
 
 
-@query("snk_features", with_ctes("cell_history") + "SELECT id, confidence, n_same_cell_24h FROM detections JOIN cell_history USING (id) WHERE k >= 60 OR k < 40")
+@query("snk_features", "SELECT x.* FROM (" + FEATURE_SQL + ") x JOIN (" + D + "SELECT id FROM detections WHERE k >= 60 OR k < 40) y USING (id)")
 def snk_features(t):
-    from hearthgrid.plans.features import same_cell_history
-    history = same_cell_history(t.detections.select("id", "lat", "lon", "acq_time")).select("id", "n_same_cell_24h")
-    rows = _labelled(t).select("id", "confidence").join(history, "id")
+    from hearthgrid.catalog.learning import _feature_row, _features
+    rows = _feature_row(_features(t)).join(_labelled(t).select("id"), "id")
     return sinks.through_parquet(rows, "features")
 
 
@@ -185,29 +185,37 @@ def str_ingest(t):
     return stream.run_available(rows.select("source", "dedupe_hash"), "ingest")
 
 
-@query("str_bucket_counts", D + f"SELECT {BUCKET6} AS ref_time, count(*) AS detections FROM detections GROUP BY 1 HAVING {BUCKET6} + INTERVAL '6' HOUR <= (SELECT max(acq_time) FROM detections) - INTERVAL '10' DAY")
+@query("str_bucket_counts", D + f"SELECT {BUCKET6} AS ref_time, count(*) AS detections FROM detections GROUP BY 1")
 def str_buckets(t):
-    return stream.run_available(stream.bucket_counts(_stream_events(t).withColumnRenamed("ts", "acq_time"), 6), "buckets")
+    closed = stream.run_available(stream.bucket_counts(_stream_events(t).withColumnRenamed("ts", "acq_time"), 6), "buckets")
+    return stream.with_open_windows(closed, stream.bucket_counts(t.raw("events").withColumnRenamed("ts", "acq_time"), 6), ["ref_time"])
 
 
 @query("str_events", with_ctes("detections", extra={
     "r": "SELECT CAST(floor((lat - 40) / 2) AS BIGINT) AS ti, CAST(floor((lon - 22) / 2) AS BIGINT) AS tj, acq_time FROM detections",
     "g": "SELECT *, CASE WHEN acq_time - lag(acq_time) OVER (PARTITION BY ti, tj ORDER BY acq_time) < INTERVAL '9' HOUR THEN 0 ELSE 1 END AS gap FROM r", "e": "SELECT *, sum(gap) OVER (PARTITION BY ti, tj ORDER BY acq_time) AS ev FROM g"}) +
-       "SELECT ti, tj, min(acq_time) AS event_start, count(*) AS detections FROM e GROUP BY ti, tj, ev HAVING max(acq_time) + INTERVAL '9' HOUR <= (SELECT max(acq_time) FROM detections) - INTERVAL '10' DAY")
+       "SELECT ti, tj, min(acq_time) AS event_start, count(*) AS detections FROM e GROUP BY ti, tj, ev")
 def str_events(t):
-    d = _stream_events(t).selectExpr(*select_text(DETECTIONS)).select(F.floor((F.col("lat") - 40) / 2).alias("ti"), F.floor((F.col("lon") - 22) / 2).alias("tj"), "acq_time")
-    return stream.run_available(stream.events(d, ["ti", "tj"], 6), "events")
+    def tiled(d):
+        return d.select(F.floor((F.col("lat") - 40) / 2).alias("ti"), F.floor((F.col("lon") - 22) / 2).alias("tj"), "acq_time")
+
+    closed = stream.run_available(stream.events(tiled(_stream_events(t).selectExpr(*select_text(DETECTIONS))), ["ti", "tj"], 6), "events")
+    return stream.with_open_windows(closed, stream.events(tiled(t.detections), ["ti", "tj"], 6), ["ti", "tj", "event_start"])
 
 
 @query("str_score_batch", with_ctes("scored") + "SELECT id, round(" + LIKELY_SQL.format(m="masked", c="confidence_score", p="persistence_score", l="landcover_score", w="weather_score") + ", 6) AS fire_likelihood FROM scored")
 def str_score(t):
-    rows = _stream_events(t).selectExpr(*select_text(DETECTIONS)).select("id", "lat", "lon", "acq_time", "sensor", "confidence")
-
-    def score(batch):
-        side = Tables(batch.sparkSession, t.folder)
-        got = scoring.score_detections(batch, side.industrial, side.landcover, COARSE, side.weather_runs, side.weather_cells, WGRID)
-        return got.select("id", "fire_likelihood")
-
-    return stream.score_batches(rows, "scores", [score]).select("id", r6(F.col("fire_likelihood")).alias("fire_likelihood"))
+    """Events arrive in several files, one per micro-batch; neighbours come from the whole table."""
+    raw = t.raw("events")
+    folder = scratch_path(t.spark, "event-files")
+    raw.repartition(4, "event_id").write.parquet(folder)
+    files = stream.parquet_stream(t.spark, folder, "*.parquet", raw.schema, files=1)
+    rows = files.withColumn("k", F.get_json_object("props", "$.k").cast("long")).drop("props").selectExpr(*select_text(DETECTIONS))
+
+    def side(batch):
+        return Tables(batch.sparkSession, t.folder)
+
+    steps = scoring.score_steps(lambda b: side(b).detections, lambda b: side(b).industrial, lambda b: (side(b).landcover, COARSE), lambda b: (side(b).weather_runs, side(b).weather_cells, WGRID))
+    return stream.score_batches(rows.select("id", "lat", "lon", "acq_time", "sensor", "confidence"), "scores", steps, scoring.composite).select("id", r6(F.col("fire_likelihood")).alias("fire_likelihood"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from hearthgrid.catalog.aggregates import AUC_SQL
 from hearthgrid.catalog.ansi import add_cte, with_ctes
-from hearthgrid.catalog.projections import r6
+from hearthgrid.catalog.fields import dem, slopes
+from hearthgrid.catalog.projections import COARSE, r6
 from hearthgrid.catalog.registry import query
 from hearthgrid.catalog.spreading import HALF_DEG, HORIZONS, WGRID, World
 from hearthgrid.operators.metrics import ranking_metrics
@@ -24,16 +27,34 @@ def label_v1(t):
     return labels.label_detections(t.detections, t.industrial).select("id", "label", "rule")
 
 
-@query("job_features", with_ctes("around", "cell_history") + "SELECT id, coalesce(confidence, 30e0) AS confidence_norm, round(brightness - bright_t31, 6) AS brightness_minus_t31, CASE WHEN daynight = 'D' THEN 1 ELSE 0 END AS is_day, "
-       "n_2km_6h, n_2km_24h, n_5km_6h, n_5km_24h, n_same_cell_24h, n_same_cell_7d, seen_same_cell_past_3d, days_with_detection_past_30d_in_cell FROM detections JOIN around USING (id) JOIN cell_history USING (id)")
+def _features(t):
+    return denoiser_features(t.detections, slopes(t, dem(t)).drop("terrain_id"), COARSE)
+
+
+_ROUNDED = ("brightness_minus_t31", "sin_hour", "cos_hour", "sin_doy", "cos_doy", "dist_nn_24h_km", "slope_deg")
+FEATURE_SQL = with_ctes("around", "cell_history", "nearest", "cur_terrain") + (
+    f"SELECT d.id, coalesce(confidence, 30e0) AS confidence_norm, frp, brightness, bright_t31, round(brightness - bright_t31, 6) AS brightness_minus_t31, scan, track, "
+    f"round(sin({2 * math.pi!r}::DOUBLE * (hour(acq_time) + minute(acq_time) / 60e0) / 24e0), 6) AS sin_hour, round(cos({2 * math.pi!r}::DOUBLE * (hour(acq_time) + minute(acq_time) / 60e0) / 24e0), 6) AS cos_hour, "
+    f"round(sin({2 * math.pi!r}::DOUBLE * dayofyear(acq_time) / 365.25e0), 6) AS sin_doy, round(cos({2 * math.pi!r}::DOUBLE * dayofyear(acq_time) / 365.25e0), 6) AS cos_doy, "
+    "CASE WHEN daynight = 'D' THEN 1 ELSE 0 END AS is_day, n_2km_6h, n_2km_24h, n_5km_6h, n_5km_24h, n_same_cell_24h, n_same_cell_7d, dist_nn_24h_km, seen_same_cell_past_3d, days_with_detection_past_30d_in_cell, "
+    "z AS elevation_m, round(slope_deg, 6) AS slope_deg, round(sin(radians(aspect_deg)), 5) AS aspect_sin, round(cos(radians(aspect_deg)), 5) AS aspect_cos "
+    "FROM detections d JOIN around USING (id) JOIN cell_history USING (id) JOIN nearest USING (id) "
+    "LEFT JOIN cur_terrain t ON t.i = CAST(floor((lat - 40e0) / 0.1e0) AS BIGINT) AND t.j = CAST(floor((lon - 22e0) / 0.1e0) AS BIGINT)")
+
+
+def _feature_row(rows):
+    names = (*denoiser.FEATURES, "is_day", "n_5km_6h")
+    shown = {**{c: r6(F.col(c)) for c in _ROUNDED}, **{c: F.round(c, 5) for c in ("aspect_sin", "aspect_cos")}}
+    return rows.select("id", *[shown.get(c, F.col(c)).alias(c) for c in names])
+
+
+@query("job_features", FEATURE_SQL)
 def features(t):
-    return denoiser_features(t.detections).select(
-        "id", "confidence_norm", r6(F.col("brightness_minus_t31")).alias("brightness_minus_t31"), "is_day", "n_2km_6h", "n_2km_24h", "n_5km_6h", "n_5km_24h",
-        "n_same_cell_24h", "n_same_cell_7d", "seen_same_cell_past_3d", "days_with_detection_past_30d_in_cell")
+    return _feature_row(_features(t))
 
 
 def _labelled_features(t):
-    return denoiser.labelled_features(denoiser_features(t.detections), labels.label_detections(t.detections, t.industrial))
+    return denoiser.labelled_features(_features(t), labels.label_detections(t.detections, t.industrial))
 
 
 @query("job_snapshot_split", with_ctes("detections", "labelled", extra={
@@ -73,7 +94,7 @@ def train_denoiser(t):
 
 @query("job_score_denoiser")
 def score_denoiser(t):
-    everything = materialize(denoiser_features(t.detections), "features")
+    everything = materialize(_features(t), "features")
     known = denoiser.labelled_features(everything, labels.label_detections(t.detections, t.industrial))
     model, _ = denoiser.train_denoiser(known)
     return denoiser.score_pending(model, everything).select("id", "denoised_score", "is_noise")
@@ -107,7 +128,7 @@ def train_spread(t):
 @query("job_spread_learned")
 def spread_learned(t):
     cells = _spread_cells(t)
-    models = denoiser.fit_spread_models(cells, HORIZONS[:2], SPREAD_COLUMNS)
+    models = denoiser.fit_spread_models(cells, HORIZONS, SPREAD_COLUMNS)
     return denoiser.learned_forecast(models, cells, HORIZONS, SPREAD_COLUMNS).select("run_id", "horizon_h", "i", "j", "p")
 
 

@@ -137,16 +137,35 @@ add_cte("scored", "SELECT d.id, cluster_size, sensor_count, d.id IN (SELECT id F
        "round(persistence_score, 6) AS persistence_score, landcover_score, round(weather_score, 6) AS weather_score, round(" +
        LIKELY_SQL.format(m="masked", c="confidence_score", p="persistence_score", l="landcover_score", w="weather_score") + ", 6) AS fire_likelihood FROM scored")
 def score_detections(t):
-    got = plan.score_detections(t.detections, t.industrial, t.landcover, COARSE, t.weather_runs, t.weather_cells, WGRID)
+    return _rounded_scores(t, t.detections)
+
+
+BATCH = 5
+
+
+@query("job_score_batch", with_ctes("scored") + "SELECT id, cluster_size, sensor_count, masked, round(confidence_score, 6) AS confidence_score, "
+       "round(persistence_score, 6) AS persistence_score, landcover_score, round(weather_score, 6) AS weather_score, round(" +
+       LIKELY_SQL.format(m="masked", c="confidence_score", p="persistence_score", l="landcover_score", w="weather_score") +
+       f", 6) AS fire_likelihood FROM scored JOIN (SELECT id FROM detections WHERE ingest_batch_id = {BATCH}) USING (id)")
+def score_batch(t):
+    """One ingest batch, its neighbours taken from the whole table."""
+    return _rounded_scores(t, t.detections.where(F.col("ingest_batch_id") == BATCH), t.detections)
+
+
+def _rounded_scores(t, rows, history=None):
+    got = plan.score_detections(rows, t.industrial, t.landcover, COARSE, t.weather_runs, t.weather_cells, WGRID, history)
     rounded = ("confidence_score", "persistence_score", "weather_score", "fire_likelihood")
     return got.select("id", "cluster_size", "sensor_count", "masked", "landcover_score", *[r6(F.col(c)).alias(c) for c in rounded])
 
 
-@query("join_nn_24h", with_ctes("detections", extra={
-    "x": f"SELECT a.id, (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) AS planar, {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM detections a JOIN detections b "
-         "ON b.acq_time BETWEEN a.acq_time - INTERVAL '24' HOUR AND a.acq_time AND b.id <> a.id",
-    "m": "SELECT id, min(planar) AS planar FROM x GROUP BY 1", "y": "SELECT x.id, min(km) AS km FROM x JOIN m ON x.id = m.id AND x.planar = m.planar GROUP BY 1"}) +
-       "SELECT d.id, round(coalesce(km, 999e0), 6) AS dist_nn_24h_km FROM detections d LEFT JOIN y USING (id)")
+add_cte("nn_pairs", f"SELECT a.id, (a.lat - b.lat) * (a.lat - b.lat) + (a.lon - b.lon) * (a.lon - b.lon) AS planar, {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM detections a JOIN detections b "
+        "ON b.acq_time BETWEEN a.acq_time - INTERVAL '24' HOUR AND a.acq_time AND b.id <> a.id", ("detections",))
+add_cte("nn_least", "SELECT id, min(planar) AS planar FROM nn_pairs GROUP BY 1", ("nn_pairs",))
+add_cte("nearest", "SELECT d.id, round(coalesce(km, 999e0), 6) AS dist_nn_24h_km FROM detections d LEFT JOIN (SELECT x.id, min(km) AS km FROM nn_pairs x JOIN nn_least m ON x.id = m.id AND x.planar = m.planar GROUP BY 1) y USING (id)",
+        ("detections", "nn_pairs", "nn_least"))
+
+
+@query("join_nn_24h", with_ctes("nearest") + "SELECT * FROM nearest")
 def nn_24h(t):
     d = t.detections.select("id", "lat", "lon", "acq_time")
     return attach_counts(d, nearest_before(d)).select("id", r6(F.col("nn_km")).alias("dist_nn_24h_km"))

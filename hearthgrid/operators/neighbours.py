@@ -52,9 +52,10 @@ def micros(when: Column) -> Column:
 
 
 def neighbour_counts(df: DataFrame, spans: Sequence[Span], group: str | None = None,
-                     crowded_rows: int = CROWDED_ROWS, time: str = "acq_time") -> DataFrame:
+                     crowded_rows: int = CROWDED_ROWS, time: str = "acq_time", asking: DataFrame | None = None) -> DataFrame:
     """One row per distinct (lat, lon, t_us) with a count per span, the row's own copies included.
 
+    With ``asking`` only its points are answered; the neighbours still come from ``df``, which holds these rows as well.
     With ``group`` the result also has ``members``: the sorted distinct non-null values of that column
     among the neighbours of the first span.
     """
@@ -76,7 +77,11 @@ def neighbour_counts(df: DataFrame, spans: Sequence[Span], group: str | None = N
         .select(*place, F.lit(True).alias("crowded"))
     )
     offsets = [o for o, wanted in ((-1, any(s.before_us for s in spans)), (0, True), (1, any(s.after_us for s in spans))) if wanted]
-    targets = series.selectExpr(*POINT, "b AS tb").distinct() if group else series.selectExpr(*POINT, "b AS tb")
+    if asking is None:
+        targets = series.selectExpr(*POINT, "b AS tb").distinct() if group else series.selectExpr(*POINT, "b AS tb")
+    else:
+        asked = asking.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col(time).isNotNull())
+        targets = asked.select("lat", "lon", micros(F.col(time)).alias("t_us")).distinct().withColumn("tb", F.floor(F.col("t_us") / F.lit(bucket_us)))
     marked = series.join(crowded, place, "left")
     sparse = marked.where(F.col("crowded").isNull()).drop("crowded")
     dense = marked.where(F.col("crowded")).drop("crowded")

@@ -16,9 +16,11 @@ from hearthgrid.operators import metrics
 from hearthgrid.plans.training import split_at_quantile, with_sample_weight
 from hearthgrid.session import materialize
 
+# The columns the classifier learns from.
 FEATURES = (
-    "frp", "brightness", "bright_t31", "brightness_minus_t31", "confidence_norm", "is_day", "sin_hour", "cos_hour", "sin_doy", "cos_doy",
-    "n_2km_6h", "n_2km_24h", "n_5km_24h", "n_same_cell_24h", "n_same_cell_7d", "seen_same_cell_past_3d", "days_with_detection_past_30d_in_cell",
+    "confidence_norm", "frp", "brightness", "bright_t31", "brightness_minus_t31", "scan", "track", "sin_hour", "cos_hour", "sin_doy", "cos_doy",
+    "n_2km_6h", "n_2km_24h", "n_5km_24h", "n_same_cell_24h", "n_same_cell_7d", "dist_nn_24h_km", "seen_same_cell_past_3d",
+    "days_with_detection_past_30d_in_cell", "elevation_m", "slope_deg", "aspect_sin", "aspect_cos",
 )
 
 

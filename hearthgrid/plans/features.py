@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hearthgrid.functions.features import firms_features, time_features
+from hearthgrid.grid import GridSpec
+from hearthgrid.operators.nearest import nearest_before
 from hearthgrid.operators.neighbours import HOUR_US, Span, attach_counts, micros, neighbour_counts
+from hearthgrid.operators.raster import sample_cell
 
 DAY_US = 24 * HOUR_US
 RADIUS_SPANS = (
@@ -59,9 +62,19 @@ def same_cell_history(detections: DataFrame, cell_deg: float = FEATURE_CELL_DEG)
     return placed.join(history, [*key, "t_us"]).drop(*key, "t_us")
 
 
-def denoiser_features(detections: DataFrame) -> DataFrame:
-    """FIRMS, time, radius and cell features for all rows at once."""
+def terrain_features(detections: DataFrame, terrain: DataFrame, grid: GridSpec) -> DataFrame:
+    """(id, elevation_m, slope_deg, aspect_sin, aspect_cos) of the terrain cell (i, j, z, slope_deg, aspect_deg) below each row."""
+    aspect = F.radians("aspect_deg")
+    flat = terrain.select("i", "j", F.struct(F.col("z").alias("elevation_m"), "slope_deg", F.sin(aspect).alias("aspect_sin"), F.cos(aspect).alias("aspect_cos")).alias("ground"))
+    return sample_cell(detections.select("id", "lat", "lon"), flat, grid, "ground", "ground").select("id", "ground.*")
+
+
+def denoiser_features(detections: DataFrame, terrain: DataFrame | None = None, grid: GridSpec | None = None) -> DataFrame:
+    """FIRMS, time, radius, cell, nearest-neighbour and (with ``terrain``) terrain features for all rows at once."""
     base = firms_features(detections).withColumns(time_features(F.col("acq_time")))
     around = radius_counts(detections.select("id", "lat", "lon", "acq_time")).select("id", *[s.name for s in RADIUS_SPANS])
     history = same_cell_history(detections.select("id", "lat", "lon", "acq_time")).drop("lat", "lon", "acq_time")
-    return base.join(around, "id", "left").join(history, "id", "left")
+    points = detections.select("id", "lat", "lon", "acq_time")
+    nearest = attach_counts(points, nearest_before(points)).select("id", F.col("nn_km").alias("dist_nn_24h_km"))
+    joined = base.join(around, "id", "left").join(history, "id", "left").join(nearest, "id", "left")
+    return joined if terrain is None else joined.join(terrain_features(detections, terrain, grid), "id", "left")

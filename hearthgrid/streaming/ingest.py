@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.functions.parse import accepted, parse_feed
-from hearthgrid.session import scratch_path
+from hearthgrid.session import materialize, scratch_path
 
 LOGGER = logging.getLogger(__name__)
 WATERMARK = "10 days"  # fixed value: the feed re-sends at most ten days
 
 
-def parquet_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 16).parquet(folder)
+def parquet_stream(spark: SparkSession, folder: str, pattern: str, schema, files: int = 16) -> DataFrame:
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def csv_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
@@ -56,24 +56,39 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", path: str
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def score_batches(stream: DataFrame, name: str, steps: list[Callable[[DataFrame], DataFrame]], path: str | None = None) -> DataFrame:
-    """Run the scoring steps on every micro-batch and write one partition per batch.
+def score_batches(stream: DataFrame, name: str, steps: dict[str, tuple[Callable[[DataFrame], DataFrame], str]],
+                  finish: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """Run every score step on every micro-batch and write one partition per batch.
 
-    A step that fails is logged and skipped, the rows go on without its column. Rewriting a replayed
-    batch replaces its own partition only, so a retry after a lost driver stays exact.
+    A step is ``(rows -> (id, columns), the columns as DDL)``. Its result is written within the ``try``, so a failure
+    while it runs is caught too: it is logged and the step's columns are null for that batch. ``finish`` turns the
+    scored rows into what is stored. Rewriting a replayed batch replaces its own partition only, so a retry after a
+    lost driver stays exact.
     """
     spark = stream.sparkSession
     path = path or scratch_path(spark, f"{name}-out")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        for step in steps:
+        rows = materialize(batch, f"{name}-batch")
+        scored = rows
+        for label, (step, columns) in steps.items():
             try:
-                rows = step(rows)
+                scored = scored.join(materialize(step(rows), f"{name}-{label}"), "id", "left")
             except Exception:  # noqa: BLE001 - a scoring step must not stop the ingest
-                LOGGER.exception("scoring step %s failed for batch %s", getattr(step, "__name__", step), batch_id)
-        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+                LOGGER.exception("scoring step %s failed for batch %s", label, batch_id)
+                scored = scored.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in columns.split(", ")})
+        finish(scored).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
 
     query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(path)
+
+
+def with_open_windows(closed: DataFrame, everything: DataFrame, keys: list[str]) -> DataFrame:
+    """What a stream has put out, and those rows of the batch result that it still holds back as open.
+
+    The closing step at the end of a feed: windows that the watermark has not passed come from the batch aggregate.
+    """
+    # Written first: joined on its start, a session window would be planned before its rows are merged.
+    whole = materialize(everything, "all-windows")
+    return closed.unionByName(whole.join(closed, keys, "left_anti"))
