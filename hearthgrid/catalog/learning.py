@@ -132,11 +132,20 @@ def spread_learned(t):
     return denoiser.learned_forecast(models, cells, HORIZONS, SPREAD_COLUMNS).select("run_id", "horizon_h", "i", "j", "p")
 
 
-@query("job_calibrate_fit")
-def calibrate_fit(t):
+def _calibrated(t, method):
     candidates = calibration.candidates(t.hindcast, 0.0)
     parts = materialize(calibration.oldest_cases(candidates, 0.8), "calibration-cells")
-    knots = calibration.fit_horizons(parts.where("part = 'train'"))
+    knots = calibration.fit_horizons(parts.where("part = 'train'"), method)
     return calibration.evaluate(calibration.apply_knots(parts.where("part = 'validation'"), knots))
 
 
+@query("job_calibrate_fit")
+def calibrate_fit(t):
+    return _calibrated(t, "isotonic")
+
+
+@query("job_calibrate_fit_platt")
+def calibrate_fit_platt(t):
+    return _calibrated(t, "platt")
+
+

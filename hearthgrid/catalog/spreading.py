@@ -11,6 +11,7 @@ from hearthgrid.catalog.fields import SLOPE, dem, slopes
 from hearthgrid.catalog.neighbours import WGRID
 from hearthgrid.catalog.projections import COARSE, LANDCOVER_SQL, LEVEL_SQL, WEATHER_SQL, kernel_sql, r6
 from hearthgrid.catalog.registry import query
+from hearthgrid.functions.spread import KernelConfig
 from hearthgrid.grid import GridSpec
 from hearthgrid.operators import heatmap, tiles
 from hearthgrid.operators.metrics import BIN_EDGES
@@ -97,6 +98,25 @@ def spread_kernel(t):
     return World(t).forecast().select("run_id", "horizon_h", "i", "j", r6(F.col("p")).alias("p"))
 
 
+# The same forecast with an upslope bias, and only inside a band of rows as area of interest.
+_TILT = "CASE WHEN g.slope_deg > 0 AND g.aspect_deg IS NOT NULL THEN 1e0 - least(0.35e0 * least(greatest(g.slope_deg / 30e0, 0e0), 1e0), 0.9e0) * cos(atan2(di * 11.1e0, dj * " + _DX + ") - radians(90e0 - (g.aspect_deg + 180e0) % 360e0)) ELSE 1e0 END"
+_EXP = kernel_sql("di", "dj", "horizon_h", "u", "v", "11.1e0", _DX)
+_SLOPED = _EXP.replace("exp(-(CASE", "exp(-((CASE", 1).replace(" END) / (0.05e0 * horizon_h", f" END) * ({_TILT})) / (0.05e0 * horizon_h", 1)
+add_cte("ground", "SELECT slope_deg, CASE WHEN sqrt(s * s + c * c) >= 1e-12 THEN (degrees(atan2(s, c)) + 360e0) % 360e0 END AS aspect_deg FROM (SELECT avg(slope_deg) AS slope_deg, avg(sin(radians(aspect_deg))) AS s, avg(cos(radians(aspect_deg))) AS c FROM cur_terrain)", ("cur_terrain",))
+add_cte("sloped_sums", f"SELECT run_id, horizon_h, i, j, sum(w) AS p FROM (SELECT a.run_id, s.horizon_h, a.i + d.di AS i, a.j + e.dj AS j, {_SLOPED} AS w "
+        "FROM active a JOIN shape s USING (run_id) JOIN (SELECT unnest(range(-199, 200)) AS di) d ON abs(di) <= half JOIN (SELECT unnest(range(-199, 200)) AS dj) e ON abs(dj) <= half CROSS JOIN ground g "
+        "WHERE a.fire > 0 AND a.i + di BETWEEN 0 AND 199 AND a.j + dj BETWEEN 0 AND 199) GROUP BY ALL", ("active", "shape", "ground"))
+
+
+@query("job_spread_kernel_slope", with_ctes("sloped_sums") + "SELECT run_id, horizon_h, i, j, round(CASE WHEN t.z IS NOT NULL AND t.slope_deg IS NOT NULL AND i BETWEEN 40 AND 160 THEN least(greatest(p / max(p) OVER (PARTITION BY run_id, horizon_h), 0e0), 1e0) ELSE 0e0 END, 6) AS p "
+       "FROM sloped_sums LEFT JOIN cur_terrain t USING (i, j)")
+def spread_kernel_slope(t):
+    w = World(t)
+    aoi = w.mask.select("i", "j", F.col("i").between(40, 160).alias("valid"))
+    cells = spread.heuristic_forecast(w.active, w.wind(), w.mask, COARSE, KernelConfig(slope_bias=True), w.terrain, aoi)
+    return cells.select("run_id", "horizon_h", "i", "j", r6(F.col("p")).alias("p"))
+
+
 add_cte("observed", "SELECT DISTINCT s.run_id, s.horizon_h, c.i, c.j FROM steps s JOIN coarse c ON c.acq_time BETWEEN s.ref_time + INTERVAL '1' HOUR * (horizon_h - 3) AND s.ref_time + INTERVAL '1' HOUR * (horizon_h + 3)", ("steps", "coarse"))
 add_cte("pred_obs", "SELECT run_id, horizon_h, i, j, coalesce(p, 0e0) AS y_pred, CASE WHEN o.run_id IS NULL THEN 0e0 ELSE 1e0 END AS y_obs FROM forecast FULL JOIN (SELECT *, 1 AS hit FROM observed) o USING (run_id, horizon_h, i, j)", ("forecast", "observed"))
 

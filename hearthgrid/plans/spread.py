@@ -11,6 +11,7 @@ from hearthgrid.functions.spread import KernelConfig, cell_km, kernel_half, kern
 from hearthgrid.grid import GridSpec, with_cell
 from hearthgrid.operators.heatmap import cell_values, noise_weight
 from hearthgrid.operators.neighbours import HOUR_US, micros
+from hearthgrid.operators.raster import circular_mean
 from hearthgrid.operators.runs import covers_box, latest_run_at
 from hearthgrid.operators.weather import nearest_node, nearest_step, pack_series
 
@@ -97,7 +98,12 @@ def spread_inputs(cells: DataFrame, horizons: Sequence[int], nodes: DataFrame, t
     }).withColumnRenamed("z", "elevation_m")
 
 
-def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig()) -> DataFrame:
+def window_slope(terrain: DataFrame) -> DataFrame:
+    """One row: mean slope and circular mean aspect of the window, as the upslope bias of a kernel reads them."""
+    return terrain.agg(F.avg("slope_deg").alias("slope_deg"), circular_mean(F.col("aspect_deg")).alias("aspect_deg"))
+
+
+def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig(), terrain: DataFrame | None = None) -> DataFrame:
     """Sum of the decay weights of all active cells around each cell, per run and horizon.
 
     Every active cell unrolls its own neighbourhood in place (the weight is plain column arithmetic, no
@@ -107,6 +113,12 @@ def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelC
     dy, dx = cell_km(grid.cell, mean_lat)
     shaped = wind.withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn(
         "half", kernel_half(F.col("horizon_h"), F.col("wind"), dy, dx, cfg).cast("int")).drop("ref_time")
+    tilted = cfg.slope_bias and terrain is not None
+    if tilted:
+        slope = window_slope(terrain).select(F.struct("slope_deg", "aspect_deg").alias("ground")).scalar()
+        shaped = shaped.withColumns({"slope_deg": slope["slope_deg"], "aspect_deg": slope["aspect_deg"]})
+    elif cfg.slope_bias:
+        raise ValueError("an upslope bias needs the terrain of the window")
     burning = active.where(F.col("fire") > cfg.fire_threshold).select("run_id", F.col("i").alias("ai"), F.col("j").alias("aj"))
     # The rows are few and small but unroll to a whole neighbourhood of targets each: spread them over all tasks first
     # (a fixed count is not merged away again at run time).
@@ -116,7 +128,8 @@ def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelC
         .withColumn("di", F.explode(F.expr("sequence(-half, half)"))).where(f"ai + di BETWEEN 0 AND {grid.n_lat - 1}")
         .withColumn("dj", F.explode(F.expr("sequence(-half, half)"))).where(f"aj + dj BETWEEN 0 AND {grid.n_lon - 1}")
     )
-    weight = kernel_weight(F.col("di").cast("double"), F.col("dj").cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg)
+    weight = kernel_weight(F.col("di").cast("double"), F.col("dj").cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg,
+                           F.col("slope_deg") if tilted else None, F.col("aspect_deg") if tilted else None)
     return spans.select(*RUN_STEP, (F.col("ai") + F.col("di")).alias("i"), (F.col("aj") + F.col("dj")).alias("j"), weight.alias("w")).groupBy(*CELL).agg(
         F.sum("w").alias("p"))
 
@@ -137,9 +150,14 @@ def apply_masks(cells: DataFrame, mask: DataFrame, value: str = "p") -> DataFram
     return met.withColumn(value, F.when(F.coalesce("_ok", F.lit(False)), F.col(value)).otherwise(F.lit(0.0))).drop("_ok")
 
 
-def heuristic_forecast(active: DataFrame, wind: DataFrame, mask: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig()) -> DataFrame:
-    """Sparse forecast (run_id, horizon_h, i, j, p): sums, then normalised by the maximum, then masked."""
-    return apply_masks(normalise_by_max(kernel_sums(active, wind, grid, cfg), RUN_STEP, "p"), mask)
+def heuristic_forecast(active: DataFrame, wind: DataFrame, mask: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig(),
+                       terrain: DataFrame | None = None, aoi: DataFrame | None = None) -> DataFrame:
+    """Sparse forecast (run_id, horizon_h, i, j, p): sums, then normalised by the maximum, then masked.
+
+    ``mask`` is the validity of the terrain, ``aoi`` a second mask (i, j, valid) of the area asked for.
+    """
+    cells = apply_masks(normalise_by_max(kernel_sums(active, wind, grid, cfg, terrain), RUN_STEP, "p"), mask)
+    return cells if aoi is None else apply_masks(cells, aoi)
 
 
 MODELS = {"heuristic_v0": heuristic_forecast}
