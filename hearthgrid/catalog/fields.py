@@ -96,7 +96,11 @@ def with_elevation(t, df):
     return df.withColumns(near).join(dem(t).select(F.col("i").alias("ei"), F.col("j").alias("ej"), "z"), ["ei", "ej"])
 
 
-@query("join_elev_bin", with_ctes("pair_elev") + f"SELECT run_id, lead_h, i, j, z, {BAND} AS band FROM pair_elev")
+add_cte("node_elev", "SELECT n.i AS wi, n.j AS wj, d.z FROM (SELECT DISTINCT i, j, " + ELEV.format(c="lat", o="40.05e0") + " AS ei, " + ELEV.format(c="lon", o="22.05e0") + " AS ej FROM weather_cells) n JOIN dem d ON d.i = n.ei AND d.j = n.ej",
+        ("weather_cells", "dem"))
+
+
+@query("join_elev_bin", with_ctes("weather_cells", "node_elev") + f"SELECT run_id, lead_h, i, j, z, {BAND} AS band FROM weather_cells JOIN node_elev ON wi = i AND wj = j")
 def elev_bin(t):
     return with_elevation(t, t.weather_cells).select("run_id", "lead_h", "i", "j", "z", weather.elevation_band(F.col("z")).alias("band"))
 
