@@ -11,7 +11,7 @@ from hearthgrid.catalog.ansi import add_cte, with_ctes
 from hearthgrid.catalog.fields import dem, slopes
 from hearthgrid.catalog.projections import COARSE, r6
 from hearthgrid.catalog.registry import query
-from hearthgrid.catalog.spreading import HALF_DEG, HORIZONS, WGRID, World
+from hearthgrid.catalog.spreading import HORIZONS, WGRID, World
 from hearthgrid.operators.metrics import ranking_metrics
 from hearthgrid.plans import calibration, denoiser, hindcast, labels, spread, training
 from hearthgrid.plans.features import denoiser_features
@@ -100,36 +100,52 @@ def score_denoiser(t):
     return denoiser.score_pending(model, everything).select("id", "denoised_score", "is_noise")
 
 
-SPREAD_COLUMNS = ("fire_t0", "u10", "v10", "t2m", "rh2m", "wind_speed")
+SPREAD_COLUMNS = ("fire_t0", "u10", "v10", "t2m", "rh2m", "wind_speed", "elevation_m", "slope_deg", "aspect_sin", "aspect_cos")
+IOU_THRESHOLDS = (0.3, 0.5, 0.7)
 
 
-def _spread_cells(t):
-    """Sampled training cells with weather at the nearest node."""
-    runs = spread.reference_runs(t.detections)
-    active = spread.active_cells(t.detections, runs, HALF_DEG)
-    observed = hindcast.observed_cells(t.detections, runs, HORIZONS, HALF_DEG)
-    sampled = hindcast.sample_negatives(hindcast.labelled_cells(runs, HORIZONS, active, observed, HALF_DEG))
-    met = spread.cell_weather(sampled, World(t).nodes(), HALF_DEG, WGRID)
-    return materialize(met.withColumn("wind_speed", F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10"))), "spread-cells")
+def _window_cells(t, world):
+    """Every cell of the forecast grid for every run and horizon, with its label."""
+    observed = hindcast.observed_cells(t.detections, world.runs, HORIZONS, COARSE)
+    return hindcast.labelled_cells(world.runs, HORIZONS, world.active, observed, COARSE)
+
+
+def _with_inputs(world, cells):
+    """Weather at the nearest node and terrain of each cell."""
+    met = spread.cell_weather(cells, world.nodes(), COARSE, WGRID).withColumn("wind_speed", F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10")))
+    return spread.with_terrain(met, world.terrain)
+
+
+def _spread_cells(t, world):
+    """Training cells: all positives and burning cells, and the documented share of the other negatives."""
+    return materialize(_with_inputs(world, hindcast.sample_negatives(_window_cells(t, world))), "spread-cells")
 
 
 @query("job_train_spread")
 def train_spread(t):
-    parts = training.split_by_time_steps(_spread_cells(t), "ref_time", 0.8)
+    """Ranking metrics and, per threshold, IoU of the validation part for each horizon."""
+    parts = training.split_by_time_steps(_spread_cells(t, World(t)), "ref_time", 0.8)
     models = denoiser.fit_spread_models(parts.where("part = 'train'"), HORIZONS, SPREAD_COLUMNS)
-    scored = denoiser.learned_forecast(models, parts.where("part = 'validation'"), HORIZONS, SPREAD_COLUMNS)
+    scored = materialize(denoiser.learned_forecast(models, parts.where("part = 'validation'"), HORIZONS, SPREAD_COLUMNS), "spread-scored")
     out = None
     for h in HORIZONS:
         part = ranking_metrics(scored.where(F.col("horizon_h") == h), "label", "p").select(F.lit(h).alias("horizon_h"), "roc_auc", "average_precision", "n_pos", "n_neg")
         out = part if out is None else out.unionByName(part)
-    return out
+    both = lambda p: (F.col("p") >= p) & (F.col("label") == 1)
+    either = lambda p: (F.col("p") >= p) | (F.col("label") == 1)
+    shares = [F.coalesce(F.try_divide(F.count_if(both(p)), F.count_if(either(p))), F.lit(0.0)).alias(f"iou_{round(100 * p)}") for p in IOU_THRESHOLDS]
+    return out.join(scored.groupBy("horizon_h").agg(*shares), "horizon_h", "left")
 
 
 @query("job_spread_learned")
 def spread_learned(t):
-    cells = _spread_cells(t)
-    models = denoiser.fit_spread_models(cells, HORIZONS, SPREAD_COLUMNS)
-    return denoiser.learned_forecast(models, cells, HORIZONS, SPREAD_COLUMNS).select("run_id", "horizon_h", "i", "j", "p")
+    """The learned forecast of every run's whole window, zero where the terrain is not valid, summed up per run and horizon."""
+    world = World(t)
+    models = denoiser.fit_spread_models(_spread_cells(t, world), HORIZONS, SPREAD_COLUMNS)
+    window = _with_inputs(world, _window_cells(t, world))
+    cells = spread.apply_masks(denoiser.learned_forecast(models, window, HORIZONS, SPREAD_COLUMNS), world.mask)
+    return cells.groupBy("run_id", "horizon_h").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("p"), 3).alias("expected"), F.count_if(F.col("p") >= 0.5).alias("likely"),
+                                                    F.count_if(F.col("p") == 0).alias("zero"))
 
 
 def _calibrated(t, method):

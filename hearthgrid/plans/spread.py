@@ -88,6 +88,13 @@ def cell_weather(cells: DataFrame, nodes: DataFrame, grid: GridSpec, weather_gri
     return met.withColumns({"u10": F.coalesce("u10", F.lit(0.0)), "v10": F.coalesce("v10", F.lit(0.0))})
 
 
+def with_terrain(cells: DataFrame, terrain: DataFrame) -> DataFrame:
+    """Elevation, slope and aspect parts of each cell; null where there is no terrain."""
+    aspect = F.radians("aspect_deg")
+    ground = terrain.select("i", "j", F.col("z").alias("elevation_m"), "slope_deg", F.sin(aspect).alias("aspect_sin"), F.cos(aspect).alias("aspect_cos"))
+    return cells.join(ground, ["i", "j"], "left")
+
+
 def spread_inputs(cells: DataFrame, horizons: Sequence[int], nodes: DataFrame, terrain: DataFrame, grid: GridSpec, weather_grid: tuple) -> DataFrame:
     """Model inputs per run, horizon and cell: fire, terrain with aspect parts, weather."""
     met = cell_weather(run_steps(cells, horizons), nodes, grid, weather_grid)
