@@ -1,6 +1,7 @@
 """Column functions against hand-made values."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from hearthgrid.functions import features, parse, scoring
 from hearthgrid.grid import GridSpec, normalize_lon, with_cell
 from hearthgrid.operators import filters, heatmap, records
 from hearthgrid.plans.risk import risk_layout
+from hearthgrid.session import scratch_root
 
 
 def one(spark, *columns):
@@ -89,7 +91,21 @@ def test_run_alignment_and_allow_list(spark):
         records.select_allowed(df, ["id", "password"])
 
 
-def test_risk_layout_keeps_the_cell_limit():
-    g = risk_layout((20.0, 40.0, 30.0, 50.0), 1.0)
+def test_risk_layout_honours_the_cell_size_and_a_given_limit():
+    whole = risk_layout((20.0, 40.0, 30.0, 50.0), 1.0)
+    assert whole.n_lat == 1110 and whole.n_lat * whole.n_lon > 800_000
+    g = risk_layout((20.0, 40.0, 30.0, 50.0), 1.0, max_cells=500)
     assert g.n_lat * g.n_lon <= 500
     assert risk_layout((20.0, 40.0, 20.05, 40.05), 10.0).n_lat == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(tmp_path):
+    def fake(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_root(fake(master))
+        assert scratch_root(fake(master, f"{tmp_path}/")) == str(tmp_path)
+    assert scratch_root(fake("local[4]"))

@@ -199,3 +199,27 @@ def test_overlapping_csv_pulls_stream_to_the_batch_result(spark, tables):
     got = run_available(stream, "csv")
     batch = accepted(parse_feed(spark.read.csv(folder, header=True, schema=FEED_SCHEMA).withColumn("source", F.lit("feed")))).select("source", "dedupe_hash").distinct()
     assert got.count() == batch.count() and got.exceptAll(batch).count() == 0
+
+
+def test_batch_is_scored_against_the_whole_table(spark, tables):
+    from hearthgrid.plans.scoring import clusters
+
+    rows = tables.detections.select("id", "lat", "lon", "acq_time", "sensor")
+    whole = {r.id: (r.cluster_size, r.sensor_count) for r in clusters(rows).collect()}
+    batch = rows.where("id % 5 = 0")
+    got = {r.id: (r.cluster_size, r.sensor_count) for r in clusters(batch, history=rows.where("id % 5 <> 0")).collect()}
+    assert got == {k: v for k, v in whole.items() if k % 5 == 0} and any(v[0] > 1 for v in got.values())
+
+
+def test_failing_score_step_leaves_nulls(spark, tables):
+    from hearthgrid.streaming import ingest
+
+    def broken(rows):
+        return rows.select("id", F.raise_error(F.lit("no score today")).cast("double").alias("weather_score"))
+
+    folder = scratch_path(spark, "some-events")
+    rows = tables.detections.select("id", "frp").limit(40)
+    rows.repartition(2).write.parquet(folder)
+    steps = {"fine": (lambda r: r.select("id", (F.col("id") * 2).alias("twice")), "twice bigint"), "weather": (broken, "weather_score double")}
+    out = ingest.score_batches(ingest.parquet_stream(spark, folder, "*.parquet", rows.schema, files=1), "broken", steps, lambda scored: scored).collect()
+    assert len(out) == 40 and all(r.twice == 2 * r.id and r.weather_score is None for r in out) and len({r.batch_id for r in out}) == 2
