@@ -177,35 +177,53 @@ def first_blocks(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     wide = widest_within(share)
     half = max(GRAM, wide // 2)
 
-    def blocks_of(text: bytes, wanted: list[dict]) -> pd.DataFrame:
-        place, near, far, need = (np.array([w[k] for w in wanted], dtype=np.int64) for k in ("place", "nearest", "farthest", "need"))
+    def named(data: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent names of the shared stretch that starts at each ``x``."""
+        names, size = pointers(data, wide), np.full(len(x), share, dtype=np.int64)
+        return tuple(name_of(names[w], w, x, size, max(2, -(-share // w)) if w < share else 1) for w in (wide, half))
+
+    def blocks_of(items: list[bytes], counts: np.ndarray, place, near, far) -> tuple[np.ndarray, ...]:
+        """Blocks of the anchors of several texts: number of the anchor, distance, both names, bytes before and behind."""
+        text = b"".join(items)
+        begin = np.concatenate([[0], np.cumsum([len(t) for t in items])])
+        doc = np.repeat(np.arange(len(items)), counts)
         number = far // BLOCK - near // BLOCK + 1
         which = np.repeat(np.arange(len(place)), number)
-        d0 = BLOCK * (near[which] // BLOCK + np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number))
-        x = place[which] - d0
+        low = BLOCK * (near[which] // BLOCK + np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number))
+        first, last = begin[doc[which]], begin[doc[which] + 1]
+        x = first + place[which] - low
         one, two = np.empty(len(x), U64), np.empty(len(x), U64)
-        for a in range(0, len(text), STRETCH):
+        data = np.frombuffer(text, np.uint8)
+        for a in range(0, len(text), STRETCH):  # more than one only for a long text
             here = np.flatnonzero((x >= a) & (x < a + STRETCH))
             if len(here):
-                names = pointers(np.frombuffer(text, np.uint8)[a:a + STRETCH + share], wide)
-                size = np.full(len(here), share, dtype=np.int64)
-                one[here] = name_of(names[wide], wide, x[here] - a, size, -(-share // wide) if wide < share else 1)
-                two[here] = name_of(names[half], half, x[here] - a, size, max(2, -(-share // half)) if half < share else 1)
+                one[here], two[here] = named(data[a:a + STRETCH + share], x[here] - a)
         # Equal strings lie equally far from their anchors; without the distance, one place could meet itself under two anchors.
-        one, two = joined_name(one, d0.astype(U64)), joined_name(two, ~d0.astype(U64))
-        return pd.DataFrame({"need": need[which] == 1, "place": place[which], "low": d0, "nearest": near[which], "farthest": far[which], "one": one.view(np.int64), "two": two.view(np.int64),
-                             "before": [text[max(0, i - side):i] for i in x.tolist()], "behind": [text[i + share:i + share + side] for i in x.tolist()]})
+        one, two = joined_name(one, low.astype(U64)), joined_name(two, ~low.astype(U64))
+        before = [text[max(f, i - side):i] for f, i in zip(first.tolist(), x.tolist())]
+        behind = [text[i + share:min(e, i + share + side)] for e, i in zip(last.tolist(), x.tolist())]
+        return which, low, one, two, before, behind
 
     schema = "id long, h long, need boolean, place long, low int, nearest int, farthest int, one long, two long, before binary, behind binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in schema.split(", ")]
         for batch in batches:
-            for k, (text, wanted) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                rows = blocks_of(text.encode(), wanted)
-                rows["id"], rows["h"] = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                typed = {c: rows[c].astype("int32") if c in ("low", "nearest", "farthest") else rows[c] for c in names}
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(typed), preserve_index=False)
+            items, wanted = [t.encode() for t in batch.column(2).to_pylist()], batch.column(3)
+            limits = np.concatenate([[0], np.cumsum(wanted.value_lengths().to_numpy())])
+            fields = wanted.flatten()
+            place, near, far, need = (fields.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "nearest", "farthest", "need"))
+            for lo, hi in slices(items, STRETCH):
+                a, b = limits[lo], limits[hi]
+                counts = np.diff(limits[lo:hi + 1])
+                which, low, one, two, before, behind = blocks_of(items[lo:hi], counts, place[a:b], near[a:b], far[a:b])
+                row = pa.array(lo + np.repeat(np.arange(hi - lo), counts)[which])
+                which = which + a
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(need[which] == 1), pa.array(place[which]), pa.array(low.astype(np.int32)), pa.array(near[which].astype(np.int32)),
+                     pa.array(far[which].astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(before, pa.binary()), pa.array(behind, pa.binary())],
+                    names,
+                )
 
     # A document's anchors are bounded by its length. Rows equal in id and text are one here.
     listed = asked.groupBy(*KEY).agg(F.collect_list(F.struct("place", "nearest", "farthest", F.col("need").cast("int").alias("need"))).alias("wanted"))
