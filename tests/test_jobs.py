@@ -116,7 +116,8 @@ def test_kernel_bias_and_growth(spark):
     calm_e, calm_w, down, up, soon, late = spark.range(1).select(w(0, 3, 6, 0), w(0, -3, 6, 0), w(0, 3, 6, 10), w(0, -3, 6, 10), w(0, 3, 6, 0), w(0, 3, 48, 0)).first()
     assert calm_e == calm_w and down > up and late > soon
     halves = spark.range(1).select(kernel_half(lit(6), lit(0), lit(1), lit(1), cfg), kernel_half(lit(72), lit(30), lit(1), lit(1), cfg)).first()
-    assert tuple(halves) == (3, 100)
+    assert tuple(halves) == (3, 659)  # three reaches, uncut
+    assert spark.range(1).select(kernel_half(lit(72), lit(30), lit(1), lit(1), KernelConfig(max_width=201))).first()[0] == 100
     uphill = KernelConfig(slope_bias=True)
     up_n, up_s = spark.range(1).select(*[kernel_weight(lit(d), lit(0), lit(6), lit(0), lit(0), lit(1), lit(1), uphill, lit(30), lit(180)) for d in (3, -3)]).first()
     assert up_n > up_s  # downslope is south, so north is easier
