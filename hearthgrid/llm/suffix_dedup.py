@@ -245,7 +245,7 @@ def refined(blocks: DataFrame) -> DataFrame:
         if size == 1:
             return reduce(DataFrame.union, answers)
         open_sets = sets.withColumn("need", F.col("need") & (F.col("n") == 1)).drop("n")
-        crowded = open_sets.groupBy(*names).agg(F.count("*").alias("c"), F.max("need").alias("any")).filter("c > 1 AND any").select(*names)
+        crowded = materialize(open_sets.groupBy(*names).agg(F.count("*").alias("c"), F.max("need").alias("any")).filter("c > 1 AND any").select(*names), "crowded_blocks")
         rest, half = open_sets.join(crowded, names), size // 2
         nearer = F.struct(F.col("low").alias("low"), F.substring("behind", 1, half).alias("more"), F.lit(0).alias("side"),
                           F.expr(f"substring(before, greatest(length(before) - {half - 1}, 0) + 1)").alias("before"), F.expr(f"substring(behind, {half + 1})").alias("behind"))
@@ -262,7 +262,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < GRAM + BLOCK or length + STRETCH > 1 << PLACE_BITS:
         raise ValueError(f"strings of {GRAM + BLOCK} bytes or more, and far fewer than {1 << PLACE_BITS}")
     found = materialize(anchors(docs, length), "anchors")
-    crowded = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    # Written first: a join against a plain table can be split where one bucket is hot, one against an aggregate of the same key cannot.
+    crowded = materialize(found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "crowded_buckets")
     shared = materialize(found.join(crowded, "bucket"), "shared_anchors")
     alike = ["bucket", "around"]
     numbers = ["id", "h", "place", "nearest", "farthest"]
@@ -270,7 +271,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     several = sets.filter("n > 1").select(*alike)
     whole = shared.join(several, alike, "left_semi").select(*KEY, (F.col("place") - F.col("farthest")).alias("from"), (F.col("place") - F.col("nearest")).alias("to"))
     # Buckets with several sets, one of them a single anchor: all single ones ask, larger sets answer through one member.
-    mixed = sets.groupBy("bucket").agg(F.count("*").alias("sets"), F.min("n").alias("least")).filter("sets > 1 AND least = 1").select("bucket")
+    mixed = materialize(sets.groupBy("bucket").agg(F.count("*").alias("sets"), F.min("n").alias("least")).filter("sets > 1 AND least = 1").select("bucket"), "mixed_buckets")
     one_each = sets.filter("n = 1").select("bucket", "around", *numbers, F.lit(True).alias("need"))
     # The smallest values of a larger set may come from different anchors, so its member is looked up.
     member = shared.join(sets.filter("n > 1").select(*alike, F.col("id").alias("least_id")), alike).filter("id = least_id")
