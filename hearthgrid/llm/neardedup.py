@@ -174,12 +174,62 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def meeting_points(near: DataFrame, radius: int) -> DataFrame:
+    """``(view, point, node)``: any two rows of ``near(view, fp, node)`` within ``radius`` bits in a view share a point, others share none.
+
+    Points are worked out for the distinct fingerprints. One that a single fingerprint reaches is kept for that
+    fingerprint's own nodes only, once.
+    """
+    flipped = F.explode(_longs(flips(radius // 2))).alias("flip")
+    reached = near.select("view", "fp").distinct().select("view", "fp", flipped).select("view", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    several = reached.groupBy("view", "at").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("view", "at")
+    shared = reached.join(several, ["view", "at"], "left_semi").union(reached.filter("fp = at")).distinct()
+    placed = shared.join(near, ["view", "fp"]).select("view", F.xxhash64("view", "at").alias("point"), "node")
+    met = placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("point")
+    return placed.join(met, "point", "left_semi").select("view", "point", "node")
+
+
+def linked(points: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(node, root)``: the components that all links of similar texts at the points of ``points(view, point, node)`` make.
+
+    Texts are first tested with the smallest document they meet in each view. Then, as long as a point has members of
+    several components, some of them (leaders, of the components with the fewest members there; twice as many each
+    round) are tested with every member of the other components, and leave the point. So in the end any two members
+    of a point are in one component or have been found not similar.
+    """
+    low = points.groupBy("point").agg(F.min("node").alias("low"))
+    first = points.join(low, "point").filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("low"))
+    tested = materialize(first.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
+    found = materialize(components(verified(tested, docs, shingle, similarity)), "roots")
+    left, most = points.select("point", "node"), 1
+    while True:
+        here = left.join(found, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
+        parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
+        mixed = materialize(parts.groupBy("point").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "mixed_points")
+        if mixed.isEmpty():
+            return found
+        here = materialize(here.join(mixed.select("point"), "point", "left_semi"), "members")
+        few = F.row_number().over(Window.partitionBy("point").orderBy("members", "lead"))
+        parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
+        ranked = parts.withColumn("rank", few).filter(F.col("rank") <= most)
+        leaders = materialize(ranked.join(mixed, "point").filter("rank < parts").select("point", "lead", F.col("root").alias("lead_root")), "leaders")
+        met = here.join(leaders, "point").filter("root <> lead_root").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        fresh = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
+        similar = materialize(verified(fresh, docs, shingle, similarity), "similar")
+        if not similar.isEmpty():
+            known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            found = materialize(components(known.union(similar)), "roots")
+        tested = tested.union(fresh)
+        left = materialize(here.join(leaders.select("point", F.col("lead").alias("node")), ["point", "node"], "left_anti").select("point", "node"), "points_left")
+        most *= 2
+
+
 def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of every row with a doc_id: the smallest doc_id that links of similar texts reach.
 
     Texts of equal words in equal order are copies. Of the others, fingerprints of the set of words are taken under
-    ``views`` hashes; in each view a document is paired with the smallest doc_id that lies within ``radius`` bits (at a meeting point,
-    after pigeonring). Pairs are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
+    ``views`` hashes; documents within ``radius`` bits in a view share a meeting point there (after pigeonring). Any two
+    that do are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
     similar are within two bits in at least one view with high but not full probability (README has measured figures).
     Repeated doc_ids are one document; a link of any of its texts counts.
     """
@@ -191,11 +241,7 @@ def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle
     keyed = rows.select("view", "fp", "node", chains).select("view", "fp", "node", F.xxhash64("view", "chain", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
     near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
-    points = near.select("view", "node", "fp", F.explode(_longs(flips(radius // 2))).alias("flip")).select("view", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    met = points.groupBy("view", "point").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").drop("high")
-    pairs = points.join(met, ["view", "point"]).filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("low"))
-    pairs = materialize(pairs.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    found = components(verified(pairs, docs, shingle, similarity))
+    found = linked(materialize(meeting_points(near, radius), "points"), docs, shingle, similarity)
     rooted = nodes.select("t1", "t2", "node").join(found, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
     return prints.select("doc_id", "t1", "t2").join(rooted, ["t1", "t2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 

@@ -1,5 +1,6 @@
 """Near copies, fingerprints and repeated strings against brute force."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -59,6 +60,18 @@ def test_similar_texts(awkward, spark):
     assert neardedup.drop_near_copies(awkward.limit(0)).count() == 0 and neardedup.near_groups(awkward.limit(0)).count() == 0
 
 
+def test_dissimilar_members_of_a_meeting_point_hide_nothing(spark):
+    """Equal word sets meet in every view: reordered texts at the smallest and the largest doc_id, and similar ones between."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(200)]
+    swapped = lambda k: " ".join([*words[:k], words[k + 1], words[k], *words[k + 2:]])
+    shuffled = lambda: " ".join(rng.sample(words, len(words)))
+    rows = [(1, shuffled()), (2, shuffled()), (3, " ".join(words)), (4, swapped(50)), (5, swapped(120)), (6, swapped(170)), (9, shuffled())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardedup.similar_groups(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3, 9: 9}
+    assert sorted(r["doc_id"] for r in neardedup.drop_near_copies(docs).collect()) == [1, 2, 3, 9]
+
+
 def test_components(spark):
     chain = [(k + 1, k) for k in range(40)] + [(100, 101), (102, 101), (7, 7)] + [(500, 500 - k) for k in range(1, 30)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
