@@ -1,12 +1,12 @@
 """Secret scans with SQL expressions only: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 Patterns (kinds ``assign``, ``access``, ``hex``) are split points of the text: what lies between and within the
-matches gives their places. Candidate strings of the kind ``entropy`` are runs of key characters. A window of
+matches gives their places. Candidate strings of the kind ``entropy`` are runs of key characters, cut at pattern matches. A window of
 ``WINDOW`` characters slides over each; the sum of ``c * log2(c)`` over its characters' counts ``c`` is kept up to date by
 the counts of the character that enters and of the one that leaves, and the entropy is ``log2(WINDOW) - sum / WINDOW``.
-Each character class of a string (hexadecimal; letters of both cases with digits; one case with digits) has its own
+Each character class of a string (hexadecimal; letters of both cases with digits; one case with digits; no digits) has its own
 threshold. The span of a string runs from its first to its last window that reaches the threshold. Strings on the allow list and strings
-that touch a pattern's span give none.
+inside a pattern's span give none.
 """
 
 from __future__ import annotations
@@ -30,20 +30,25 @@ KINDS = (*BASE, "entropy")
 LOOKED_UP = {"assign": BASE["assign"][0], "access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
+#: Where a base match begins that has its least length.
+BEGINS = r"""[0-9a-f]{16}|AKIA[A-Z0-9]{14}|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
+#: Runs of key characters, cut at base matches: they end before one, and start at the run's begin or right behind one
+#: (a matched ``assign`` reaches to the end of the run, so there is nothing behind it).
+CANDIDATE = rf"(?:(?<![A-Za-z0-9+/_=-])|(?<=[0-9a-f]{{16}})(?![0-9a-f])|(?<=[A-Z0-9]{{18}})(?![A-Z0-9]))(?:(?!{BEGINS})[A-Za-z0-9+/_=-]){{{WINDOW},}}+"
 #: Character class of a candidate by pattern, first match wins, and the bits per character that make it a secret.
 CLASSES = (
     (r"^[0-9]+$", None),
     (r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
     (r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", 3.6),
     (r"^(?=.*[A-Za-z])(?=.*[0-9])", 3.4),
+    (r"^(?=.*[A-Za-z])", 3.9),
 )
-#: Harmless strings: UUIDs, dates and versions, paths of words, placeholders.
+#: Harmless strings: UUIDs, dates and versions, paths of words, and those in which a placeholder starts in every window.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9T:_/+-]+$",
     r"^[A-Za-z]*(?:[/_=+-]+[A-Za-z]*|[/_=+-]+[0-9]{1,4})+$",
-    r"(?i)example|placeholder|x{6}|0123456|abcdef",
+    rf"(?i)^(?!.*?(?:(?!example|placeholder|x{{6}}|0123456|abcdef).){{{WINDOW}}})",
 )
 #: Long candidates are worked through in stretches, each starting where the windows of the one before end.
 STRETCH = 256

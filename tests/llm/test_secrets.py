@@ -84,3 +84,18 @@ def test_query_digest_and_empty_table(spark, tmp_path):
         want = ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in base(TEXTS[r["doc_id"]] or ""))
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
     assert S.redact(docs.limit(0)).count() == 0 and S.scanned(docs.limit(0)).count() == 0
+
+
+def test_keys_beside_patterns_and_placeholders(spark):
+    digest, letters = "0123456789abcdef" * 2 + "01234567", "qWzRtYpLkJhGfDsXcVbNmEuIoAQwZrTyPlKj"
+    around = [(f"{digest}/", ""), (f"{digest}-", f"-{digest}"), ("AKIA" + "B7" * 8 + "/", ""), ("", f"/{digest}"), ("", "-token=" + "v" * 14),
+              ("example/keys/", ""), ("https_example_", ""), ("abcdef/", "/xxxxxxxx")]
+    texts = [f"see {a}{KEY}{b} end" for a, b in around] + [f"see {letters} end", "example/placeholder/example1", "see " + "x" * 40 + "1 end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in S.scanned(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in S.redact(docs).collect()}
+    for k, (before, _) in enumerate(around):
+        at = len("see " + before)
+        assert any(s["kind"] == 3 and s["start"] <= at + 2 and s["stop"] >= at + len(KEY) - 2 for s in found[k]), texts[k]
+        assert KEY[3:-3] not in clean[k] and digest not in clean[k]
+    assert [s["kind"] for s in found[len(around)]] == [3] and not found[len(around) + 1] and not found[len(around) + 2]
