@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("suffix_dedup", "vector_codes", "token_counts", "fingerprints", "sharding", "secrets", "decontamination", "toxicity", "quality", "neardedup", "packing")
+MODULES = ("suffix_dedup", "prefix_trie", "nearest_vectors", "vector_codes", "token_counts", "fingerprints", "sharding", "secrets", "decontamination", "toxicity", "quality", "neardedup", "packing")
 
 
 def _modules():
