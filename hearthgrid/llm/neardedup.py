@@ -1,14 +1,14 @@
 """SimHash near-dedup: fingerprints within a few bits are linked, candidates are pruned by pigeonring chains.
 
-A fingerprint of 64 bits is cut into ``2 * radius`` segments on a ring. If two fingerprints differ in at most
-``radius`` bits, then from some segment on every chain of ``l`` consecutive segments differs in at most ``l / 2`` bits,
-its share: in no bit of the first segment, and in at most one bit of the two segments behind it, so one of these two is equal
-as well. Each fingerprint emits one key for each such pair of segments; a fingerprint that is alone under all its
-keys has no link and is done.
-
-The full Hamming check of the others pairs nobody within a key: two fingerprints differ in at most ``2k`` bits exactly
-if flipping at most ``k`` bits of each leads to one common value. Members of such a meeting point are all within the
-radius, so tying each to the smallest member keeps every connection with one link per member.
+A fingerprint of 64 bits is cut into ``segments`` equal parts on a ring. If two fingerprints differ in at most ``radius`` bits,
+then from some part on, every chain of ``l`` consecutive parts differs in at most ``l * radius / segments`` bits: its share.
+The shares of the first few are below one, so these parts are equal. They are the key under which fingerprints meet, once for each
+part that a chain can start from. Of two that meet, the differences are summed along the ring, and the pair goes as soon as
+a running sum passes its share; the sum over the whole ring is the Hamming check. Equal fingerprints are one.
+
+A key of more than ``CROWDED`` different fingerprints pairs nobody: its members meet at points instead. Two fingerprints differ in at
+most ``2k`` bits exactly if flipping at most ``k`` bits of each leads to one common value. Members of such a meeting
+point are all within the radius, so tying each to the smallest member keeps every connection with one link per member.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hearthgrid.llm.batches import bit_votes, distinct_hashes, packed, slices, spread, texts, words_of, xxh64
+from hearthgrid.llm.batches import U64, bit_votes, distinct_hashes, packed, slices, spread, texts, words_of, xxh64
 from hearthgrid.llm.components import components
 from hearthgrid.llm.frames import documents, materialize
 
@@ -31,6 +31,10 @@ ORACLE_SQL = None
 BITS, SEED = 64, 42
 #: Hashes under which documents are compared when similar texts are looked for.
 VIEWS = 10
+#: Different fingerprints of a key that are paired at most; larger keys are solved by meeting points.
+CROWDED = 64
+#: Words of 64 bits in the bitmap of a text's shingles.
+MARKS = 16
 
 
 def signed(value: int) -> int:
@@ -59,14 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def chain_masks(radius: int) -> list[int]:
-    """The segments that a chain leaves equal: one and the next, or one and the next but one (radius 1: one alone)."""
-    count = 2 * radius
-    cuts = [BITS * k // count for k in range(count + 1)]
-    parts = [sum(1 << b for b in range(a, z)) for a, z in zip(cuts, cuts[1:])]
-    if radius == 1:
-        return parts
-    return sorted({parts[k] | parts[(k + step) % count] for k in range(count) for step in (1, 2)})
+def ring(radius: int) -> tuple[int, int]:
+    """Number of segments, and how many of them a chain begins with that have to be equal."""
+    segments = 8 if radius == 1 else 16
+    return segments, (segments - 1) // radius
 
 
 def flips(most: int) -> list[int]:
@@ -77,22 +77,39 @@ def _longs(values: list[int]):
     return F.array(*[F.lit(signed(v)).cast("long") for v in values])
 
 
-def _meeting(distinct: DataFrame, *keys) -> DataFrame:
-    """``(fp, low)`` for the fingerprints that meet another one under a key; ``low`` is the smallest there."""
-    rows = distinct.select("fp", *keys)
-    names = [c for c in rows.columns if c != "fp"]
-    shared = rows.groupBy(*names).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").drop("high")
-    return rows.join(shared, names).select("fp", "low")
+def _turned(value: Column, bits: Column) -> Column:
+    """``value`` rotated, so that the segment at ``bits`` comes lowest."""
+    return F.call_function("shiftrightunsigned", value, bits).bitwiseOR(F.call_function("shiftleft", value, BITS - bits))
+
+
+def _chain(value: Column, bits: Column, length: int, segments: int) -> Column:
+    """The bits of the chain of ``length`` segments that starts at ``bits``."""
+    return _turned(value, bits).bitwiseAND(F.lit(signed((1 << (BITS // segments * length)) - 1)).cast("long"))
+
+
+def ring_keys(rows: DataFrame, radius: int, *names: str) -> DataFrame:
+    """``names``, ``fp``, ``at`` and ``key``: one row for each segment that a chain can start from, keyed by its equal segments."""
+    segments, equal = ring(radius)
+    starts = F.explode(F.sequence(F.lit(0), F.lit(BITS - 1), F.lit(BITS // segments))).alias("at")
+    return rows.select(*names, "fp", starts).withColumn("key", _chain(F.col("fp"), F.col("at"), equal, segments))
 
 
-def candidates(distinct: DataFrame, radius: int) -> DataFrame:
-    """Fingerprints that share a chain key with another one."""
-    keys = F.posexplode(_longs(chain_masks(radius))).alias("chain", "mask")
-    masked = distinct.select("fp", keys).select("fp", "chain", F.col("fp").bitwiseAND(F.col("mask")).alias("kept"))
-    return _meeting(masked, "chain", "kept").select("fp").distinct()
+def within_shares(difference: Column, at: Column, radius: int, length: int | None = None) -> Column:
+    """Whether each chain of up to ``length`` segments (all) from ``at`` on stays within its share of the radius."""
+    segments, equal = ring(radius)
+    passed = F.lit(True)
+    for n in range(equal + 1, (length or segments) + 1):
+        passed = passed & (F.bit_count(_chain(difference, at, n, segments)) <= n * radius // segments)
+    return passed
 
 
-def links(distinct: DataFrame, radius: int) -> DataFrame:
+def _meeting(rows: DataFrame, *names: str) -> DataFrame:
+    """``(fp, low)`` for the fingerprints that meet another one under the key ``names``; ``low`` is the smallest there."""
+    shared = rows.groupBy(*names).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").drop("high")
+    return rows.join(shared, list(names)).select("fp", "low")
+
+
+def meeting_links(distinct: DataFrame, radius: int) -> DataFrame:
     """``(a, b)``: enough links to connect all distinct fingerprints that differ in at most ``radius`` (1 or even) bits."""
     if radius == 1:
         probes = F.posexplode(_longs([((1 << BITS) - 1) ^ (1 << b) for b in range(BITS)])).alias("bit", "mask")
@@ -105,6 +122,21 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return met.filter((F.col("fp") != F.col("low")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= radius)).select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
+def links(distinct: DataFrame, radius: int, crowded: int = CROWDED) -> DataFrame:
+    """``(a, b)``: links that connect all distinct fingerprints that differ in at most ``radius`` (1 or even) bits.
+
+    Pairs of a key of at most ``crowded`` fingerprints are tested along the ring; larger keys go by meeting points.
+    """
+    keyed = materialize(ring_keys(distinct.select("fp"), radius), "ring_keys")
+    sizes = materialize(keyed.groupBy("at", "key").agg(F.count("*").alias("n")).filter("n > 1"), "ring_sizes")
+    few = keyed.join(sizes.filter(F.col("n") <= crowded).select("at", "key"), ["at", "key"])
+    others = few.withColumnRenamed("fp", "other")
+    near = within_shares(F.col("fp").bitwiseXOR(F.col("other")), F.col("at"), radius)
+    pairs = few.join(others, ["at", "key"]).filter((F.col("fp") > F.col("other")) & near).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    many = keyed.join(sizes.filter(F.col("n") > crowded).select("at", "key"), ["at", "key"], "left_semi").select("fp").distinct()
+    return pairs.distinct().union(meeting_links(many, radius))
+
+
 def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row: the smallest doc_id that links of at most ``radius`` bits reach.
 
@@ -114,8 +146,7 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     distinct = materialize(prints.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("lowest")), "distinct_fingerprints")
     if radius:
-        near = materialize(candidates(distinct.select("fp"), radius), "chained")
-        root = components(links(near, radius)).select(F.col("node").alias("fp"), "root")
+        root = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
         rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         lowest = rooted.groupBy("root").agg(F.min("lowest").alias("component_id"))
         found = rooted.join(lowest, "root").select("fp", "component_id")
@@ -125,33 +156,55 @@ def near_groups(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame
     return named.union(prints.filter("doc_id IS NULL").select("doc_id", "fp", F.lit(None).cast("long")))
 
 
-def word_views(docs: DataFrame, views: int) -> DataFrame:
-    """``(doc_id, t1, t2, f0, f1, ...)``: a 128-bit hash of each row's words in order, and fingerprints of its set of words under several hashes."""
+def word_views(docs: DataFrame, views: int, shingle: int) -> DataFrame:
+    """What near-copy search reads of each row: ``(doc_id, x, t1, t2, n, marks, f0, f1, ...)``.
+
+    ``x`` is a hash of the text as it is, ``t1, t2`` one of 128 bits of its words in order, ``n`` and ``marks`` the number
+    and a bitmap of its different word shingles, ``f0, ...`` fingerprints of its set of words under several hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "t1", "t2", *[f"f{k}" for k in range(views)]]
+        names = ["doc_id", "x", "t1", "t2", "n", "marks", *[f"f{k}" for k in range(views)]]
         for batch in batches:
-            items = texts(batch.column(1))
+            items = texts(batch.column(2))
             for lo, hi in slices(items):
                 words = words_of(items[lo:hi])
                 whole_start, whole_size, whole_first = words.shingles(1 << 40)
                 ids = np.zeros((hi - lo, 2), dtype=np.int64)
                 for t, a, n in zip(np.flatnonzero(np.diff(whole_first)).tolist(), whole_start.tolist(), whole_size.tolist()):
                     ids[t] = np.frombuffer(xxhash.xxh3_128_digest(words.data[a:a + n]), np.int64)
+                start, length, first = words.shingles(shingle)
+                hashes, limits = distinct_hashes(xxh64(words.data, start, length, SEED), first)
+                different = np.diff(limits)
+                marks = np.zeros((hi - lo, 64 * MARKS), dtype=bool)
+                marks[np.repeat(np.arange(hi - lo), different), (hashes % U64(64 * MARKS)).astype(np.int64)] = True
+                marks = np.packbits(marks, axis=1, bitorder="little").view("<i8")
                 start, length, first = words.shingles(1)
                 hashes, limits = distinct_hashes(xxh64(words.data, start, length, SEED), first)
                 columns = []
                 for _ in range(views):
                     columns.append(pa.array(packed(2 * bit_votes(hashes, limits) > np.diff(limits)[:, None]).view(np.int64)))
                     hashes = spread(hashes)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(ids[:, 0]), pa.array(ids[:, 1]), *columns], names)
+                offsets = pa.array(np.arange(0, MARKS * (hi - lo) + 1, MARKS, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(different.astype(np.int64)),
+                                                  pa.ListArray.from_arrays(offsets, pa.array(marks.ravel().astype(np.int64))), *columns], names)
+
+    schema = ", ".join(["doc_id long, x long, t1 long, t2 long, n long, marks array<long>", *[f"f{k} long" for k in range(views)]])
+    return docs.select(F.col("doc_id").cast("long"), text_hash(), "text").mapInArrow(run, schema)
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("x")
+
 
-    schema = ", ".join(["doc_id long", "t1 long", "t2 long", *[f"f{k} long" for k in range(views)]])
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+def may_be_similar(n: str, marks: str, other_n: str, other_marks: str, similarity: float) -> Column:
+    """False only for sets that are less similar: each bit in which their bitmaps differ is a member of one set alone."""
+    bits = sum((F.bit_count(F.get(marks, F.lit(k)).bitwiseXOR(F.get(other_marks, F.lit(k)))) for k in range(MARKS)), F.lit(0))
+    return bits * F.lit(1 + similarity) <= (F.col(n) + F.col(other_n)) * F.lit(1 - similarity) + F.lit(1e-6)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those ``pairs(a, b)`` of doc_ids whose texts' sets of word shingles have at least this Jaccard similarity."""
+def verified(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those ``pairs(a, b)`` of nodes whose texts' sets of word shingles have at least this Jaccard similarity; ``held`` has ``(node, text)``."""
 
     def shingles_of(words, k: int) -> set[bytes]:
         lo, hi = int(words.first[k]), int(words.first[k + 1])
@@ -168,9 +221,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float)
                 stay.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ends, "doc_id", "left_semi")
-    left, right = (named.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    left, right = (held.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -189,19 +240,24 @@ def meeting_points(near: DataFrame, radius: int) -> DataFrame:
     return placed.join(met, "point", "left_semi").select("view", "point", "node")
 
 
-def linked(points: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def linked(points: DataFrame, nodes: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(node, root)``: the components that all links of similar texts at the points of ``points(view, point, node)`` make.
 
-    Texts are first tested with the smallest document they meet in each view. Then, as long as a point has members of
+    Texts are first tested with the smallest node they meet in each view. Then, as long as a point has members of
     several components, some of them (leaders, of the components with the fewest members there; twice as many each
-    round) are tested with every member of the other components, and leave the point. So in the end any two members
-    of a point are in one component or have been found not similar.
+    round) are held against every member of the other components, and leave the point. So in the end any two members
+    of a point are in one component or have been found not similar. Bitmaps of their shingles, compared while
+    they are joined, keep most pairs from being made; only the rest is tested on the texts.
     """
+    marked = nodes.select("node", "n", "marks")
+    other = marked.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("marks").alias("lead_marks"))
+    likely = may_be_similar("n", "marks", "lead_n", "lead_marks", similarity)
     low = points.groupBy("point").agg(F.min("node").alias("low"))
-    first = points.join(low, "point").filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("low"))
-    tested = materialize(first.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    found = materialize(components(verified(tested, docs, shingle, similarity)), "roots")
-    left, most = points.select("point", "node"), 1
+    first = points.join(low, "point").filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("lead")).select("node", "lead").distinct()
+    first = first.join(marked, "node").join(other, "lead").filter(likely)
+    tested = materialize(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), "pairs")
+    found = materialize(components(verified(tested, held, shingle, similarity)), "roots")
+    left, most = points.select("point", "node").distinct(), 1
     while True:
         here = left.join(found, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
         parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
@@ -213,9 +269,10 @@ def linked(points: DataFrame, docs: DataFrame, shingle: int, similarity: float)
         parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
         ranked = parts.withColumn("rank", few).filter(F.col("rank") <= most)
         leaders = materialize(ranked.join(mixed, "point").filter("rank < parts").select("point", "lead", F.col("root").alias("lead_root")), "leaders")
-        met = here.join(leaders, "point").filter("root <> lead_root").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        fresh = materialize(met.join(tested, ["a", "b"], "left_anti"), "pairs")
-        similar = materialize(verified(fresh, docs, shingle, similarity), "similar")
+        met = here.join(marked, "node").join(leaders.join(other, "lead"), "point").filter((F.col("root") != F.col("lead_root")) & likely)
+        fresh = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+        similar = materialize(verified(fresh, held, shingle, similarity), "similar")
         if not similar.isEmpty():
             known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
             found = materialize(components(known.union(similar)), "roots")
@@ -225,37 +282,50 @@ def linked(points: DataFrame, docs: DataFrame, shingle: int, similarity: float)
 
 
 def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(doc_id, component_id)`` of every row with a doc_id: the smallest doc_id that links of similar texts reach.
+    """``(doc_id, x, component_id, stays, copies)`` for every doc_id and text hash ``x``: the smallest doc_id that links of similar texts reach,
+    whether this is the row of the group that stays, and how many rows have both.
 
     Texts of equal words in equal order are copies. Of the others, fingerprints of the set of words are taken under
     ``views`` hashes; documents within ``radius`` bits in a view share a meeting point there (after pigeonring). Any two
     that do are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
     similar are within two bits in at least one view with high but not full probability (README has measured figures).
-    Repeated doc_ids are one document; a link of any of its texts counts.
+    Rows without a doc_id are left out. A doc_id with several texts belongs to the group of each of them.
     """
-    prints = materialize(word_views(docs.filter("doc_id IS NOT NULL"), views), "word_views")
+    prints = materialize(word_views(docs.filter("doc_id IS NOT NULL"), views, shingle), "word_views")
     names = [f"f{k}" for k in range(views)]
-    nodes = materialize(prints.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in names]), "texts")
+    nodes = prints.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "x")).alias("low"), F.min("n").alias("n"), F.min(F.struct("marks")).alias("m"), *[F.min(c).alias(c) for c in names])
+    nodes = materialize(nodes.select("t1", "t2", "low", "n", "m.marks", *names, F.monotonically_increasing_id().alias("node")), "texts")
     rows = nodes.select("node", F.posexplode(F.array(*names)).alias("view", "fp"))
-    chains = F.posexplode(_longs(chain_masks(radius))).alias("chain", "mask")
-    keyed = rows.select("view", "fp", "node", chains).select("view", "fp", "node", F.xxhash64("view", "chain", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    keyed = ring_keys(rows, radius, "view", "node")
+    keyed = keyed.select("view", "fp", "node", F.xxhash64("view", "at", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
     near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
-    found = linked(materialize(meeting_points(near, radius), "points"), docs, shingle, similarity)
-    rooted = nodes.select("t1", "t2", "node").join(found, "node", "left").select("t1", "t2", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("doc_id", "t1", "t2").join(rooted, ["t1", "t2"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    points = materialize(meeting_points(near, radius), "points")
+    wanted = nodes.join(points.select("node").distinct(), "node", "left_semi").select("node", "low.doc_id", "low.x")
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text").join(wanted, ["doc_id", "x"]).select("node", "text")
+    held = materialize(held.groupBy("node").agg(F.max("text").alias("text")), "texts_held")  # repeated rows have equal texts
+    found = linked(points, nodes, held, shingle, similarity)
+    rooted = nodes.join(found, "node", "left").select("t1", "t2", "low", F.coalesce("root", "node").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("first"))
+    rooted = rooted.join(lowest, "root").select("t1", "t2", "first")
+    copies = prints.groupBy("t1", "t2", "doc_id", "x").agg(F.count("*").alias("copies"))
+    return copies.join(rooted, ["t1", "t2"]).select(
+        "doc_id", "x", F.col("first.doc_id").alias("component_id"), (F.struct("doc_id", "x") == F.col("first")).alias("stays"), "copies")
 
 
 def drop_near_copies(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest doc_id of each group of similar texts, once; rows without doc_id all stay.
+    """The rows of ``docs`` that stay: of each group of similar texts the one with the smallest doc_id (and text hash), once.
 
-    Of several rows with the doc_id that stays, the one with the smallest text hash is kept.
+    Null, empty and blank texts are copies of each other. Rows without a doc_id all stay. Of rows that repeat both doc_id and
+    text one stays, whichever it is if other columns differ. Different texts under one doc_id are rows of
+    their own. No rows give no rows; other columns are kept as they are.
     """
-    gone = similar_groups(docs, views, radius, shingle, similarity).filter("doc_id <> component_id").select("doc_id")
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    numbered = stay.withColumn("__again", F.when(F.col("doc_id").isNotNull(), F.row_number().over(again)).otherwise(1))
-    return numbered.filter("__again = 1").drop("__again")
+    judged = similar_groups(docs, views, radius, shingle, similarity).select(F.col("doc_id").alias("__id"), F.col("x").alias("__x"), "stays", "copies")
+    judged = judged.select("__id", "__x", F.struct("stays", "copies").alias("__judged"))
+    keyed = docs.filter("doc_id IS NOT NULL").withColumns({"__id": F.col("doc_id").cast("long"), "__x": text_hash()})
+    stay = keyed.join(judged, ["__id", "__x"]).filter("__judged.stays")
+    once, again = stay.filter("__judged.copies = 1"), stay.filter("__judged.copies > 1").dropDuplicates(["__id", "__x"])
+    return once.union(again).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 import pytest
+from pyspark.sql import functions as F
 
 from hearthgrid.llm import batches, fingerprints, neardedup, suffix_dedup
 from hearthgrid.llm.components import components
@@ -41,13 +42,33 @@ def test_near_groups_equal_brute_force(awkward, radius):
     assert got == want
 
 
-def test_chains_lose_no_pair():
+@pytest.mark.parametrize("radius", [1, 2, 4])
+def test_chains_lose_no_pair_and_prune_more_with_each_segment(spark, radius):
+    """Pairs that differ in up to twice the radius: all within it pass from some start, and longer chains leave fewer of the others."""
     rng = np.random.default_rng(3)
-    for radius in (1, 2, 4):
-        masks = neardedup.chain_masks(radius)
-        for _ in range(3000):
-            flipped = sum(1 << int(b) for b in rng.choice(64, rng.integers(0, radius + 1), replace=False))
-            assert any(flipped & m == 0 for m in masks)
+    flipped = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 2 * radius + 3), replace=False)) for _ in range(1500)]
+    rows = spark.createDataFrame([(k, neardedup.signed(x)) for k, x in enumerate(flipped)], "k long, fp long")
+    segments, equal = neardedup.ring(radius)
+    assert segments > 2 * radius and equal * radius < segments <= (equal + 1) * radius
+    met = neardedup.ring_keys(rows, radius, "k").filter("key = 0")
+    lengths = range(equal, segments + 1)
+    passed = [neardedup.within_shares(F.col("fp"), F.col("at"), radius, n).alias(f"p{n}") for n in lengths]
+    table = met.select("k", *passed).groupBy("k").agg(*[F.max(f"p{n}").alias(f"p{n}") for n in lengths]).collect()
+    left = [{r["k"] for r in table if r[f"p{n}"]} for n in lengths]
+    assert left[-1] == {k for k, x in enumerate(flipped) if bin(x).count("1") <= radius}
+    pruned = [len(a) - len(b) for a, b in zip(left, left[1:])]
+    assert min(pruned) >= 0 and sum(pruned) > 0 and all(a >= b for a, b in zip(left, left[1:]))
+
+
+def test_crowded_keys_go_by_meeting_points(spark):
+    rng = random.Random(6)
+    prints = sorted({rng.getrandbits(10) << 50 | rng.choice([0, 7, 1 << 20]) for _ in range(150)})
+    rows = spark.createDataFrame([(neardedup.signed(p),) for p in prints], "fp long")
+    near = groups(prints, lambda a, b: bin(a ^ b).count("1") <= 2)
+    for crowded in (2, 10, 1000):
+        root = {r["node"]: r["root"] for r in components(neardedup.links(rows, 2, crowded)).collect()}
+        got = {p: root.get(neardedup.signed(p), neardedup.signed(p)) for p in prints}
+        assert len(set(got.values())) == len(set(near)) and all((near[i] == near[j]) == (got[prints[i]] == got[prints[j]]) for i in range(0, len(prints), 7) for j in range(len(prints)))
 
 
 def test_similar_texts(awkward, spark):
@@ -56,7 +77,7 @@ def test_similar_texts(awkward, spark):
     assert found[3] == 3 and found[4] == 4 and found[9] == 9 and found[11] == 11
     stay = neardedup.drop_near_copies(awkward)
     ids = Counter(r["doc_id"] for r in stay.collect())
-    assert stay.columns == awkward.columns and ids[5] == 1 and ids[90] == 1 and ids[None] == 2 and not {6, 7, 8} & set(ids)
+    assert stay.columns == awkward.columns and ids[5] == 1 and ids[90] == 2 and ids[None] == 2 and not {6, 7, 8} & set(ids)
     assert neardedup.drop_near_copies(awkward.limit(0)).count() == 0 and neardedup.near_groups(awkward.limit(0)).count() == 0
 
 
@@ -72,6 +93,36 @@ def test_dissimilar_members_of_a_meeting_point_hide_nothing(spark):
     assert sorted(r["doc_id"] for r in neardedup.drop_near_copies(docs).collect()) == [1, 2, 3, 9]
 
 
+def test_bitmaps_never_reject_similar_sets(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(0, 400, 2):
+        text = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 300))]
+        other = [w if rng.random() > 0.03 else "changed" for w in text]
+        rows += [(k, " ".join(text)), (k + 1, " ".join(other))]
+    views = {r["doc_id"]: r for r in neardedup.word_views(spark.createDataFrame(rows, "doc_id long, text string"), 1, 5).collect()}
+    pairs = spark.createDataFrame([(k, views[k]["n"], views[k]["marks"], views[k + 1]["n"], views[k + 1]["marks"]) for k in range(0, 400, 2)], "k long, n long, marks array<long>, m long, others array<long>")
+    likely = {r["k"] for r in pairs.filter(neardedup.may_be_similar("n", "marks", "m", "others", 0.8)).collect()}
+    texts = dict(rows)
+
+    def jaccard(a, b):
+        x, y = ({tuple(t[i:i + 5]) for i in range(max(1, len(t) - 4))} for t in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    similar = {k for k in range(0, 400, 2) if jaccard(texts[k], texts[k + 1]) >= 0.8}
+    assert similar <= likely and len(likely) < 200 and len(similar) > 10
+
+
+def test_texts_of_one_doc_id_stay_apart(spark):
+    """Unrelated texts under one doc_id tie no groups together, and each group keeps one row."""
+    rng = random.Random(2)
+    make = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(60))
+    a, b, c = make(), make(), make()
+    rows = [(1, a), (7, a), (7, b), (9, b), (7, b), (12, c), (None, a), (None, a), (None, None), (20, None), (21, "  ")]
+    stay = neardedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, stay.collect())) == Counter([(1, a), (7, b), (12, c), (None, a), (None, a), (None, None), (20, None)])
+
+
 def test_components(spark):
     chain = [(k + 1, k) for k in range(40)] + [(100, 101), (102, 101), (7, 7)] + [(500, 500 - k) for k in range(1, 30)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
