@@ -116,36 +116,34 @@ def anchors_of(data: np.ndarray, limits: np.ndarray, length: int) -> tuple[np.nd
     return place, names[GRAM][place], around, place - highest, place - lowest
 
 
-def stretches(items: list[bytes], length: int, stretch: int = STRETCH) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]]:
-    """``(parts, data, limits)``: several whole texts, or a stretch of a long one; a part is (text, offset, string starts)."""
+def stretches(items: list[bytes], length: int, stretch: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray, tuple[int, int] | None]]:
+    """``(parts, data, limits, own)``: several whole texts, or a stretch of a long one; a part is (text, offset).
+
+    Stretches of a long text overlap, so that every string an anchor of the range ``own`` answers for lies in one of them.
+    """
     for lo, hi in slices(items, stretch):
         if hi - lo == 1 and len(items[lo]) > stretch:
             text = items[lo]
-            for a in range(0, len(text) - length + 1, stretch):
-                b = min(a + stretch + length - 1, len(text))
-                yield [(lo, a)], np.frombuffer(text, np.uint8)[a:b], np.array([0, b - a])
+            for a in range(0, len(text) - GRAM + 1, stretch):
+                begin, end = max(0, a - (length - GRAM)), min(a + stretch + length - 1, len(text))
+                yield [(lo, begin)], np.frombuffer(text, np.uint8)[begin:end], np.array([0, end - begin]), (a, a + stretch)
         else:
-            yield [(k, 0) for k in range(lo, hi)], np.frombuffer(b"".join(items[lo:hi]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in items[lo:hi]])])
+            yield [(k, 0) for k in range(lo, hi)], np.frombuffer(b"".join(items[lo:hi]), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in items[lo:hi]])]), None
 
 
-def anchors_in(items: list[bytes], length: int, stretch: int = STRETCH) -> pd.DataFrame:
+def anchors_in(items: list[bytes], length: int, stretch: int | None = None) -> pd.DataFrame:
     """Anchors of all texts: text number, place, bucket, around, nearest, farthest."""
     found = []
-    for parts, data, limits in stretches(items, length, stretch):
+    for parts, data, limits, own in stretches(items, length, stretch or STRETCH):
         place, bucket, around, nearest, farthest = anchors_of(data, limits, length)
         part = np.searchsorted(limits, place, "right") - 1
         text, offset = (np.array([p[k] for p in parts], dtype=np.int64)[part] for k in (0, 1))
-        found.append(pd.DataFrame({"text": text, "place": place - limits[part] + offset, "bucket": bucket.view(np.int64), "around": around.view(np.int64),
-                                   "nearest": nearest, "farthest": farthest}))
+        rows = pd.DataFrame({"text": text, "place": place - limits[part] + offset, "bucket": bucket.view(np.int64), "around": around.view(np.int64),
+                             "nearest": nearest, "farthest": farthest})
+        found.append(rows if own is None else rows[(rows["place"] >= own[0]) & (rows["place"] < own[1])])
     if not found:
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("text", "place", "bucket", "around", "nearest", "farthest")})
-    rows = pd.concat(found, ignore_index=True)
-    # A stretch of a long text may end within an anchor's run of starts: such an anchor is one row again.
-    again = rows.duplicated(["text", "place"], keep=False)
-    if again.any():
-        twice = rows[again].groupby(["text", "place"], as_index=False).agg({"bucket": "first", "around": "max", "nearest": "min", "farthest": "max"})
-        rows = pd.concat([rows[~again], twice], ignore_index=True)
-    return rows
+    return pd.concat(found, ignore_index=True)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -259,7 +257,7 @@ def refined(blocks: DataFrame) -> DataFrame:
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(id, h, from, to)``: ranges of starts of strings that also start elsewhere, for rows of ``keyed`` documents."""
-    if length < GRAM + BLOCK or length + STRETCH > 1 << PLACE_BITS:
+    if length < GRAM + BLOCK or 2 * length + STRETCH > 1 << PLACE_BITS:
         raise ValueError(f"strings of {GRAM + BLOCK} bytes or more, and far fewer than {1 << PLACE_BITS}")
     found = materialize(anchors(docs, length), "anchors")
     # Written first: a join against a plain table can be split where one bucket is hot, one against an aggregate of the same key cannot.

@@ -174,9 +174,8 @@ def test_block_tables_find_all_within_radius(spark):
     assert got == Counter((*a, *b, count(a, b)) for a in distinct for b in distinct if count(a, b) <= 3)
 
 
-@pytest.mark.parametrize("length", [64, 200])
-def test_repeated_strings_equal_brute_force(awkward, length):
-    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in awkward.collect()]
+def removed(rows, length):
+    """What brute force cuts from ``(doc_id, bytes)``: counter of (doc_id, size, spans, kept)."""
     seen = Counter(t[i:i + length] for _, t in rows for i in range(len(t) - length + 1))
     want = Counter()
     for doc, text in rows:
@@ -187,15 +186,47 @@ def test_repeated_strings_equal_brute_force(awkward, length):
         edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
         kept = bytes(b for b, g in zip(text, gone[1:]) if not g)
         want[doc, len(text), tuple(zip(edges[::2], edges[1::2])), kept] += 1
-    got = Counter((r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"])) for r in suffix_dedup.cut(awkward, length).collect())
-    assert got == want
+    return want
+
+
+def cut_rows(docs, length):
+    return Counter((r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), bytes(r["kept"])) for r in suffix_dedup.cut(docs, length).collect())
+
+
+@pytest.mark.parametrize("length", [64, 200])
+def test_repeated_strings_equal_brute_force(awkward, length):
+    assert cut_rows(awkward, length) == removed([(r["doc_id"], (r["text"] or "").encode()) for r in awkward.collect()], length)
 
 
-def test_long_texts_are_worked_in_stretches(monkeypatch):
+def test_long_texts_are_worked_in_stretches():
     rng = np.random.default_rng(1)
     piece = bytes(rng.integers(97, 110, 700, dtype=np.uint8))
-    texts = [bytes(rng.integers(97, 110, 5000, dtype=np.uint8)) + piece, piece + bytes(rng.integers(97, 110, 3000, dtype=np.uint8)), b"q" * 2500]
+    texts = [bytes(rng.integers(97, 110, 5000, dtype=np.uint8)) + piece, piece + bytes(rng.integers(97, 110, 3000, dtype=np.uint8)), b"q" * 2500, b"r" * 1100]
     whole = suffix_dedup.anchors_in(texts, 200).sort_values(["text", "place"]).reset_index(drop=True)
-    cut = suffix_dedup.anchors_in(texts, 200, stretch=1024).sort_values(["text", "place"]).reset_index(drop=True)
-    columns = ["text", "place", "bucket", "nearest", "farthest"]
-    assert whole[columns].equals(cut[columns].astype(whole[columns].dtypes))
+    for stretch in (300, 1024, 2500):
+        cut = suffix_dedup.anchors_in(texts, 200, stretch).sort_values(["text", "place"]).reset_index(drop=True)
+        assert whole.equals(cut.astype(whole.dtypes))
+
+
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_copies_that_begin_or_end_at_a_stretch_border(spark, mirrored):
+    """A text of just over a stretch, and its part behind (or before) the border: nothing but the part itself repeats."""
+    rng = np.random.default_rng(5)
+    border, size = suffix_dedup.STRETCH, suffix_dedup.STRETCH + 5000
+    text = rng.integers(97, 123, size, dtype=np.uint8).tobytes().decode()
+    part, span = (text[border - 5000:border], (border - 5000, border)) if mirrored else (text[border:], (border, size))
+    got = cut_rows(spark.createDataFrame([(1, text), (2, part)], "doc_id long, text string"), 200)
+    assert {k[:3] for k in got} == {(1, size, (span,)), (2, 5000, ((0, 5000),))}
+
+
+def test_texts_of_several_stretches_equal_brute_force(spark):
+    """Copies at many offsets from the borders of short stretches."""
+    rng = np.random.default_rng(7)
+    make = lambda n: rng.integers(97, 100, n, dtype=np.uint8).tobytes()
+    shared = make(400)
+    items = [make(900 + k) + shared + make(600) for k in range(0, 260, 37)] + [shared, make(350) + shared[:330], shared[120:] + make(90)]
+    whole = suffix_dedup.anchors_in(items, 200).sort_values(["text", "place"]).reset_index(drop=True)
+    cut = suffix_dedup.anchors_in(items, 200, 512).sort_values(["text", "place"]).reset_index(drop=True)
+    assert whole.equals(cut.astype(whole.dtypes))
+    docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(items)], "doc_id long, text string")
+    assert cut_rows(docs, 200) == removed(list(enumerate(items)), 200)
