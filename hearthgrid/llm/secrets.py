@@ -3,7 +3,8 @@
 Patterns (kinds ``assign``, ``access``, ``hex``) are split points of the text: what lies between and within the
 matches gives their places. Candidate strings of the kind ``entropy`` are runs of key characters, cut at pattern matches. A window of
 ``WINDOW`` characters slides over each; the sum of ``c * log2(c)`` over its characters' counts ``c`` is kept up to date by
-the counts of the character that enters and of the one that leaves, and the entropy is ``log2(WINDOW) - sum / WINDOW``.
+the counts of the character that enters and of the one that leaves among those that stay, and the entropy is
+``log2(WINDOW) - sum / WINDOW``. The sums are whole numbers (of ``1 / SCALE`` bits), so a long string adds up no rounding.
 Each character class of a string (hexadecimal; letters of both cases with digits; one case with digits; no digits) has its own
 threshold. The span of a string runs from its first to its last window that reaches the threshold. Strings on the allow list and strings
 inside a pattern's span give none.
@@ -11,6 +12,8 @@ inside a pattern's span give none.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,33 +46,47 @@ CLASSES = (
     (r"^(?=.*[A-Za-z])(?=.*[0-9])", 3.4),
     (r"^(?=.*[A-Za-z])", 3.9),
 )
-#: Harmless strings: UUIDs, dates and versions, paths of words, and those in which a placeholder starts in every window.
+#: Harmless strings: UUIDs, dates and versions, paths of words and short numbers, and those in which a placeholder starts in every
+#: window. No pattern repeats a group without bound: the regex engine would go one call deeper for each repetition.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9T:_/+-]+$",
-    r"^[A-Za-z]*(?:[/_=+-]+[A-Za-z]*|[/_=+-]+[0-9]{1,4})+$",
+    r"^(?=.*[/_=+-])(?!.*(?:[0-9]{5}|(?:^|[A-Za-z])[0-9]|[0-9][A-Za-z]))",
     rf"(?i)^(?!.*?(?:(?!example|placeholder|x{{6}}|0123456|abcdef).){{{WINDOW}}})",
 )
-#: Long candidates are worked through in stretches, each starting where the windows of the one before end.
-STRETCH = 256
+#: Long candidates are worked through in pieces of so many windows, long lists of places in parts of so many.
+STRETCH, LISTED = 2048, 512
+SCALE = 1 << 40
+#: What a character adds to the sum of ``c * log2(c)`` if there were ``c`` of it, for each ``c``.
+STEPS = [round(((c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0)) * SCALE) for c in range(WINDOW)]
 SPAN = "struct<kind:int,start:int,stop:int>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _located(text: Column, pattern: str, group: int, least: int, kind: int) -> Column:
     """Spans of the pattern's matches (leftmost, not overlapping) whose group has ``least`` characters."""
-    between = F.split(text, pattern, -1)
-    whole, part = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
-    lengths = F.zip_with(F.transform(between, F.length), F.transform(whole, F.length), lambda a, b: F.struct(a.alias("gap"), b.alias("own")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
+    between = F.transform(F.split(text, pattern, -1), F.length)
+    whole, part = (F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)), F.length) for g in (0, group))
+    own = F.zip_with(whole, part, lambda w, g: F.struct(w.alias("own"), g.alias("n")))
+    matches = F.zip_with(between, own, lambda gap, m: F.struct(gap.alias("gap"), m["own"].alias("own"), m["n"].alias("n")))
+    none = F.array().cast(f"array<{SPAN}>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("here"), F.array().cast(f"array<array<{SPAN}>>").alias("before"))
 
     def step(state, x):
+        """Move behind the match and list it; the list goes on in parts, as an array is copied when it grows."""
         begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(x["own"], F.lit(0))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("stop")))).alias("found"))
+        span = F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + x["own"]).alias("stop")))
+        full = F.size(state["here"]) >= LISTED
+        counts = F.coalesce(x["n"] >= least, F.lit(False))
+        here = F.when(~counts, state["here"]).when(full, span).otherwise(F.concat(state["here"], span))
+        before = F.when(counts & full, F.concat(state["before"], F.array(state["here"]))).otherwise(state["before"])
+        return F.struct((begin + F.coalesce(x["own"], F.lit(0))).alias("at"), here.alias("here"), before.alias("before"))
 
-    places = F.slice(F.aggregate(lengths, start, step)["found"], 1, F.size(whole))
-    sized = F.zip_with(places, part, lambda p, g: F.struct(F.lit(kind).alias("kind"), p["start"].alias("start"), p["stop"].alias("stop"), F.length(g).alias("n")))
-    return F.transform(F.filter(sized, lambda s: s["n"] >= least), lambda s: F.struct(s["kind"], s["start"], s["stop"]))
+    return F.aggregate(matches, start, step, lambda state: F.concat(F.flatten(state["before"]), state["here"]))
 
 
 def base_spans(text: Column) -> Column:
@@ -82,40 +99,29 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _term(count: Column) -> Column:
-    """``c * log2(c)`` for a count from 0."""
-    return F.when(count > 1, count * F.log2(count)).otherwise(F.lit(0.0))
-
-
-def _count(window: Column, letter: Column) -> Column:
-    return F.length(window) - F.length(F.replace(window, letter, F.lit("")))
+def hot_windows(chars: Column, threshold: Column) -> Column:
+    """``first, last``: starts (from 0) of the first and last window of an array of characters that reach the threshold, null if none does."""
+    steps = F.array(*[F.lit(n).cast("long") for n in STEPS])
+    kept = WINDOW - 1
 
+    def change(i):
+        """What the sum changes by when character ``i`` enters and the one that is a window's length before it leaves."""
+        stay = F.slice(chars, F.greatest(i - kept, F.lit(0)) + 1, F.least(i, F.lit(kept)))
+        enters = F.get(steps, F.least(i, F.lit(kept)) - F.size(F.array_remove(stay, F.get(chars, i))))
+        leaves = F.get(steps, F.lit(kept) - F.size(F.array_remove(stay, F.get(chars, i - WINDOW))))
+        return F.struct(i.alias("i"), F.when(i >= WINDOW, enters - leaves).otherwise(enters).alias("more"))
 
-def hot_windows(piece: Column, threshold: Column) -> Column:
-    """``first, last``: starts (from 0) of the first and last window of ``piece`` that reach the threshold, null if none does."""
-    at = lambda k, n: F.substring(piece, k + 1, n)  # noqa: E731 - k counts from 0
+    limit = F.lit(float(WINDOW * SCALE)) * (F.log2(F.lit(float(WINDOW))) - threshold) + F.lit(1e-9 * SCALE)
 
-    def slide(state, k):
-        """The window that starts at ``k`` from the one before it: one letter leaves, then one enters."""
-        kept = at(k, F.lit(WINDOW - 1))  # what both windows share
-        leaves, enters = _count(kept, at(k - 1, F.lit(1))), _count(kept, at(k + (WINDOW - 1), F.lit(1)))
-        total = state["total"] - (_term(leaves + 1) - _term(leaves)) + (_term(enters + 1) - _term(enters))
-        hot = F.lit(WINDOW) * (F.lit(WINDOW).cast("double") / WINDOW * F.log2(F.lit(float(WINDOW))) - threshold) >= total - 1e-9
-        return F.struct(total.alias("total"), F.when(hot & state["first"].isNull(), k).otherwise(state["first"]).alias("first"),
-                        F.when(hot, k).otherwise(state["last"]).alias("last"))
+    def slide(state, x):
+        total = state["total"] + x["more"]
+        hot = (x["i"] >= kept) & (total <= state["limit"])
+        return F.struct(total.alias("total"), state["limit"].alias("limit"), F.when(hot & state["first"].isNull(), x["i"] - kept).otherwise(state["first"]).alias("first"),
+                        F.when(hot, x["i"] - kept).otherwise(state["last"]).alias("last"))
 
-    # The window before the first is empty but for its length: letters are added one by one.
-    opening = F.aggregate(F.sequence(F.lit(0), F.lit(WINDOW - 1)), F.lit(0.0), lambda total, k: _added(total, at(F.lit(0), k), at(k, F.lit(1))))
-    hot0 = F.lit(float(WINDOW)) * (F.log2(F.lit(float(WINDOW))) - threshold) >= opening - 1e-9
-    zero = F.when(hot0, F.lit(0))
-    last = F.length(piece) - WINDOW
-    rest = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rest, F.struct(opening.alias("total"), zero.alias("first"), zero.alias("last")), slide)
-
-
-def _added(total: Column, window: Column, letter: Column) -> Column:
-    count = _count(window, letter)
-    return total + _term(count + 1) - _term(count)
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit(0).cast("long").alias("total"), limit.alias("limit"), none.alias("first"), none.alias("last"))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.size(chars) - 1), change), start, slide)
 
 
 def _threshold(candidate: Column) -> Column:
@@ -133,17 +139,22 @@ def entropy_spans(text: Column) -> Column:
     strings = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     judged = F.zip_with(places, strings, lambda p, s: F.struct(p["start"].alias("start"), s.alias("s"), _threshold(s).alias("bits")))
     judged = F.filter(judged, lambda c: c["bits"].isNotNull())
+    nowhere = F.struct(F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def windows(pieces, bits):
+        """First and last hot window of a string in pieces; each is read with the start of the next, so no window is cut."""
+        def inside(piece, k):
+            more = F.coalesce(F.substring(F.get(pieces, k + 1), 1, WINDOW - 1), F.lit(""))
+            return F.struct((k * STRETCH).alias("b"), _let(F.split(F.concat(piece, more), ""), lambda chars: hot_windows(chars, bits)).alias("w"))
+
+        def join(state, x):
+            return F.struct(F.coalesce(state["first"], x["b"] + x["w"]["first"]).alias("first"), F.coalesce(x["b"] + x["w"]["last"], state["last"]).alias("last"))
 
-    def stretches(c):
-        step = STRETCH - WINDOW + 1
-        begins = F.sequence(F.lit(0), F.length(c["s"]) - WINDOW, F.lit(step))
-        return F.transform(begins, lambda b: F.struct(b.alias("b"), hot_windows(F.substring(c["s"], b + 1, F.lit(STRETCH)), c["bits"]).alias("w")))
+        return F.aggregate(F.transform(pieces, inside), nowhere, join)
 
     def spanned(c):
-        hot = F.filter(stretches(c), lambda x: x["w"]["first"].isNotNull())
-        first = F.array_min(F.transform(hot, lambda x: x["b"] + x["w"]["first"]))
-        last = F.array_max(F.transform(hot, lambda x: x["b"] + x["w"]["last"]))
-        return F.struct(F.lit(KINDS.index("entropy")).alias("kind"), (c["start"] + first).alias("start"), (c["start"] + last + WINDOW).alias("stop"))
+        hot = _let(F.regexp_extract_all(c["s"], F.lit(f".{{1,{STRETCH}}}"), F.lit(0)), lambda pieces: windows(pieces, c["bits"]))
+        return _let(hot, lambda w: F.struct(F.lit(KINDS.index("entropy")).alias("kind"), (c["start"] + w["first"]).alias("start"), (c["start"] + w["last"] + WINDOW).alias("stop")))
 
     found = F.filter(F.transform(judged, spanned), lambda s: s["start"].isNotNull())
     return F.when(text.rlike(CANDIDATE), found).otherwise(F.array().cast(f"array<{SPAN}>"))

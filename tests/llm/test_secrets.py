@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from hearthgrid.llm import secrets as S
@@ -99,3 +100,32 @@ def test_keys_beside_patterns_and_placeholders(spark):
         assert any(s["kind"] == 3 and s["start"] <= at + 2 and s["stop"] >= at + len(KEY) - 2 for s in found[k]), texts[k]
         assert KEY[3:-3] not in clean[k] and digest not in clean[k]
     assert [s["kind"] for s in found[len(around)]] == [3] and not found[len(around) + 1] and not found[len(around) + 2]
+
+
+def words(rng, n, letters):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_strings_of_20000_characters_equal_brute_force(spark):
+    rng = random.Random(9)
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789+/"
+    texts = [words(rng, 20_000, mixed), "a1B/" * 4000 + words(rng, 4000, mixed), words(rng, 20_000, "abcdefABCDEF0123456789"), "x" * 9000 + words(rng, 60, mixed) + "Q1q" * 4000,
+             " ".join(words(rng, 30, mixed) for _ in range(700)), "deadbeef00112233 " * 1300, words(rng, S.STRETCH + 7, "aB1") + words(rng, S.STRETCH - 3, mixed)]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        fixed = base(text)
+        assert got[k] == sorted(fixed + [a for a in added(text) if not any(a[0] < b[2] and b[0] < a[2] for b in fixed)]), text[:60]
+
+
+def test_megabytes_without_a_break(spark):
+    """Each a single candidate; a deep regex or a step that walks the string from its start would not come back."""
+    rng = random.Random(3)
+    base64 = "".join(chr(c) for c in bytes(rng.choices(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1 << 20)))
+    upper = "".join(chr(c) for c in bytes(rng.choices(b"0123456789ABCDEF", k=1 << 20)))
+    texts = ["a/b/" * (1 << 18), base64, upper, "0123456789abcdef" * (1 << 16), "example/" * (1 << 17), "=" * (1 << 20), "ab-12/" * (1 << 17)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in S.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert time.perf_counter() - began < 300
+    assert got[0] == [] and got[3] == [(0, 2, 1 << 20)] and got[4] == [] and got[5] == [] and got[6] == []
+    whole = lambda spans: spans and spans[0][0] < 40 and spans[-1][2] > (1 << 20) - 40
+    assert whole(got[1]) and whole(got[2])
