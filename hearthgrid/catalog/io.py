@@ -10,7 +10,7 @@ from hearthgrid.catalog.learning import FEATURE_SQL
 from hearthgrid.catalog.neighbours import WGRID
 from hearthgrid.catalog.projections import ACCEPTED_SQL, COARSE, LIKELY_SQL, PARSED_SQL, r6
 from hearthgrid.catalog.registry import query
-from hearthgrid.catalog.spreading import HORIZONS, THRESHOLDS, World
+from hearthgrid.catalog.spreading import _RING_KEY, HORIZONS, THRESHOLDS, World, ring_sql
 from hearthgrid.functions.parse import FEED_FIELDS, parse_feed
 from hearthgrid.operators import tables
 from hearthgrid.plans import contours, ingest, scoring
@@ -145,7 +145,7 @@ def geojson_aoi(t):
     return sinks.write_lines(sinks.aoi_lines(t.aois), "feature", "aois")
 
 
-@query("snk_geojson_contours")
+@query("snk_geojson_contours", ring_sql(THRESHOLDS) + f"SELECT CAST(json_object('type', 'Feature', 'geometry', json_object('type', 'MultiPolygon', 'coordinates', coalesce(polygons, [])), 'properties', json_object('horizon_hours', horizon_h, 'threshold', threshold)) AS VARCHAR) AS feature FROM wanted LEFT JOIN shapes USING ({_RING_KEY})")
 def geojson_contours(t):
     w = World(t)
     full = contours.complete_contours(w.runs, HORIZONS, THRESHOLDS, contours.contour_polygons(w.forecast(), THRESHOLDS, COARSE))

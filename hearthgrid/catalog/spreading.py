@@ -242,13 +242,46 @@ def job_contours(t):
     return s.select("run_id", "horizon_h", "threshold", "edges", *[r6(F.col(c)).alias(c) for c in ("area_deg2", "min_lon", "min_lat", "max_lon", "max_lat")])
 
 
-@query("snk_contours", with_ctes("steps") + "SELECT run_id, horizon_h, threshold FROM steps, (SELECT unnest([0.3e0, 0.5e0, 0.99e0]) AS threshold)")
+_RING_KEY, _SAME = "run_id, horizon_h, threshold", "{0}.run_id = {1}.run_id AND {0}.horizon_h = {1}.horizon_h AND {0}.threshold = {1}.threshold"
+
+
+def ring_sql(thresholds, rounds=14):
+    """Contour rings as SQL, for rings of up to ``2 ** rounds`` edges: the ``shapes`` of each contour as nested lists of points.
+
+    A hole belongs to the smallest outer ring around the point left of its leftmost edge, by crossings.
+    """
+    levels = ", ".join(f"{x!r}::DOUBLE" for x in thresholds)
+    parts = {k: v.replace("[0.3e0, 0.5e0, 0.7e0]", f"[{levels}]") for k, v in _EDGE_PARTS.items()}
+    steps = [f"bn AS MATERIALIZED (SELECT {_RING_KEY}, d, (y1 * 201 + x1) * 4 + d AS id, y2 * 201 + x2 AS c2 FROM (SELECT *, CASE WHEN x2 > x1 THEN 0 WHEN y2 > y1 THEN 1 WHEN x2 < x1 THEN 2 ELSE 3 END AS d FROM bd))",
+             f"nx AS MATERIALIZED (SELECT b.run_id, b.horizon_h, b.threshold, b.id, any_value(b.d) AS d, min_by(o.id, CASE o.d WHEN (b.d + 1) % 4 THEN 0 WHEN b.d THEN 1 ELSE 2 END) AS jump FROM bn b JOIN bn o ON {_SAME.format('b', 'o')} AND o.id // 4 = b.c2 GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY b.run_id, b.horizon_h, b.threshold, b.id"),
+             f"s0 AS MATERIALIZED (SELECT {_RING_KEY}, id, jump, id AS ring, 0 AS off FROM nx)"]
+    for n in range(rounds):
+        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT a.run_id, a.horizon_h, a.threshold, a.id, b.jump, least(a.ring, b.ring) AS ring, CASE WHEN b.ring < a.ring THEN b.off + {1 << n} ELSE a.off END AS off FROM s{n} a JOIN s{n} b ON {_SAME.format('a', 'b')} AND b.id = a.jump)")
+    steps += [
+        f"re AS MATERIALIZED (SELECT {_RING_KEY}, ring, off, nx.jump % 4 <> d AS turns, d, (id // 4) % 201 AS x1, id // 4 // 201 AS y1, (nx.jump // 4) % 201 AS x2, nx.jump // 4 // 201 AS y2 FROM s{rounds} JOIN nx USING ({_RING_KEY}, id))",
+        f"rs AS MATERIALIZED (SELECT {_RING_KEY}, ring, sum(x1 * y2 - x2 * y1) / 2 AS cells FROM re GROUP BY ALL)",
+        f"rp AS (SELECT {_RING_KEY}, ring, list([22e0 + x2 * 0.1e0, 40e0 + y2 * 0.1e0] ORDER BY CASE off WHEN 1 THEN -2 WHEN 0 THEN -1 ELSE 1000000 - off END) AS pts FROM re WHERE turns GROUP BY ALL)",
+        f"hp AS (SELECT {_RING_KEY}, ring, min(x1 * 1000 + y1) AS at FROM re JOIN rs USING ({_RING_KEY}, ring) WHERE cells < 0 AND d = 1 GROUP BY ALL)",
+        f"ho AS (SELECT h.run_id, h.horizon_h, h.threshold, h.ring, r.ring AS owner, any_value(r.cells) AS cells FROM hp h JOIN re e ON {_SAME.format('h', 'e')} AND e.d IN (1, 3) AND least(e.y1, e.y2) = h.at % 1000 AND e.x1 < h.at // 1000 JOIN rs r ON {_SAME.format('r', 'e')} AND r.ring = e.ring AND r.cells > 0 "
+        "GROUP BY h.run_id, h.horizon_h, h.threshold, h.ring, r.ring HAVING count(*) % 2 = 1)",
+        f"ow AS (SELECT {_RING_KEY}, ring, min_by(owner, cells) AS owner FROM ho GROUP BY ALL)",
+        f"po AS (SELECT {_RING_KEY}, coalesce(owner, ring) AS owner, list(list_concat(pts, [pts[1]]) ORDER BY cells < 0, ring) AS rings, count(*) - 1 AS holes, sum(len(pts)) AS corners FROM rs JOIN rp USING ({_RING_KEY}, ring) LEFT JOIN ow USING ({_RING_KEY}, ring) GROUP BY {_RING_KEY}, coalesce(owner, ring))",
+        f"shapes AS (SELECT {_RING_KEY}, list(rings ORDER BY owner) AS polygons, count(*) AS n, sum(holes) AS holes, sum(corners) AS corners FROM po GROUP BY {_RING_KEY})",
+        f"wanted AS (SELECT run_id, horizon_h, threshold FROM steps, (SELECT unnest([{levels}]) AS threshold))"]
+    return with_ctes("forecast", "steps", extra=parts).rstrip() + ", " + ", ".join(steps) + " "
+
+
+@query("snk_contours", ring_sql((0.3, 0.5, 0.99)) + f"SELECT {_RING_KEY}, CAST(coalesce(n, 0) AS BIGINT) AS polygons, CAST(coalesce(holes, 0) AS BIGINT) AS holes, CAST(coalesce(corners, 0) AS BIGINT) AS corners FROM wanted LEFT JOIN shapes USING ({_RING_KEY})")
 def sink_contours(t):
+    """What the stored GeoJSON of each contour holds."""
     from hearthgrid.sources.sinks import write_contours
     w = World(t)
     levels = (0.3, 0.5, 0.99)
     full = contours.complete_contours(w.runs, HORIZONS, levels, contours.contour_polygons(w.forecast(), levels, COARSE))
-    return write_contours(full).select("run_id", "horizon_h", "threshold")
+    stored = write_contours(full).withColumn("c", F.from_json("feature", "geometry struct<coordinates: array<array<array<array<double>>>>>")["geometry"]["coordinates"])
+    polygons, rings = F.size("c").cast("long"), F.flatten("c")
+    corners = F.aggregate(rings, F.lit(0).cast("long"), lambda n, ring: n + F.size(ring) - 1)
+    return stored.select("run_id", "horizon_h", "threshold", polygons.alias("polygons"), (F.size(rings) - polygons).alias("holes"), corners.alias("corners"))
 
 
 @query("join_tile", with_ctes("detections", "aois") + "SELECT 'fire' AS layer, id FROM detections WHERE floor((lon + 180e0) / 360e0 * 64e0) = 38 AND floor((0.5e0 - ln((1e0 + sin(radians(lat))) / (1e0 - sin(radians(lat)))) / " f"{4 * math.pi!r}" "::DOUBLE) * 64e0) = 22 "
