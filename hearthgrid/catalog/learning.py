@@ -11,11 +11,12 @@ from hearthgrid.catalog.ansi import add_cte, with_ctes
 from hearthgrid.catalog.fields import dem, slopes
 from hearthgrid.catalog.projections import COARSE, r6
 from hearthgrid.catalog.registry import query
+from hearthgrid.catalog.spreading import _BIN as PROBABILITY_BIN_SQL
 from hearthgrid.catalog.spreading import HORIZONS, WGRID, World
 from hearthgrid.operators.metrics import ranking_metrics
-from hearthgrid.plans import calibration, denoiser, hindcast, labels, spread, training
+from hearthgrid.plans import artifacts, calibration, denoiser, hindcast, labels, spread, training
 from hearthgrid.plans.features import denoiser_features
-from hearthgrid.session import materialize
+from hearthgrid.session import materialize, scratch_path
 
 add_cte("labelled", "SELECT d.id, CASE rule WHEN 'Default' THEN 'UNKNOWN' WHEN 'Persistent Cluster' THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, rule FROM (SELECT d.id, CASE WHEN d.id IN (SELECT id FROM near_industrial) THEN 'Industrial Mask' "
         "WHEN confidence < 30 AND n_5km = 0 THEN 'Low-Conf Singleton' WHEN c.days IS NOT NULL THEN 'Chronic Static' WHEN n_2km > 0 THEN 'Persistent Cluster' ELSE 'Default' END AS rule FROM detections d JOIN around USING (id) "
@@ -94,10 +95,12 @@ def train_denoiser(t):
 
 @query("job_score_denoiser")
 def score_denoiser(t):
+    """Train, store, load and score the rows without a score; scoring reads the stored model only."""
     everything = materialize(_features(t), "features")
     known = denoiser.labelled_features(everything, labels.label_detections(t.detections, t.industrial))
     model, _ = denoiser.train_denoiser(known)
-    return denoiser.score_pending(model, everything).select("id", "denoised_score", "is_noise")
+    path = artifacts.save_model(model, scratch_path(t.spark, "denoiser"), "denoiser", denoiser.FEATURES, known, "label_numeric", threshold=0.5)
+    return artifacts.score_stored(everything, path).select("id", "denoised_score", "is_noise")
 
 
 SPREAD_COLUMNS = ("fire_t0", "u10", "v10", "t2m", "rh2m", "wind_speed", "elevation_m", "slope_deg", "aspect_sin", "aspect_cos")
@@ -137,13 +140,22 @@ def train_spread(t):
     return out.join(scored.groupBy("horizon_h").agg(*shares), "horizon_h", "left")
 
 
+def stored_spread(t, world):
+    """Path of models of the older cases, with a calibration fitted on the newer ones."""
+    parts = materialize(training.split_by_time_steps(_spread_cells(t, world), "ref_time", 0.8), "spread-parts")
+    older, newer = parts.where("part = 'train'"), parts.where("part = 'validation'")
+    models = denoiser.fit_spread_models(older, HORIZONS, SPREAD_COLUMNS)
+    scored = denoiser.learned_forecast(models, newer, HORIZONS, SPREAD_COLUMNS).select("horizon_h", F.col("p").alias("y_pred"), F.col("label").cast("double").alias("y_obs"))
+    fitted = calibration.fit(materialize(scored.where(F.col("horizon_h").isin(sorted(models))), "spread-scored"))
+    return artifacts.save_spread(models, scratch_path(t.spark, "spread-models"), SPREAD_COLUMNS, older, calibrator=fitted)
+
+
 @query("job_spread_learned")
 def spread_learned(t):
-    """The learned forecast of every run's whole window, zero where the terrain is not valid, summed up per run and horizon."""
+    """The calibrated learned forecast of every run's whole window from stored models, zero where the terrain is not valid, summed up per run and horizon."""
     world = World(t)
-    models = denoiser.fit_spread_models(_spread_cells(t, world), HORIZONS, SPREAD_COLUMNS)
-    window = _with_inputs(world, _window_cells(t, world))
-    cells = spread.apply_masks(denoiser.learned_forecast(models, window, HORIZONS, SPREAD_COLUMNS), world.mask)
+    forecast = spread.model("learned_v1", {"model_path": stored_spread(t, world)})
+    cells = forecast(_with_inputs(world, _window_cells(t, world)), HORIZONS, world.mask)
     return cells.groupBy("run_id", "horizon_h").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("p"), 3).alias("expected"), F.count_if(F.col("p") >= 0.5).alias("likely"),
                                                     F.count_if(F.col("p") == 0).alias("zero"))
 
@@ -151,17 +163,46 @@ def spread_learned(t):
 def _calibrated(t, method):
     candidates = calibration.candidates(t.hindcast, 0.0)
     parts = materialize(calibration.oldest_cases(candidates, 0.8), "calibration-cells")
-    knots = calibration.fit_horizons(parts.where("part = 'train'"), method)
-    return calibration.evaluate(calibration.apply_knots(parts.where("part = 'validation'"), knots))
-
-
-@query("job_calibrate_fit")
+    fitted = calibration.fit(parts.where("part = 'train'"), method)
+    stored = calibration.load(t.spark, calibration.save(fitted, scratch_path(t.spark, "calibration")))
+    scores = calibration.evaluate(calibration.apply(parts.where("part = 'validation'"), stored))
+    return scores.select("horizon_h", *[r6(F.col(c)).alias(c) for c in ("brier_raw", "brier_cal")], *[F.round(c, 5).alias(c) for c in ("ece_raw", "ece_cal")], "n")
+
+
+_SPLIT_SQL = {
+    "tm": "SELECT ref_time, row_number() OVER (ORDER BY ref_time) <= floor(count(*) OVER () * 0.8e0) AS older FROM (SELECT DISTINCT ref_time FROM hindcast)",
+    "tr": "SELECT h.* FROM hindcast h JOIN tm USING (ref_time) WHERE older", "va": "SELECT h.* FROM hindcast h JOIN tm USING (ref_time) WHERE NOT older",
+    "fo": "SELECT horizon_h, y_pred AS x, CAST(count(*) AS DOUBLE) AS n, sum(y_obs) AS s FROM tr GROUP BY 1, 2"}
+#: The least-squares non-decreasing fit by its max-min formula over running sums.
+_ISOTONIC_SQL = {
+    **_SPLIT_SQL, "cu": "SELECT horizon_h, x, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(s) OVER w AS cs, sum(n) OVER w - n AS bn, sum(s) OVER w - s AS bs FROM fo WINDOW w AS (PARTITION BY horizon_h ORDER BY x)",
+    "lo": "SELECT a.horizon_h, a.k AS i, c.k, min((b.cs - a.bs) / (b.cn - a.bn)) AS m FROM cu a JOIN cu c ON c.horizon_h = a.horizon_h AND c.k >= a.k JOIN cu b ON b.horizon_h = a.horizon_h AND b.k >= c.k GROUP BY 1, 2, 3",
+    "iso": "SELECT horizon_h, k, max(m) AS y FROM lo GROUP BY 1, 2",
+    "cv": "SELECT va.horizon_h, va.y_pred, va.y_obs, iso.y AS y_cal FROM va LEFT JOIN cu ON cu.horizon_h = va.horizon_h AND cu.x = va.y_pred LEFT JOIN iso ON iso.horizon_h = cu.horizon_h AND iso.k = cu.k"}
+
+
+def _platt_sql(rounds=12):
+    """Newton steps for the logistic curve, spelled out."""
+    steps = {**_SPLIT_SQL, "w0": "SELECT DISTINCT horizon_h, 0e0 AS a, 0e0 AS b FROM fo"}
+    for k in range(rounds):
+        steps[f"g{k}"] = (f"SELECT horizon_h, any_value(a) AS a, any_value(b) AS b, sum(s - n * p) AS g0, sum(x * (s - n * p)) AS g1, sum(n * p * (1 - p)) AS h0, sum(x * n * p * (1 - p)) AS h1, sum(x * x * n * p * (1 - p)) AS h2 "
+                          f"FROM (SELECT fo.*, a, b, 1e0 / (1e0 + exp(-(a + b * x))) AS p FROM fo JOIN w{k} USING (horizon_h)) GROUP BY 1")
+        steps[f"w{k + 1}"] = f"SELECT horizon_h, a + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS a, b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS b FROM g{k}"
+    return {**steps, "cv": f"SELECT va.horizon_h, y_pred, y_obs, 1e0 / (1e0 + exp(-(a + b * y_pred))) AS y_cal FROM va JOIN w{rounds} USING (horizon_h)"}
+
+
+def _scores_sql(fitted):
+    ece = "SELECT horizon_h, sum(n * abs(o - m)) / sum(n) AS ece FROM (SELECT horizon_h, {0} AS b, avg({1}) AS m, avg(y_obs) AS o, count(*) AS n FROM cv GROUP BY 1, 2) GROUP BY 1"
+    parts = {"er": ece.format(PROBABILITY_BIN_SQL, "y_pred"), "ec": ece.format(PROBABILITY_BIN_SQL.replace("y_pred", "y_cal"), "y_cal"),
+             "b": "SELECT horizon_h, avg((y_pred - y_obs) * (y_pred - y_obs)) AS r, avg((y_cal - y_obs) * (y_cal - y_obs)) AS c, count(*) AS n FROM cv GROUP BY 1"}
+    return with_ctes("hindcast", extra={**fitted, **parts}) + "SELECT horizon_h, round(r, 6) AS brier_raw, round(c, 6) AS brier_cal, round(er.ece, 5) AS ece_raw, round(ec.ece, 5) AS ece_cal, n FROM b JOIN er USING (horizon_h) JOIN ec USING (horizon_h)"
+
+
+@query("job_calibrate_fit", _scores_sql(_ISOTONIC_SQL))
 def calibrate_fit(t):
     return _calibrated(t, "isotonic")
 
 
-@query("job_calibrate_fit_platt")
+@query("job_calibrate_fit_platt", _scores_sql(_platt_sql()))
 def calibrate_fit_platt(t):
     return _calibrated(t, "platt")
-
-

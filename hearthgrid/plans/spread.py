@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, fields
+from functools import partial
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,14 +171,36 @@ def heuristic_forecast(active: DataFrame, wind: DataFrame, mask: DataFrame, grid
     return cells if aoi is None else apply_masks(cells, aoi)
 
 
-MODELS = {"heuristic_v0": heuristic_forecast}
+@dataclass(frozen=True)
+class StoredModels:
+    """Where the learned forecast finds its models, and its calibration if that is kept elsewhere."""
 
+    model_path: str
+    calibrator_path: str | None = None
 
-def model(name: str):
-    """Look a forecast model up by name."""
+
+def learned_forecast(cells: DataFrame, horizons: Sequence[int], mask: DataFrame, aoi: DataFrame | None = None, *, cfg: StoredModels) -> DataFrame:
+    """Dense forecast (columns of ``cells`` and ``p``) by stored classifiers, calibrated if they come with a calibration, then masked."""
+    from hearthgrid.plans.artifacts import stored_forecast
+
+    scored = apply_masks(stored_forecast(cells, horizons, cfg.model_path, cfg.calibrator_path), mask)
+    return scored if aoi is None else apply_masks(scored, aoi)
+
+
+#: Forecast models by name, with the type of their parameters.
+MODELS = {"heuristic_v0": (heuristic_forecast, KernelConfig), "learned_v1": (learned_forecast, StoredModels)}
+
+
+def model(name: str, params: Mapping[str, Any] | None = None) -> Callable[..., DataFrame]:
+    """The forecast model of that name with these parameters; ones it doesn't know are named in a warning and left out."""
     if name not in MODELS:
-        raise ValueError(f"unknown spread model: {name}")
-    return MODELS[name]
+        raise ValueError(f"unknown spread model: {name} (there are {', '.join(sorted(MODELS))})")
+    run, settings = MODELS[name]
+    known = {f.name for f in fields(settings)}
+    unknown = sorted(set(params or {}) - known)
+    if unknown:
+        warnings.warn(f"{name}: unknown parameters left out: {', '.join(unknown)}", stacklevel=2)
+    return partial(run, cfg=settings(**{k: v for k, v in (params or {}).items() if k in known}))
 
 
 def horizon_slice(forecast: DataFrame, run_id: int, horizon_h: int) -> DataFrame:

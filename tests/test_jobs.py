@@ -172,10 +172,10 @@ def test_calibration_lowers_the_error(spark):
     rows = [(k % 4, 24, p, float(rng.random() < p * p), 1.0) for k in range(3000) for p in [rng.random()]]
     cells = spark.createDataFrame(rows, "case_id int, horizon_h int, y_pred double, y_obs double, fire_t0 double")
     for method in ("isotonic", "platt"):
-        knots = calibration.fit_horizons(cells, method)
-        r = calibration.evaluate(calibration.apply_knots(cells, knots)).first()
+        fitted = calibration.fit(cells, method)
+        r = calibration.evaluate(calibration.apply(cells, fitted)).first()
         assert r.brier_cal < r.brier_raw and r.ece_cal < r.ece_raw
-    unknown = calibration.apply_knots(cells.withColumn("horizon_h", F.lit(6)), knots)
+    unknown = calibration.apply(cells.withColumn("horizon_h", F.lit(6)), fitted)
     assert unknown.where("y_cal <> y_pred").count() == 0
 
 
