@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 from functools import partial
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,12 @@ from hearthgrid.operators.neighbours import HOUR_US, micros
 from hearthgrid.operators.raster import circular_mean
 from hearthgrid.operators.runs import covers_box, latest_run_at
 from hearthgrid.operators.weather import nearest_node, nearest_step, pack_series
+from hearthgrid.session import materialize
 
 CELL = ["run_id", "horizon_h", "i", "j"]
 RUN_STEP = ["run_id", "horizon_h"]
+#: Edge of a block of kernel sums, in cells, where the kernel is narrower.
+LEAST_BLOCK = 64
 
 
 def reference_runs(detections: DataFrame, every_h: int = 24) -> DataFrame:
@@ -114,16 +119,42 @@ def window_slope(terrain: DataFrame) -> DataFrame:
     return terrain.agg(F.avg("slope_deg").alias("slope_deg"), circular_mean(F.col("aspect_deg")).alias("aspect_deg"))
 
 
+def _block_sums(grid: GridSpec):
+    """Adds up one block's kernel windows: a function of its burning cells and its one row of layout and kernel."""
+
+    def run(burning: pa.Table, layout: pa.Table) -> pa.Table:
+        row = {c: layout.column(f"of_{c}")[0] for c in (*RUN_STEP, "bi", "bj")} | {c: layout.column(c)[0] for c in ("half", "edge")}
+        half, edge = row["half"].as_py(), row["edge"].as_py()
+        kernel = layout.column("kernel").combine_chunks().flatten().flatten().to_numpy(zero_copy_only=False).reshape(2 * half + 1, -1)
+        i0, j0 = row["bi"].as_py() * edge, row["bj"].as_py() * edge
+        i1, j1 = min(i0 + edge, grid.n_lat), min(j0 + edge, grid.n_lon)
+        total, reached = np.zeros((i1 - i0, j1 - j0)), np.zeros((i1 - i0, j1 - j0), dtype=bool)
+        places = sorted(zip(burning.column("ai").to_pylist(), burning.column("aj").to_pylist()))  # one order of additions
+        for ai, aj in places:
+            a, b, c, d = max(ai - half, i0), min(ai + half + 1, i1), max(aj - half, j0), min(aj + half + 1, j1)
+            total[a - i0:b - i0, c - j0:d - j0] += kernel[a - ai + half:b - ai + half, c - aj + half:d - aj + half]
+            reached[a - i0:b - i0, c - j0:d - j0] = True
+        i, j = np.nonzero(reached)
+        same = lambda c: pa.array(np.full(len(i), row[c].as_py()), row[c].type)
+        return pa.table({"run_id": same("run_id"), "horizon_h": same("horizon_h"), "i": pa.array(i + i0), "j": pa.array(j + j0), "p": pa.array(total[i, j])})
+
+    return run
+
+
 def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelConfig = KernelConfig(), terrain: DataFrame | None = None) -> DataFrame:
     """Sum of the decay weights of all active cells around each cell, per run and horizon.
 
-    Every active cell unrolls its own neighbourhood in place (the weight is plain column arithmetic, no
-    offsets table is shipped) and equal target cells are added up before the shuffle.
+    The window is cut into blocks at least as wide as the kernel. An active cell is listed under the blocks that its
+    kernel reaches, four at most, and a block's task adds the kernel up in place, so rows follow the active
+    cells going in and the cells reached coming out, never cells times kernel. The kernel of a run and horizon is worked out
+    once (the wind is the same for all its cells) and travels once to each of its blocks.
     """
     mean_lat = F.lit(grid.origin_lat + grid.n_lat * grid.cell / 2.0)
     dy, dx = cell_km(grid.cell, mean_lat)
     shaped = wind.withColumn("wind", F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))).withColumn(
         "half", kernel_half(F.col("horizon_h"), F.col("wind"), dy, dx, cfg).cast("int")).drop("ref_time")
+    # A kernel wider than the window has no cell to reach beyond it.
+    shaped = shaped.withColumn("half", F.least("half", F.lit(max(grid.n_lat, grid.n_lon) - 1))).withColumn("edge", F.greatest(2 * F.col("half") + 1, F.lit(LEAST_BLOCK)))
     tilted = cfg.slope_bias and terrain is not None
     if tilted:
         slope = window_slope(terrain).select(F.struct("slope_deg", "aspect_deg").alias("ground")).scalar()
@@ -131,18 +162,20 @@ def kernel_sums(active: DataFrame, wind: DataFrame, grid: GridSpec, cfg: KernelC
     elif cfg.slope_bias:
         raise ValueError("an upslope bias needs the terrain of the window")
     burning = active.where(F.col("fire") > cfg.fire_threshold).select("run_id", F.col("i").alias("ai"), F.col("j").alias("aj"))
-    # The rows are few and small but unroll to a whole neighbourhood of targets each: spread them over all tasks first
-    # (a fixed count is not merged away again at run time).
+    # Few rows, much work behind each: spread them over all tasks (a fixed count is not merged away again at run time).
     tasks = max(int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), active.sparkSession.sparkContext.defaultParallelism)
-    spans = (
-        burning.join(shaped, "run_id").repartition(tasks, *RUN_STEP, "ai", "aj")
-        .withColumn("di", F.explode(F.expr("sequence(-half, half)"))).where(f"ai + di BETWEEN 0 AND {grid.n_lat - 1}")
-        .withColumn("dj", F.explode(F.expr("sequence(-half, half)"))).where(f"aj + dj BETWEEN 0 AND {grid.n_lon - 1}")
-    )
-    weight = kernel_weight(F.col("di").cast("double"), F.col("dj").cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg,
-                           F.col("slope_deg") if tilted else None, F.col("aspect_deg") if tilted else None)
-    return spans.select(*RUN_STEP, (F.col("ai") + F.col("di")).alias("i"), (F.col("aj") + F.col("dj")).alias("j"), weight.alias("w")).groupBy(*CELL).agg(
-        F.sum("w").alias("p"))
+    block = [*RUN_STEP, "bi", "bj"]
+    reach = "sequence(CAST(greatest({0} - half, 0) DIV edge AS INT), CAST(least({0} + half, {1}) DIV edge AS INT))"
+    listed = burning.join(shaped.select(*RUN_STEP, "half", "edge"), "run_id").withColumn("bi", F.explode(F.expr(reach.format("ai", grid.n_lat - 1)))).withColumn(
+        "bj", F.explode(F.expr(reach.format("aj", grid.n_lon - 1)))).select(*block, "ai", "aj")
+    offsets = F.sequence(-F.col("half"), F.col("half"))
+    weight = lambda di, dj: kernel_weight(di.cast("double"), dj.cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg,
+                                          F.col("slope_deg") if tilted else None, F.col("aspect_deg") if tilted else None)
+    kernels = shaped.select(*RUN_STEP, "half", "edge", F.transform(offsets, lambda di: F.transform(offsets, lambda dj: weight(di, dj))).alias("kernel"))
+    listed = materialize(listed, "burning-blocks")
+    layout = listed.select(*block).distinct().join(kernels, RUN_STEP).select(*[F.col(c).alias(f"of_{c}") for c in block], "half", "edge", "kernel")
+    here, there = listed.repartition(tasks, *block), layout.repartition(tasks, *[f"of_{c}" for c in block])
+    return here.groupBy(*block).cogroup(there.groupBy(*[f"of_{c}" for c in block])).applyInArrow(_block_sums(grid), "run_id long, horizon_h int, i long, j long, p double")
 
 
 def normalise_by_max(cells: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

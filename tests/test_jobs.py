@@ -125,6 +125,27 @@ def test_kernel_bias_and_growth(spark):
         KernelConfig(max_width=8)
 
 
+@pytest.mark.parametrize("grid, bias", [(GridSpec(0.1, 40.0, 22.0, 200, 150), False), (GridSpec(0.1, 40.0, 22.0, 30, 9), True)])
+def test_kernel_sums_equal_the_sum_over_all_pairs(spark, grid, bias):
+    """Narrow kernels with many blocks, and kernels wider than the window; cells on block borders and in corners."""
+    rng = random.Random(8)
+    cells = {(r, i, j) for r in (1, 2) for i, j in [(0, 0), (grid.n_lat - 1, grid.n_lon - 1), (63, 64), (64, 63), *[(rng.randrange(grid.n_lat), rng.randrange(grid.n_lon)) for _ in range(25)]] if i < grid.n_lat and j < grid.n_lon}
+    active = spark.createDataFrame([(*c, 0.5) for c in cells] + [(1, 3, 3, 0.0), (3, 1, 1, 0.9)], "run_id long, i long, j long, fire double").dropDuplicates(["run_id", "i", "j"])
+    wind = spark.createDataFrame([(1, 6, 0.0, 0.0), (1, 24, 9.0, -4.0), (2, 12, -30.0, 2.0), (4, 6, 1.0, 1.0)], "run_id long, horizon_h int, u double, v double")
+    ground = spark.createDataFrame([(0, 0, 12.0, 100.0)], "i long, j long, slope_deg double, aspect_deg double") if bias else None
+    cfg = KernelConfig(slope_bias=bias)
+    dy, dx = spread.cell_km(grid.cell, F.lit(grid.origin_lat + grid.n_lat * grid.cell / 2))
+    tilt = (F.lit(12.0), F.lit(100.0)) if bias else (None, None)
+    reach = wind.withColumn("half", kernel_half(F.col("horizon_h"), F.sqrt(F.col("u") ** 2 + F.col("v") ** 2), dy, dx, cfg))
+    pairs = active.where("fire > 0").join(reach, "run_id").withColumn("ti", F.explode(F.sequence(F.lit(0), F.lit(grid.n_lat - 1)))).withColumn("tj", F.explode(F.sequence(F.lit(0), F.lit(grid.n_lon - 1))))
+    pairs = pairs.where("abs(ti - i) <= half AND abs(tj - j) <= half")
+    weight = kernel_weight((F.col("ti") - F.col("i")).cast("double"), (F.col("tj") - F.col("j")).cast("double"), F.col("horizon_h"), F.col("u"), F.col("v"), dy, dx, cfg, *tilt)
+    want = {tuple(r)[:4]: r["p"] for r in pairs.groupBy("run_id", "horizon_h", "ti", "tj").agg(F.sum(weight).alias("p")).collect()}
+    got = {tuple(r)[:4]: r["p"] for r in spread.kernel_sums(active, wind, grid, cfg, ground).collect()}
+    assert got.keys() == want.keys() and len({k[1] for k in got}) == 3
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-300) for k, v in want.items())
+
+
 def test_missing_horizon_is_an_error(spark):
     f = spark.createDataFrame([(1, 6, 0, 0, 0.5)], "run_id int, horizon_h int, i int, j int, p double")
     assert spread.horizon_slice(f, 1, 6).count() == 1
