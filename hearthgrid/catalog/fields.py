@@ -219,10 +219,10 @@ def raster_window(t):
     return got.select("terrain_id", "i", "j", "z", "valid")
 
 
-@query("src_terrain_bbox", with_ctes("dem", "dem_cells") + "SELECT i, j, coalesce(d.z, b.z) AS z FROM (SELECT i, j, min(z) AS z FROM dem_cells GROUP BY 1, 2) b LEFT JOIN (SELECT i, j, z FROM dem WHERE region < 'R50') d USING (i, j) WHERE i >= 30 AND i < 170 AND j >= 30 AND j < 160")
+@query("src_terrain_bbox", with_ctes("dem", "dem_cells") + "SELECT i, j, coalesce(d.z, b.z) AS z FROM (SELECT i, j, min(z) AS z FROM dem_cells GROUP BY 1, 2) b LEFT JOIN (SELECT i, j, z FROM dem) d USING (i, j) WHERE i >= 30 AND i < 170 AND j >= 30 AND j < 160")
 def terrain_bbox(t):
     box = (25.0, 43.0, 38.0, 57.0)
-    regional = terrain.clip(dem(t).where("region < 'R50'").select("i", "j", "z"), COARSE, box).select("i", "j", "z")
+    regional = terrain.clip(dem(t).select("i", "j", "z"), COARSE, box).select("i", "j", "z")
     base = terrain.clip(t.dem_cells.groupBy("i", "j").agg(F.min("z").alias("z")), COARSE, box)
     return terrain.with_region_fallback(regional, base, "z")
 

@@ -14,10 +14,10 @@ def vertex_count(rings: str = "rings") -> Column:
 
 def edges(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     """One row per edge (x1, y1) -> (x2, y2) of every ring."""
-    ring = polygons.select(key, F.posexplode(rings).alias("ring", "points"))
-    pair = F.expr("transform(sequence(1, size(points) - 1), n -> named_struct('x1', points[n - 1].lon, 'y1', points[n - 1].lat, "
-                  "'x2', points[n].lon, 'y2', points[n].lat))")
-    return ring.where(F.size("points") > 1).select(key, "ring", F.posexplode(pair).alias("edge", "e")).select(key, "ring", "edge", "e.*")
+    ring = polygons.select(key, F.posexplode(rings).alias("ring", "points")).where(F.size("points") > 1)
+    pairs = F.arrays_zip(F.slice("points", 1, F.size("points") - 1).alias("a"), F.slice("points", 2, F.size("points") - 1).alias("b"))
+    return ring.select(key, "ring", F.posexplode(pairs).alias("edge", "e")).select(
+        key, "ring", "edge", F.col("e.a.lon").alias("x1"), F.col("e.a.lat").alias("y1"), F.col("e.b.lon").alias("x2"), F.col("e.b.lat").alias("y2"))
 
 
 def measures(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
@@ -35,31 +35,60 @@ def measures(polygons: DataFrame, key: str, rings: str = "rings") -> DataFrame:
     )
 
 
+def slabs(polygons: DataFrame, key: str, rings: str = "rings") -> tuple[DataFrame, DataFrame]:
+    """The slab index: ``(key, lat_lo, lat_hi, lon_lo, lon_hi, slabs, height)`` per polygon, and ``(key, slab, x1, y1, x2, y2)``.
+
+    A polygon is cut into strips of equal height. There are as many as its ``n`` edges allow with at most about ``2 n``
+    entries: an edge is listed under each strip it touches, and a strip holds about as many edges as any line of latitude
+    meets. Level edges meet no line and are not listed.
+    """
+    every = edges(polygons, key, rings)
+    shape = every.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.abs(F.col("y2") - F.col("y1"))).alias("climb"), F.min("y1").alias("lat_lo"), F.max("y1").alias("lat_hi"),
+        F.min("x1").alias("lon_lo"), F.max("x1").alias("lon_hi"))
+    tall = F.col("lat_hi") - F.col("lat_lo")
+    wanted = F.floor(F.col("n") * tall / F.greatest(F.col("climb"), tall))
+    shape = shape.withColumn("slabs", F.when(tall > 0, F.greatest(F.lit(1), wanted)).otherwise(F.lit(1)).cast("long")).withColumn("height", tall / F.col("slabs"))
+    shape = shape.select(key, "lat_lo", "lat_hi", "lon_lo", "lon_hi", "slabs", "height")
+    met = every.where("y1 <> y2").join(shape.select(key, "lat_lo", "slabs", "height"), key)
+    listed = met.withColumn("slab", F.explode(F.sequence(slab_of(F.least("y1", "y2")), slab_of(F.greatest("y1", "y2")))))
+    return shape, listed.select(key, "slab", "x1", "y1", "x2", "y2")
+
+
+def slab_of(lat: Column) -> Column:
+    """The strip of a latitude, of a row with its polygon's ``lat_lo``, ``height`` and ``slabs``."""
+    raw = F.floor((lat - F.col("lat_lo")) / F.nullif(F.col("height"), F.lit(0.0)))
+    return F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.col("slabs") - 1)
+
+
+def with_parity(asked: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``asked`` (columns that can be grouped by, with key, slab, lat, lon) and ``inside``: whether an odd number of edges lies to the east.
+
+    A row meets the edges of its polygon's strip only; crossings are added up in the same task that joined them.
+    """
+    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
+        F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
+    met = asked.join(listed, [key, "slab"], "left")
+    return met.groupBy(key, "slab", *[c for c in asked.columns if c not in (key, "slab")]).agg((F.sum(F.when(crosses, 1).otherwise(0)) % 2 == 1).alias("inside"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, bin_deg: float = 0.5, rings: str = "rings") -> DataFrame:
     """(point columns, key) for every polygon that holds the point, by even-odd crossings.
 
-    Polygons are listed in the bins their boxes touch; a point joins on its own bin, is tested against
-    the box, and only then against the ring (whose length is limited by the area rules), inside the row.
+    A polygon's box (no ring) is listed in the bins it touches; a point joins on its own bin, is tested against the
+    box, and then meets the edges of one strip of the polygon. Rings are never copied, nor held in one row. Points that repeat in all
+    columns are repeated in the result.
     """
-    box = polygons.select(key, rings).withColumn("flat", F.flatten(F.col(rings))).select(
-        key, rings,
-        F.array_min(F.transform("flat", lambda p: p["lat"])).alias("lat_lo"), F.array_max(F.transform("flat", lambda p: p["lat"])).alias("lat_hi"),
-        F.array_min(F.transform("flat", lambda p: p["lon"])).alias("lon_lo"), F.array_max(F.transform("flat", lambda p: p["lon"])).alias("lon_hi"))
+    shape, listed = slabs(polygons, key, rings)
     span = "sequence(CAST(floor({0}_lo / {1}) AS INT), CAST(floor({0}_hi / {1}) AS INT))"
     width = f"{bin_deg!r}D"
-    listed = box.withColumn("bin_i", F.explode(F.expr(span.format("lat", width)))).withColumn("bin_j", F.explode(F.expr(span.format("lon", width))))
-    placed = points.withColumns({"bin_i": F.expr(f"CAST(floor(lat / {width}) AS INT)"), "bin_j": F.expr(f"CAST(floor(lon / {width}) AS INT)")})
-    candidates = placed.join(listed, ["bin_i", "bin_j"]).where("lat BETWEEN lat_lo AND lat_hi AND lon BETWEEN lon_lo AND lon_hi")
-    return candidates.where(crossings(rings, "lat", "lon")).drop("bin_i", "bin_j", "lat_lo", "lat_hi", "lon_lo", "lon_hi", rings)
-
-
-def crossings(rings: str, lat: str, lon: str) -> Column:
-    """Even-odd test of a point against the rings held in the same row."""
-    return F.expr(
-        f"aggregate({rings}, 0, (total, ring) -> total + size(filter(sequence(1, size(ring) - 1), n -> "
-        f"(ring[n - 1].lat > {lat}) <> (ring[n].lat > {lat}) AND "
-        f"{lon} < (ring[n].lon - ring[n - 1].lon) * ({lat} - ring[n - 1].lat) / nullif(ring[n].lat - ring[n - 1].lat, 0e0) + ring[n - 1].lon)))"
-    ) % 2 == 1
+    boxes = shape.withColumn("bin_i", F.explode(F.expr(span.format("lat", width)))).withColumn("bin_j", F.explode(F.expr(span.format("lon", width))))
+    placed = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times")).withColumns({
+        "bin_i": F.expr(f"CAST(floor(lat / {width}) AS INT)"), "bin_j": F.expr(f"CAST(floor(lon / {width}) AS INT)")})
+    near = placed.join(boxes, ["bin_i", "bin_j"]).where("lat BETWEEN lat_lo AND lat_hi AND lon BETWEEN lon_lo AND lon_hi")
+    asked = near.select(key, slab_of(F.col("lat")).alias("slab"), *points.columns, "_times")
+    held = with_parity(asked, listed, key).where("inside")
+    return held.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*points.columns, key)
 
 
 def cell_outline(cells: DataFrame, keys: list[str]) -> DataFrame:

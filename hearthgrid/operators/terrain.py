@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.grid import GridSpec
-from hearthgrid.operators.polygons import crossings
+from hearthgrid.operators.polygons import slab_of, slabs, with_parity
 from hearthgrid.operators.runs import newest_per
 
 
@@ -38,18 +38,18 @@ def stats(cells: DataFrame, value: str, keys: list[str]) -> DataFrame:
 def aoi_windows(aois: DataFrame, terrain: DataFrame, grid: GridSpec, key: str = "aoi_id") -> DataFrame:
     """Terrain of every area's window: slope, aspect, elevation, joint valid flag, in-area flag of the cell centre.
 
-    The window of one area is bounded by the area limit; its cells are generated per row and meet the
-    raster in one equi-join on (i, j).
+    The window of one area is bounded by the area limit; its cells are generated per row, meet the edges of one
+    strip of the area each and the raster in one equi-join on (i, j). Rings are not copied to cells.
     """
     c, lat0, lon0 = F.lit(grid.cell), F.lit(grid.origin_lat), F.lit(grid.origin_lon)
     clipped = lambda x, top: F.greatest(F.lit(0), F.least(x, F.lit(top)))
     i0, i1 = clipped(F.floor((F.col("min_lat") - lat0) / c), grid.n_lat), clipped(F.ceil((F.col("max_lat") - lat0) / c), grid.n_lat)
     j0, j1 = clipped(F.floor((F.col("min_lon") - lon0) / c), grid.n_lon), clipped(F.ceil((F.col("max_lon") - lon0) / c), grid.n_lon)
-    cells = (
-        aois.where((i1 > i0) & (j1 > j0)).select(key, "rings", F.explode(F.sequence(i0, i1 - 1)).alias("i"), j0.alias("j0"), j1.alias("j1"))
-        .select(key, "rings", "i", F.explode(F.sequence("j0", F.col("j1") - 1)).alias("j"))
-        .withColumns({"lat": grid.lat_centre(F.col("i")), "lon": grid.lon_centre(F.col("j"))})
-    )
-    masked = cells.withColumn("in_area", crossings("rings", "lat", "lon")).drop("rings")
+    shape, listed = slabs(aois, key)
+    boxed = aois.where((i1 > i0) & (j1 > j0)).select(key, F.explode(F.sequence(i0, i1 - 1)).alias("i"), j0.alias("j0"), j1.alias("j1"))
+    strips = shape.select(key, "lat_lo", "height", "slabs")
+    rows = boxed.withColumn("lat", grid.lat_centre(F.col("i"))).join(strips, key, "left").withColumn("slab", slab_of(F.col("lat")))
+    cells = rows.select(key, "slab", "i", F.explode(F.sequence("j0", F.col("j1") - 1)).alias("j"), "lat").withColumn("lon", grid.lon_centre(F.col("j")))
+    masked = with_parity(cells, listed, key).drop("slab").withColumnRenamed("inside", "in_area")
     valid = F.col("z").isNotNull() & F.col("slope_deg").isNotNull()
     return masked.join(terrain.select("i", "j", "z", "slope_deg", "aspect_deg"), ["i", "j"], "left").withColumn("valid", valid)

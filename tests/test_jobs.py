@@ -1,6 +1,7 @@
 """Table changes, metrics, terrain, spread, contours and streams on small hand-made inputs."""
 
 import json
+import math
 import random
 
 import pytest
@@ -188,6 +189,40 @@ def test_point_in_polygon_with_hole(spark):
     assert m.vertex_count == 10 and 140_000 < m.area_km2 < 150_500
 
 
+def _inside(x, y, rings):
+    odd = False
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:]):
+            if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                odd = not odd
+    return odd
+
+
+def test_points_in_polygons_of_many_vertices(spark):
+    """Rings of 10,000 vertices, one a star with a hole, a comb whose every tooth is as tall as the polygon, and small ones; points on vertices' latitudes too."""
+    rng = random.Random(4)
+    star = [((4 + 3 * (k % 2)) * math.cos(math.pi * k / 5000) + 10, (4 + 3 * (k % 2)) * math.sin(math.pi * k / 5000) + 10) for k in range(10_000)]
+    hole = [(9.0, 9.0), (11.0, 9.0), (11.0, 11.0), (9.0, 11.0)]
+    comb = [(20 + k / 50, float(k % 2)) for k in range(400)] + [(28.0, -1.0), (20.0, -1.0)]
+    flat = [(0.0, 0.0), (5.0, 0.0), (2.0, 0.0)]
+    shapes = {1: [star, hole], 2: [comb], 3: [[(10.0, 10.0), (12.0, 10.0), (12.0, 12.0), (10.0, 12.0)]], 4: [flat],
+              5: [[((6 + 0.2 * math.sin(k / 50)) * math.cos(math.pi * k / 5000) + 10, 6 * math.sin(math.pi * k / 5000) + 10) for k in range(10_000)]]}
+    shapes = {k: [[*r, r[0]] for r in rings] for k, rings in shapes.items()}
+    poly = spark.createDataFrame([(k, [[{"lon": x, "lat": y} for x, y in r] for r in rings], 5) for k, rings in shapes.items()],
+                                 "k int, rings array<array<struct<lon: double, lat: double>>>, slab int").drop("slab")
+    places = [(rng.uniform(2, 18), rng.uniform(2, 18)) for _ in range(800)] + [(rng.uniform(19, 29), rng.uniform(-1.2, 1.2)) for _ in range(600)]
+    places += [(rng.uniform(3, 17), y) for _, y in rng.sample(star, 100)] + [(10.5, 9.0), (10.0, 10.0), (12.0, 12.0), (3.0, 0.0)]
+    rows = [(n, x, y) for n, (x, y) in enumerate(places)]
+    pts = spark.createDataFrame([*rows, rows[0], rows[0]], "id int, lon double, lat double")
+    got = sorted((r.id, r.k) for r in polygons.points_in_polygons(pts, poly, "k").collect())
+    want = [(n, k) for n, x, y in [*rows, rows[0], rows[0]] for k, rings in shapes.items() if _inside(x, y, rings)]
+    assert got == sorted(want) and {k for _, k in want} == {1, 2, 3, 5}
+    shape, listed = polygons.slabs(poly, "k")
+    entries = {r["k"]: r["count"] for r in listed.groupBy("k").count().collect()}
+    counts = {r["k"]: r["slabs"] for r in shape.collect()}
+    assert all(entries.get(k, 0) <= 3 * sum(map(len, rings)) for k, rings in shapes.items()) and counts[5] > 1000 and counts[2] < 4
+
+
 def test_calibration_lowers_the_error(spark):
     rng = random.Random(0)
     rows = [(k % 4, 24, p, float(rng.random() < p * p), 1.0) for k in range(3000) for p in [rng.random()]]
