@@ -225,60 +225,51 @@ def verified(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def meeting_points(near: DataFrame, radius: int) -> DataFrame:
-    """``(view, point, node)``: any two rows of ``near(view, fp, node)`` within ``radius`` bits in a view share a point, others share none.
+def view_groups(near: DataFrame, radius: int) -> DataFrame:
+    """``(view, group, fp, node)``: rows of ``near(view, fp, node)`` whose fingerprints are tied by steps of at most ``radius`` bits in a view share a group.
 
-    Points are worked out for the distinct fingerprints. One that a single fingerprint reaches is kept for that
-    fingerprint's own nodes only, once.
+    Worked out on the different fingerprints, by meeting points. Groups only say where to look for pairs.
     """
+    named = F.xxhash64("view", "fp").alias("g")
+    different = near.select("view", "fp", named).distinct()
     flipped = F.explode(_longs(flips(radius // 2))).alias("flip")
-    reached = near.select("view", "fp").distinct().select("view", "fp", flipped).select("view", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    several = reached.groupBy("view", "at").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high").select("view", "at")
-    shared = reached.join(several, ["view", "at"], "left_semi").union(reached.filter("fp = at")).distinct()
-    placed = shared.join(near, ["view", "fp"]).select("view", F.xxhash64("view", "at").alias("point"), "node")
-    met = placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("point")
-    return placed.join(met, "point", "left_semi").select("view", "point", "node")
-
-
-def linked(points: DataFrame, nodes: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(node, root)``: the components that all links of similar texts at the points of ``points(view, point, node)`` make.
-
-    Texts are first tested with the smallest node they meet in each view. Then, as long as a point has members of
-    several components, some of them (leaders, of the components with the fewest members there; twice as many each
-    round) are held against every member of the other components, and leave the point. So in the end any two members
-    of a point are in one component or have been found not similar. Bitmaps of their shingles, compared while
-    they are joined, keep most pairs from being made; only the rest is tested on the texts.
+    reached = different.select("view", "g", F.col("fp"), flipped).select("view", "g", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    several = reached.groupBy("view", "at").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("view", "at", "low")
+    root = components(reached.join(several, ["view", "at"]).select(F.col("g").alias("a"), F.col("low").alias("b")))
+    return near.select("view", "fp", "node", named).join(root.withColumnRenamed("node", "g"), "g", "left").select("view", F.coalesce("root", "g").alias("group"), "fp", "node")
+
+
+def linked(grouped: DataFrame, nodes: DataFrame, held: DataFrame, views: int, radius: int, shingle: int, similarity: float) -> DataFrame:
+    """``(node, root)``: the components that all links of similar texts within ``radius`` bits in some view make.
+
+    First each node is tested with one node of its group in each view, another one in every view; that ties most of a large group.
+    Then every pair that is within the radius and not yet in one component is looked at, in the first view that
+    has it within the radius only. Bitmaps of the shingles are compared while pairs are joined, so that few are made, and those
+    are tested on the texts. No pair within the radius is left out.
     """
-    marked = nodes.select("node", "n", "marks")
-    other = marked.select(F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("marks").alias("lead_marks"))
-    likely = may_be_similar("n", "marks", "lead_n", "lead_marks", similarity)
-    low = points.groupBy("point").agg(F.min("node").alias("low"))
-    first = points.join(low, "point").filter("node <> low").groupBy("view", "node").agg(F.min("low").alias("lead")).select("node", "lead").distinct()
-    first = first.join(marked, "node").join(other, "lead").filter(likely)
-    tested = materialize(first.select(F.col("node").alias("a"), F.col("lead").alias("b")), "pairs")
-    found = materialize(components(verified(tested, held, shingle, similarity)), "roots")
-    left, most = points.select("point", "node").distinct(), 1
-    while True:
-        here = left.join(found, "node", "left").select("point", "node", F.coalesce("root", "node").alias("root"))
-        parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
-        mixed = materialize(parts.groupBy("point").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1"), "mixed_points")
-        if mixed.isEmpty():
-            return found
-        here = materialize(here.join(mixed.select("point"), "point", "left_semi"), "members")
-        few = F.row_number().over(Window.partitionBy("point").orderBy("members", "lead"))
-        parts = here.groupBy("point", "root").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("lead"))
-        ranked = parts.withColumn("rank", few).filter(F.col("rank") <= most)
-        leaders = materialize(ranked.join(mixed, "point").filter("rank < parts").select("point", "lead", F.col("root").alias("lead_root")), "leaders")
-        met = here.join(marked, "node").join(leaders.join(other, "lead"), "point").filter((F.col("root") != F.col("lead_root")) & likely)
-        fresh = met.select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        similar = materialize(verified(fresh, held, shingle, similarity), "similar")
-        if not similar.isEmpty():
-            known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            found = materialize(components(known.union(similar)), "roots")
-        tested = tested.union(fresh)
-        left = materialize(here.join(leaders.select("point", F.col("lead").alias("node")), ["point", "node"], "left_anti").select("point", "node"), "points_left")
-        most *= 2
+    names = [f"f{k}" for k in range(views)]
+    marked = nodes.select("node", "n", "marks", F.array(*names).alias("prints"))
+    other = marked.select(*[F.col(c).alias(f"other_{c}") for c in marked.columns])
+    likely = may_be_similar("n", "marks", "other_n", "other_marks", similarity)
+    leads = grouped.groupBy("view", "group").agg(F.min_by("node", F.xxhash64("view", "node")).alias("other_node"))
+    first = grouped.join(leads, ["view", "group"]).filter("node <> other_node").select("node", "other_node").distinct()
+    first = first.join(marked, "node").join(other, "other_node").filter(likely).select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"))
+    found = materialize(components(verified(materialize(first.distinct(), "pairs"), held, shingle, similarity)), "roots")
+
+    rooted = grouped.join(found, "node", "left").select("view", "group", "fp", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("view", "group").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("view", "group")
+    here = materialize(rooted.join(mixed, ["view", "group"], "left_semi").join(marked, "node"), "members")
+    there = here.select("view", "group", *[F.col(c).alias(f"other_{c}") for c in here.columns if c not in ("view", "group")])
+    apart = lambda k: F.bit_count(F.get("prints", F.lit(k)).bitwiseXOR(F.get("other_prints", F.lit(k)))) > radius
+    earlier = F.lit(True)
+    for k in range(views):
+        earlier = earlier & ((F.col("view") <= k) | apart(k))
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius
+    met = here.join(there, ["view", "group"]).filter((F.col("node") > F.col("other_node")) & (F.col("root") != F.col("other_root")) & near & earlier & likely)
+    fresh = materialize(met.select(F.col("node").alias("a"), F.col("other_node").alias("b")), "pairs")
+    similar = verified(fresh, held, shingle, similarity)
+    known = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return materialize(components(known.union(similar)), "roots")
 
 
 def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -286,8 +277,7 @@ def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle
     whether this is the row of the group that stays, and how many rows have both.
 
     Texts of equal words in equal order are copies. Of the others, fingerprints of the set of words are taken under
-    ``views`` hashes; documents within ``radius`` bits in a view share a meeting point there (after pigeonring). Any two
-    that do are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
+    ``views`` hashes (pigeonring keys leave out texts that are alone). Any two within ``radius`` bits in a view are linked if their sets of ``shingle``-word shingles reach the Jaccard similarity. Texts that
     similar are within two bits in at least one view with high but not full probability (README has measured figures).
     Rows without a doc_id are left out. A doc_id with several texts belongs to the group of each of them.
     """
@@ -300,11 +290,11 @@ def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle
     keyed = keyed.select("view", "fp", "node", F.xxhash64("view", "at", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
     near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
-    points = materialize(meeting_points(near, radius), "points")
-    wanted = nodes.join(points.select("node").distinct(), "node", "left_semi").select("node", "low.doc_id", "low.x")
+    grouped = materialize(view_groups(near, radius), "view_groups")
+    wanted = nodes.join(grouped.select("node").distinct(), "node", "left_semi").select("node", "low.doc_id", "low.x")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text").join(wanted, ["doc_id", "x"]).select("node", "text")
     held = materialize(held.groupBy("node").agg(F.max("text").alias("text")), "texts_held")  # repeated rows have equal texts
-    found = linked(points, nodes, held, shingle, similarity)
+    found = linked(grouped, nodes, held, views, radius, shingle, similarity)
     rooted = nodes.join(found, "node", "left").select("t1", "t2", "low", F.coalesce("root", "node").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("first"))
     rooted = rooted.join(lowest, "root").select("t1", "t2", "first")
