@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from hearthgrid.operators.asof import last_before
 from hearthgrid.operators.neighbours import HOUR_US, micros
 
 BOX = ("min_lon", "min_lat", "max_lon", "max_lat")
@@ -40,88 +40,73 @@ def stored_box_contains(min_lon, min_lat, max_lon, max_lat) -> Column:
     return (F.col("min_lon") <= min_lon) & (F.col("min_lat") <= min_lat) & (F.col("max_lon") >= max_lon) & (F.col("max_lat") >= max_lat)
 
 
-def as_of_run(points: DataFrame, runs: DataFrame, tolerance_h: int = 6) -> DataFrame:
-    """Newest completed run in ``[t - tolerance, t]`` whose box covers the point.
+WORLD = {"min_lon": -180.0, "max_lon": 180.0, "min_lat": -90.0, "max_lat": 90.0}
 
-    ``points`` has id, lat, lon, t_us. Runs of equal time and box are reduced to the newest first, so a
-    point meets world-wide runs once per run time of its two time buckets, and boxed runs only through
-    the map tiles their boxes touch. The winner per point is a max_by with map-side combine.
-    """
-    width = tolerance_h * HOUR_US
-    ready = runs.where("status = 'completed'").select("run_id", "run_time", "created_at", *BOX)
-    ready = newest_per(ready, ["run_time", *BOX], ["created_at", "run_id"]).withColumn("run_us", micros(F.col("run_time")))
-    ready = ready.withColumn("slot", F.explode(F.expr(f"array(floor(run_us / {width}), floor(run_us / {width}) + 1)")))
-    asked = points.select("id", "lat", "lon", "t_us").withColumn("slot", F.expr(f"floor(t_us / {width})"))
-    in_time = F.col("run_us").between(F.col("t_us") - width, F.col("t_us"))
-
-    world = ready.where("min_lon IS NULL AND min_lat IS NULL AND max_lon IS NULL AND max_lat IS NULL")
-    hits = asked.join(world.select("slot", "run_id", "run_time", "run_us", "created_at"), "slot").where(in_time)
-
-    def tiles(low: str, high: str, shift: int) -> Column:
-        return F.explode(F.expr(f"sequence(CAST(floor((coalesce({low}, -{shift}e0) + {shift}e0) / {TILE_DEG}) AS INT), "
-                                f"CAST(floor((coalesce({high}, {shift}e0) + {shift}e0) / {TILE_DEG}) AS INT))"))
-
-    boxed = (
-        ready.where("NOT (min_lon IS NULL AND min_lat IS NULL AND max_lon IS NULL AND max_lat IS NULL)")
-        .withColumn("tile_i", tiles("min_lat", "max_lat", 90)).withColumn("tile_j", tiles("min_lon", "max_lon", 180))
-    )
-    tiled = asked.withColumns({
-        "tile_i": F.expr(f"CAST(floor((lat + 90e0) / {TILE_DEG}) AS INT)"),
-        "tile_j": F.expr(f"CAST(floor((lon + 180e0) / {TILE_DEG}) AS INT)"),
-    })
-    local = tiled.join(boxed, ["slot", "tile_i", "tile_j"]).where(in_time & covers_point(F.col("lat"), F.col("lon")))
-    names = ["id", "run_id", "run_time", "created_at"]
-    both = hits.select(*names).unionByName(local.select(*names))
-    return (
-        both.groupBy("id")
-        .agg(F.max_by(F.struct("run_id", "run_time"), F.struct("run_time", "created_at", "run_id")).alias("run"))
-        .select("id", "run.run_id", "run.run_time")
-    )
 
+def _tiles(axis: str, shift: int) -> Column:
+    """The map tiles that a box touches along an axis."""
+    return F.explode(F.expr(f"sequence(CAST(floor((min_{axis} + {shift}e0) / {TILE_DEG}) AS INT), CAST(floor((max_{axis} + {shift}e0) / {TILE_DEG}) AS INT))"))
 
-def _reigns(ready: DataFrame, keys: list[str], requests: DataFrame) -> DataFrame:
-    """Days on which each run is the newest one of its key: from its own day to that of its successor.
 
-    A key has one row per run time left, so the ordered list of a key is as long as the model calendar.
-    The last run reigns until the last request.
+def _by_box(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Completed runs by box, the newest of each run time, ``(area, run_us, run_time, created_at, run_id)``; and the boxes ``(area, edges)``.
+
+    A missing edge is the edge of the world.
     """
-    best = newest_per(ready.select(*keys, "run_time", "created_at", "run_id"), [*keys, "run_time"], ["created_at", "run_id"])
-    following = F.lead("run_time").over(Window.partitionBy(*keys).orderBy("run_time"))
-    end = requests.agg(F.max("at").alias("at")).scalar()
-    spans = best.withColumn("until", following).withColumn("last", F.coalesce("until", F.greatest(end, F.col("run_time"))))
-    return spans.withColumn("day", F.explode(F.sequence(F.to_date("run_time"), F.to_date("last")))).drop("last")
+    ready = runs.where("status = 'completed'").select("run_id", "run_time", "created_at", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in WORLD.items()])
+    ready = ready.withColumn("area", F.xxhash64(*WORLD))
+    best = newest_per(ready.select("area", "run_time", "created_at", "run_id"), ["area", "run_time"], ["created_at", "run_id"])
+    return best.withColumn("run_us", micros(F.col("run_time"))), ready.select("area", *WORLD).distinct()
+
 
+def _covering(asked: DataFrame, boxes: DataFrame, lat: str, lon: str, covers: Column) -> DataFrame:
+    """``asked`` with the ``area`` of each box that covers it. World-wide boxes are met without a tile, others by the tile of (lat, lon)."""
+    whole = " AND ".join(f"{c} = {v!r}D" for c, v in WORLD.items())
+    world = boxes.where(whole).agg(F.max("area").alias("area"))  # one row, null if no run has the whole world
+    everywhere = asked.withColumn("area", world.select("area").scalar()).where("area IS NOT NULL")
+    tiled = boxes.where(f"NOT ({whole})").withColumn("tile_i", _tiles("lat", 90)).withColumn("tile_j", _tiles("lon", 180)).withColumnsRenamed({c: f"r_{c}" for c in WORLD})
+    placed = asked.withColumns({"tile_i": F.expr(f"CAST(floor(({lat} + 90e0) / {TILE_DEG}) AS INT)"), "tile_j": F.expr(f"CAST(floor(({lon} + 180e0) / {TILE_DEG}) AS INT)")})
+    local = placed.join(tiled, ["tile_i", "tile_j"]).where(covers).select(*asked.columns, "area")
+    return everywhere.unionByName(local)
 
-_IN_REIGN = "run_time <= at AND (until IS NULL OR at < until)"
+
+def _newest_run(asked: DataFrame, runs: DataFrame, tolerance_us: int | None) -> DataFrame:
+    """(id, run_id, run_time): of the last runs of each row's areas the newest one, no older than the tolerance."""
+    met = last_before(asked, runs, "area", "t_us", ["run_us", "run_id", "run_time", "created_at"]).where("run_id IS NOT NULL")
+    if tolerance_us is not None:
+        met = met.where(F.col("run_us") >= F.col("t_us") - F.lit(tolerance_us))
+    best = F.max_by(F.struct("run_id", "run_time"), F.struct("run_time", "created_at", "run_id")).alias("run")
+    return met.groupBy("id").agg(best).select("id", "run.run_id", "run.run_time")
+
+
+def as_of_run(points: DataFrame, runs: DataFrame, tolerance_h: int = 6) -> DataFrame:
+    """Newest completed run in ``[t - tolerance, t]`` whose box covers the point.
+
+    ``points`` has id, lat, lon, t_us. A point asks once for each different box of runs that covers it, and the boxes'
+    runs are merged with the points in order of time: no time slot is a join key, so points of one
+    moment are dealt to all tasks.
+    """
+    ready, boxes = _by_box(runs)
+    covers = (F.col("r_min_lon") <= F.col("lon")) & (F.col("r_max_lon") >= F.col("lon")) & (F.col("r_min_lat") <= F.col("lat")) & (F.col("r_max_lat") >= F.col("lat"))
+    asked = _covering(points.select("id", "lat", "lon", "t_us"), boxes, "lat", "lon", covers).select("id", "area", "t_us")
+    return _newest_run(asked, ready.withColumn("t_us", F.col("run_us")), tolerance_h * HOUR_US)
 
 
 def latest_run_at(requests: DataFrame, runs: DataFrame) -> DataFrame:
-    """Newest run at or before ``at`` (id, at); no age limit. One equi-join on the day, one hit per request."""
-    reign = _reigns(runs.where("status = 'completed'").withColumn("_all", F.lit(0)), ["_all"], requests).drop("_all")
-    return requests.select("id", "at", F.to_date("at").alias("day")).join(reign, "day").where(_IN_REIGN).select("id", "run_id", "run_time")
+    """Newest completed run at or before ``at`` (id, at) wherever its box is; no age limit."""
+    ready = runs.where("status = 'completed'").withColumn("area", F.lit(0).cast("long"))
+    best = newest_per(ready.select("area", "run_time", "created_at", "run_id"), ["area", "run_time"], ["created_at", "run_id"]).withColumn("t_us", micros(F.col("run_time")))
+    asked = requests.select("id", F.lit(0).cast("long").alias("area"), micros(F.col("at")).alias("t_us"))
+    return last_before(asked, best, "area", "t_us", ["run_id", "run_time"]).where("run_id IS NOT NULL").select("id", "run_id", "run_time")
 
 
 def latest_run_for_boxes(boxes: DataFrame, runs: DataFrame) -> DataFrame:
     """Newest completed run at or before ``at`` that covers each box (id, box, at); no age limit.
 
-    A request first finds the distinct run boxes that cover it, through the map tile of its south-west
-    corner; within one run box only the newest run in time can win, and that is one equi-join on (box, day).
+    A request finds the different run boxes that cover it through the map tile of its south-west corner, and asks for the last
+    run of each.
     """
-    world = {"min_lon": -180.0, "max_lon": 180.0, "min_lat": -90.0, "max_lat": 90.0}
-    ready = runs.where("status = 'completed'").select(
-        "run_time", "created_at", "run_id", *[F.coalesce(c, F.lit(v)).alias(f"r_{c}") for c, v in world.items()])
-    keys = [f"r_{c}" for c in world]
-
-    def tiles(axis: str, shift: int) -> Column:
-        return F.explode(F.expr(f"sequence(CAST(floor((r_min_{axis} + {shift}e0) / {TILE_DEG}) AS INT), CAST(floor((r_max_{axis} + {shift}e0) / {TILE_DEG}) AS INT))"))
-
-    tiled = ready.select(*keys).distinct().withColumn("tile_i", tiles("lat", 90)).withColumn("tile_j", tiles("lon", 180))
-    asked = boxes.withColumns({
-        "tile_i": F.expr(f"CAST(floor((min_lat + 90e0) / {TILE_DEG}) AS INT)"),
-        "tile_j": F.expr(f"CAST(floor((min_lon + 180e0) / {TILE_DEG}) AS INT)"),
-    })
-    covering = asked.join(tiled, ["tile_i", "tile_j"]).where(
-        "r_min_lon <= min_lon AND r_max_lon >= max_lon AND r_min_lat <= min_lat AND r_max_lat >= max_lat"
-    ).select("id", "at", *keys, F.to_date("at").alias("day"))
-    met = covering.join(_reigns(ready, keys, boxes), [*keys, "day"]).where(_IN_REIGN)
-    return met.groupBy("id").agg(F.max_by(F.struct("run_id", "run_time"), F.struct("run_time", "created_at", "run_id")).alias("best")).select("id", "best.*")
+    ready, areas = _by_box(runs)
+    covers = F.expr("r_min_lon <= min_lon AND r_max_lon >= max_lon AND r_min_lat <= min_lat AND r_max_lat >= max_lat")
+    asked = _covering(boxes.select("id", *BOX, micros(F.col("at")).alias("t_us")), areas, "min_lat", "min_lon", covers).select("id", "area", "t_us")
+    return _newest_run(asked, ready.withColumn("t_us", F.col("run_us")), None)

@@ -44,9 +44,8 @@ def risk_grid(spark: SparkSession, bbox: tuple[float, float, float, float], cell
         "min_lat": F.lit(bbox[1]) + F.col("row") * F.lit(g.size_lat), "max_lat": F.lit(bbox[1]) + (F.col("row") + 1) * F.lit(g.size_lat),
         "min_lon": F.lit(bbox[0]) + F.col("col") * F.lit(g.size_lon), "max_lon": F.lit(bbox[0]) + (F.col("col") + 1) * F.lit(g.size_lon),
     }).withColumns({"lat": (F.col("min_lat") + F.col("max_lat")) / 2.0, "lon": (F.col("min_lon") + F.col("max_lon")) / 2.0})
-    # The time is a value of the row, not a constant of the plan: its slot then stays an equi-join key.
-    when = F.unix_micros(F.lit(at).cast("timestamp_ntz").cast("timestamp")) + F.col("id") * F.lit(0)
-    points = cells.select("id", "lat", "lon", when.alias("t_us"))
+    when = F.unix_micros(F.lit(at).cast("timestamp_ntz").cast("timestamp"))
+    points = cells.select("id", "lat", "lon", when.alias("t_us"))  # one moment; the merge deals it to all tasks
     air = weather_at_points(points, runs, weather, weather_grid).select(
         "id", scoring.weather_score(F.col("rh2m"), F.col("precip_mm"), F.col("wind_ms")).alias("dynamic"))
     covered = sample_cell(cells, landcover, landcover_grid, "class", "cover").withColumn("static", scoring.landcover_score(F.col("cover")))
