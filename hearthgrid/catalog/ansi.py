@@ -70,6 +70,11 @@ def add_cte(name: str, text: str, needs: tuple[str, ...] = ()) -> None:
     _CTES[name] = (text, needs)
 
 
+def cte(name: str) -> str:
+    """The text of a registered building block."""
+    return _CTES[name][0]
+
+
 def with_ctes(*names: str, extra: dict[str, str] | None = None) -> str:
     """``WITH ...`` clause holding the named tables, their parents first, then the extra ones."""
     ordered: list[str] = []

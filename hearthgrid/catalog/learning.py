@@ -6,14 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
-from hearthgrid.catalog.aggregates import AUC_SQL
-from hearthgrid.catalog.ansi import add_cte, with_ctes
+from hearthgrid.catalog.aggregates import AUC_SQL, CONF_BIN_SQL, slice_sql
+from hearthgrid.catalog.ansi import add_cte, cte, with_ctes
 from hearthgrid.catalog.fields import dem, slopes
 from hearthgrid.catalog.projections import COARSE, r6
 from hearthgrid.catalog.registry import query
 from hearthgrid.catalog.spreading import _BIN as PROBABILITY_BIN_SQL
 from hearthgrid.catalog.spreading import HORIZONS, WGRID, World
-from hearthgrid.operators.metrics import ranking_metrics
+from hearthgrid.operators.metrics import confidence_bin, ranking_metrics
 from hearthgrid.plans import artifacts, calibration, denoiser, hindcast, labels, spread, training
 from hearthgrid.plans.features import denoiser_features
 from hearthgrid.session import materialize, scratch_path
@@ -78,12 +78,33 @@ def split_stratified(t):
     return training.split_stratified(t.scores.select("id", "y"), "y", "id", 0.2, 42).select("id", "part")
 
 
-@query("job_eval_denoiser", with_ctes("sweep").rstrip() + ", " + AUC_SQL + "SELECT round(sum(pos * (nb - 0.5e0 * neg)) / (max(np) * max(nn)), 6) AS roc_auc, round(sum(pos * (tp / (tp + fp))) / max(np), 6) AS average_precision, (SELECT round(avg((p - y) * (p - y)), 6) FROM scores) AS brier, "
-       "(SELECT threshold FROM sweep ORDER BY precision >= 0.9e0 AND sweep.tp + sweep.fp > 0 DESC, CASE WHEN precision >= 0.9e0 AND sweep.tp + sweep.fp > 0 THEN recall ELSE f0_5 END DESC, sweep.precision DESC, threshold DESC LIMIT 1) AS strong_threshold, "
-       "(SELECT threshold FROM sweep ORDER BY CASE WHEN recall >= 0.8e0 AND sweep.tp + sweep.fp > 0 AND rate <= 0.900000000001e0 THEN 0 WHEN recall >= 0.8e0 AND sweep.tp + sweep.fp > 0 THEN 1 ELSE 2 END, f1 DESC, recall DESC, precision DESC, threshold LIMIT 1) AS downweight_threshold, '' AS warnings FROM g")
+_SLICERS = (("sensor", "sensor"), ("daynight", "daynight"), ("confidence_bin", CONF_BIN_SQL))
+_ON_NEWER = lambda text: text.replace("FROM scores", "FROM ev").replace("FROM sweep_raw", "FROM ev_raw")
+_EVAL_PARTS = {
+    "cut": "SELECT quantile_cont(CAST(epoch_us(acq_time) AS DOUBLE), 0.8) AS cut_us FROM scores", "pt": "SELECT s.*, epoch_us(acq_time) < cut_us AS older, epoch_us(acq_time) >= cut_us + 6 * 3600e6 AS newer FROM scores s, cut",
+    "ev": "SELECT * FROM pt WHERE newer", "ev_raw": _ON_NEWER(cte("sweep_raw")), "ev_sweep": _ON_NEWER(cte("sweep")),
+    "f": _ON_NEWER(AUC_SQL.split(" AS (", 1)[1].split("), g AS")[0]), "g": AUC_SQL.split("g AS (", 1)[1].rsplit(")", 1)[0],
+    "strong": "SELECT threshold AS t FROM ev_sweep ORDER BY precision >= 0.9e0 AND tp + fp > 0 DESC, CASE WHEN precision >= 0.9e0 AND tp + fp > 0 THEN recall ELSE f0_5 END DESC, ev_sweep.precision DESC, threshold DESC LIMIT 1",
+    "down": "SELECT threshold AS t FROM ev_sweep ORDER BY CASE WHEN recall >= 0.8e0 AND tp + fp > 0 AND rate <= 0.900000000001e0 THEN 0 WHEN recall >= 0.8e0 AND tp + fp > 0 THEN 1 ELSE 2 END, f1 DESC, recall DESC, precision DESC, threshold LIMIT 1",
+    "sl": " UNION ALL ".join(f"SELECT '{n}=' || slice AS name, * FROM ({_ON_NEWER(slice_sql(c, '(SELECT t FROM strong)'))})" for n, c in _SLICERS),
+}
+_LONG = "SELECT '{0}' AS section, {1} AS name, '{2}' AS item, CAST({2} AS DOUBLE) AS value FROM {3}"
+_EVAL_SQL = " UNION ALL ".join([
+    *[_LONG.format("split", "part", c, "(SELECT CASE WHEN older THEN 'train' ELSE 'eval' END AS part, count(*) AS n, count_if(y = 1) AS positives FROM pt WHERE older OR newer GROUP BY 1)") for c in ("n", "positives")],
+    *[f"SELECT 'metrics', 'all', '{c}', {v}" for c, v in (
+        ("roc_auc", "(SELECT sum(pos * (nb - 0.5e0 * neg)) / (max(np) * max(nn)) FROM g)"), ("average_precision", "(SELECT sum(pos * (tp / (tp + fp))) / max(np) FROM g)"),
+        ("brier", "(SELECT avg((p - y) * (p - y)) FROM ev)"), ("strong_threshold", "(SELECT t FROM strong)"), ("downweight_threshold", "(SELECT t FROM down)"))],
+    "SELECT 'warnings', 'all', 'small_eval_set', 1e0 FROM ev HAVING count(*) < 200", "SELECT 'warnings', 'all', 'too_few_negatives', 1e0 FROM ev HAVING count_if(y = 0) < 20",
+    "SELECT 'warnings', 'all', 'too_few_positives', 1e0 FROM ev HAVING count_if(y = 1) < 20",
+    *[_LONG.format("slices", "name", c, "sl") for c in ("n", "pos_rate", "tp", "fp", "tn", "fn", "precision", "recall")],
+    "SELECT 'errors', 'fp', CAST(id AS VARCHAR), p FROM (SELECT id, p FROM ev WHERE y = 0 ORDER BY p DESC, id LIMIT 25)", "SELECT 'errors', 'fn', CAST(id AS VARCHAR), p FROM (SELECT id, p FROM ev WHERE y = 1 ORDER BY p, id LIMIT 25)"])
+
+
+@query("job_eval_denoiser", with_ctes("scores", extra=_EVAL_PARTS) + f"SELECT section, name, item, round(value, 6) AS value FROM ({_EVAL_SQL})")
 def eval_denoiser(t):
-    e = denoiser.evaluate(t.scores, "y", "p")
-    return e.select(*[r6(F.col(c)).alias(c) for c in ("roc_auc", "average_precision", "brier")], "strong_threshold", "downweight_threshold", "warnings")
+    """Replayed split, metrics, thresholds, warnings, slices and errors of the newer part."""
+    slicers = {"sensor": F.col("sensor"), "daynight": F.col("daynight"), "confidence_bin": confidence_bin(F.col("confidence_norm"))}
+    return denoiser.report(t.scores, "y", "p", slicers, gap_hours=6).withColumn("value", r6(F.col("value")))
 
 
 @query("job_train_denoiser")
@@ -115,8 +136,7 @@ def _window_cells(t, world):
 
 def _with_inputs(world, cells):
     """Weather at the nearest node and terrain of each cell."""
-    met = spread.cell_weather(cells, world.nodes(), COARSE, WGRID).withColumn("wind_speed", F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10")))
-    return spread.with_terrain(met, world.terrain)
+    return hindcast.with_inputs(cells, world.nodes(), world.terrain, COARSE, WGRID)
 
 
 def _spread_cells(t, world):

@@ -12,14 +12,12 @@ from hearthgrid.catalog.neighbours import WGRID
 from hearthgrid.catalog.projections import COARSE, LANDCOVER_SQL, LEVEL_SQL, WEATHER_SQL, kernel_sql, r6
 from hearthgrid.catalog.registry import query
 from hearthgrid.functions.spread import KernelConfig
-from hearthgrid.grid import GridSpec
 from hearthgrid.operators import heatmap, tiles
 from hearthgrid.operators.metrics import BIN_EDGES
 from hearthgrid.plans import calibration, checks, contours, hindcast, risk, spread
 
 HORIZONS = (6, 12, 24)
 THRESHOLDS = (0.3, 0.5, 0.7)
-HALF_DEG = GridSpec(0.5, 40.0, 22.0, 40, 40)
 NODE = "CAST(least(greatest(floor(({c} - {o}) / 2e0 + 0.5e0), 0), 10) AS BIGINT)"
 
 add_cte("spread_runs", "SELECT run_id, make_timestamp(run_id * 86400000000) AS ref_time FROM (SELECT DISTINCT CAST(floor(epoch_us(acq_time) / 86400e6) AS BIGINT) + 1 AS run_id FROM detections)", ("detections",))
@@ -128,37 +126,44 @@ def pred_obs(t):
     return hindcast.predicted_and_observed(w.forecast(), hindcast.observed_cells(t.detections, w.runs, HORIZONS, COARSE)).withColumn("y_pred", r6(F.col("y_pred")))
 
 
-@query("job_hindcast_cases", with_ctes("forecast", "observed", "active", extra={
+_GROUND = "z AS elevation_m, round(slope_deg, 6) AS slope_deg, round(sin(radians(aspect_deg)), 5) AS aspect_sin, round(cos(radians(aspect_deg)), 5) AS aspect_cos"
+_AIR = "coalesce(u10, 0e0) AS u10, coalesce(v10, 0e0) AS v10, t2m, rh2m, round(sqrt(coalesce(u10, 0e0) * coalesce(u10, 0e0) + coalesce(v10, 0e0) * coalesce(v10, 0e0)), 6) AS wind_speed"
+_AT_NODE = f"n.run_id = {{0}}.run_id AND n.horizon_h = {{0}}.horizon_h AND n.ni = {NODE.format(c='(40e0 + ({0}.i + 0.5e0) * 0.1e0)', o='40e0')} AND n.nj = {NODE.format(c='(22e0 + ({0}.j + 0.5e0) * 0.1e0)', o='22e0')}"
+
+
+@query("job_hindcast_cases", with_ctes("forecast", "observed", "active", "nodes", "cur_terrain", extra={
     "c": "SELECT coalesce(f.run_id, o.run_id) AS run_id, coalesce(f.horizon_h, o.horizon_h) AS horizon_h, coalesce(f.i, o.i) AS i, coalesce(f.j, o.j) AS j, coalesce(p, 0e0) AS y_pred, CASE WHEN o.i IS NULL THEN 0e0 ELSE 1e0 END AS y_obs "
          "FROM forecast f FULL JOIN observed o ON f.run_id = o.run_id AND f.horizon_h = o.horizon_h AND f.i = o.i AND f.j = o.j",
     "ok": "SELECT run_id FROM active WHERE fire > 0 GROUP BY 1 HAVING count(*) >= 3",
     "g": "SELECT run_id, ref_time, CASE WHEN ref_time - lag(ref_time) OVER (ORDER BY ref_time) <= INTERVAL '36' HOUR THEN 0 ELSE 1 END AS gap FROM spread_runs JOIN ok USING (run_id)",
     "e": "SELECT *, sum(gap) OVER (ORDER BY ref_time) AS ev FROM g", "e2": "SELECT *, count(*) OVER (PARTITION BY ev) AS n, min(ref_time) OVER (PARTITION BY ev) AS event_start FROM e"}) +
-       "SELECT event_start, run_id, horizon_h, count(*) AS cells, round(sum(y_pred), 4) AS predicted, CAST(sum(y_obs) AS BIGINT) AS observed, count_if(a.fire > 0) AS burning FROM c JOIN e2 USING (run_id) LEFT JOIN active a USING (run_id, i, j) WHERE n >= 2 GROUP BY 1, 2, 3")
+       "SELECT event_start, c.run_id, c.horizon_h, count(*) AS cells, round(sum(y_pred), 4) AS predicted, CAST(sum(y_obs) AS BIGINT) AS observed, count_if(a.fire > 0) AS burning, round(avg(t.slope_deg), 5) AS slope_deg, count(t.aspect_deg) AS with_aspect, "
+       f"round(avg(coalesce(n.u10, 0e0)), 6) AS u10, round(avg(coalesce(n.v10, 0e0)), 6) AS v10 FROM c JOIN e2 USING (run_id) LEFT JOIN active a ON a.run_id = c.run_id AND a.i = c.i AND a.j = c.j LEFT JOIN nodes n ON {_AT_NODE.format('c')} LEFT JOIN cur_terrain t ON t.i = c.i AND t.j = c.j WHERE e2.n >= 2 GROUP BY 1, 2, 3")
 def hindcast_cases(t):
     w = World(t)
     cases = hindcast.hindcast_cases(w.forecast(), hindcast.observed_cells(t.detections, w.runs, HORIZONS, COARSE), w.active, w.runs, 24, 2, 3)
+    cases = hindcast.with_inputs(cases, w.nodes(), w.terrain, COARSE, WGRID)
     return cases.groupBy("event_start", "run_id", "horizon_h").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("y_pred"), 4).alias("predicted"),
-                                                                  F.sum("y_obs").cast("long").alias("observed"), F.count_if(F.col("fire_t0") > 0).alias("burning"))
-
+                                                                  F.sum("y_obs").cast("long").alias("observed"), F.count_if(F.col("fire_t0") > 0).alias("burning"),
+                                                                  F.round(F.avg("slope_deg"), 5).alias("slope_deg"), F.count("aspect_sin").alias("with_aspect"),
+                                                                  r6(F.avg("u10")).alias("u10"), r6(F.avg("v10")).alias("v10"))
 
-HALF_CELL = "CAST(floor((lat - 40e0) / 0.5e0) AS BIGINT) AS i, CAST(floor((lon - 22e0) / 0.5e0) AS BIGINT) AS j"
 
-
-@query("job_hindcast_dataset", with_ctes("detections", "steps", "spread_runs", extra={
-    "half": f"SELECT *, {HALF_CELL} FROM detections",
-    "act": "SELECT run_id, i, j, max(coalesce(denoised_score, 1e0)) AS fire FROM half JOIN spread_runs ON acq_time BETWEEN ref_time - INTERVAL '24' HOUR AND ref_time GROUP BY 1, 2, 3",
-    "obs": "SELECT DISTINCT s.run_id, s.horizon_h, c.i, c.j FROM steps s JOIN half c ON c.acq_time BETWEEN s.ref_time + INTERVAL '1' HOUR * (horizon_h - 3) AND s.ref_time + INTERVAL '1' HOUR * (horizon_h + 3)",
-    "cells": "SELECT s.run_id, s.horizon_h, a.i, b.j, coalesce(fire, 0e0) AS fire_t0, CASE WHEN o.i IS NULL THEN 0 ELSE 1 END AS label FROM steps s CROSS JOIN (SELECT unnest(range(40)) AS i) a CROSS JOIN (SELECT unnest(range(40)) AS j) b "
-             "LEFT JOIN act ON act.run_id = s.run_id AND act.i = a.i AND act.j = b.j LEFT JOIN obs o ON o.run_id = s.run_id AND o.horizon_h = s.horizon_h AND o.i = a.i AND o.j = b.j",
+@query("job_hindcast_dataset", with_ctes("steps", "active", "observed", "nodes", "cur_terrain", extra={
+    "cells": "SELECT s.run_id, s.horizon_h, a.i, b.j, coalesce(fire, 0e0) AS fire_t0, CASE WHEN o.i IS NULL THEN 0 ELSE 1 END AS label FROM steps s CROSS JOIN (SELECT unnest(range(200)) AS i) a CROSS JOIN (SELECT unnest(range(200)) AS j) b "
+             "LEFT JOIN active act ON act.run_id = s.run_id AND act.i = a.i AND act.j = b.j LEFT JOIN observed o ON o.run_id = s.run_id AND o.horizon_h = s.horizon_h AND o.i = a.i AND o.j = b.j",
     "q": "SELECT run_id, horizon_h, count_if(label = 1) AS pos, count_if(label = 0 AND fire_t0 > 0) AS keep FROM cells GROUP BY 1, 2",
-    "r": "SELECT c.*, pos, keep, row_number() OVER (PARTITION BY c.run_id, c.horizon_h ORDER BY md5(concat_ws('|', c.run_id, c.horizon_h, c.i, c.j, 42))) AS rk FROM cells c JOIN q USING (run_id, horizon_h) WHERE label = 0 AND fire_t0 = 0"}) +
-       "SELECT run_id, horizon_h, i, j, fire_t0, label FROM cells WHERE label = 1 OR fire_t0 > 0 UNION ALL SELECT run_id, horizon_h, i, j, fire_t0, label FROM r WHERE rk <= greatest(0, CASE WHEN pos > 0 THEN pos * 5 ELSE greatest(500, keep) END - keep)")
+    "r": "SELECT c.*, pos, keep, row_number() OVER (PARTITION BY c.run_id, c.horizon_h ORDER BY md5(concat_ws('|', c.run_id, c.horizon_h, c.i, c.j, 42))) AS rk FROM cells c JOIN q USING (run_id, horizon_h) WHERE label = 0 AND fire_t0 = 0",
+    "x": "SELECT run_id, horizon_h, i, j, fire_t0, label FROM cells WHERE label = 1 OR fire_t0 > 0 UNION ALL SELECT run_id, horizon_h, i, j, fire_t0, label FROM r WHERE rk <= greatest(0, CASE WHEN pos > 0 THEN pos * 5 ELSE greatest(500, keep) END - keep)"}) +
+       f"SELECT x.run_id, x.horizon_h, x.i, x.j, fire_t0, label, {_GROUND}, {_AIR} FROM x LEFT JOIN nodes n ON {_AT_NODE.format('x')} LEFT JOIN cur_terrain t ON t.i = x.i AND t.j = x.j")
 def hindcast_dataset(t):
-    runs = spread.reference_runs(t.detections)
-    active = spread.active_cells(t.detections, runs, HALF_DEG)
-    observed = hindcast.observed_cells(t.detections, runs, HORIZONS, HALF_DEG)
-    return hindcast.sample_negatives(hindcast.labelled_cells(runs, HORIZONS, active, observed, HALF_DEG)).select("run_id", "horizon_h", "i", "j", "fire_t0", "label")
+    """The training cells of the forecast grid: label, state now, terrain, weather of the horizon."""
+    w = World(t)
+    observed = hindcast.observed_cells(t.detections, w.runs, HORIZONS, COARSE)
+    cells = hindcast.sample_negatives(hindcast.labelled_cells(w.runs, HORIZONS, w.active, observed, COARSE))
+    full = hindcast.with_inputs(cells, w.nodes(), w.terrain, COARSE, WGRID)
+    return full.select("run_id", "horizon_h", "i", "j", "fire_t0", "label", "elevation_m", r6(F.col("slope_deg")).alias("slope_deg"), F.round("aspect_sin", 5).alias("aspect_sin"),
+                       F.round("aspect_cos", 5).alias("aspect_cos"), "u10", "v10", "t2m", "rh2m", r6(F.col("wind_speed")).alias("wind_speed"))
 
 
 @query("agg_case_counts", with_ctes("hindcast") + "SELECT case_id, horizon_h, count_if(fire_t0 > 0) AS active_t0, count_if(y_obs > 0) AS positives, count(*) AS cells FROM hindcast GROUP BY 1, 2")

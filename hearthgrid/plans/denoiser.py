@@ -8,11 +8,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.operators import metrics
 
+from hearthgrid.plans import training
 from hearthgrid.plans.training import split_at_quantile, with_sample_weight
 from hearthgrid.session import materialize
 
@@ -90,6 +91,36 @@ def evaluate(scored: DataFrame, y: str, p: str, target_precision: float = 0.9, t
     })
 
 
+def report(rows: DataFrame, y: str, p: str, slices: dict[str, Column], time: str = "acq_time", share: float = 0.8, gap_hours: int = 0, top_k: int = 25,
+           target_precision: float = 0.9, target_recall: float = 0.8, min_rate: float = 0.1, split_at: str | None = None) -> DataFrame:
+    """The full evaluation as (section, name, item, value) rows.
+
+    The split is replayed first (a given time, or the quantile ``share``; rows inside the gap belong to no part), and everything is
+    measured on its newer part: ``metrics`` (ranking, Brier score, both chosen thresholds), ``warnings``, ``slices`` at the strong threshold
+    and the ``top_k`` most confident errors of either kind. ``split`` counts rows and positives of both parts.
+    """
+    parted = training.split_at_quantile(rows, time, share, gap_hours=gap_hours) if split_at is None else training.split_at(rows, split_at, gap_hours, time)
+    parted = materialize(parted.where("part IS NOT NULL"), "evaluation-parts")
+    newer = parted.where("part = 'eval'")
+
+    def long(df: DataFrame, section: str, name: Column, items: Sequence[str]) -> DataFrame:
+        listed = F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in items]))
+        return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), listed)
+
+    row = materialize(evaluate(newer, y, p, target_precision, target_recall, min_rate), "evaluation")
+    cut = row.select("strong_threshold").first()[0]
+    counts = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("positives"))
+    out = long(counts, "split", F.col("part"), ["n", "positives"])
+    out = out.unionByName(long(row, "metrics", F.lit("all"), ["roc_auc", "average_precision", "brier", "strong_threshold", "downweight_threshold"]))
+    notes = row.select(F.explode(F.split("warnings", ",")).alias("note")).where("note <> ''")
+    out = out.unionByName(notes.select(F.lit("warnings").alias("section"), F.lit("all").alias("name"), F.col("note").alias("item"), F.lit(1.0).alias("value")))
+    for title, column in slices.items():
+        part = metrics.slice_metrics(newer, y, p, cut, column)
+        out = out.unionByName(long(part, "slices", F.concat(F.lit(f"{title}="), F.col("slice")), ["n", "pos_rate", "tp", "fp", "tn", "fn", "precision", "recall"]))
+    worst = training.top_errors(newer.select("id", y, p), y, p, top_k)
+    return out.unionByName(worst.select(F.lit("errors").alias("section"), F.col("kind").alias("name"), F.col("id").cast("string").alias("item"), F.col(p).cast("double").alias("value")))
+
+
 def fit_spread_models(cells: DataFrame, horizons: Sequence[int], columns: Sequence[str], label: str = "label") -> dict[int, PipelineModel]:
     """One model per horizon (a handful), each a distributed fit; a horizon with one class gets none."""
     have = {r[0] for r in cells.groupBy("horizon_h").agg(F.count_distinct(label).alias("n")).where("n = 2").collect()}  # one row per horizon

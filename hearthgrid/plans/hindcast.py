@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from hearthgrid.grid import GridSpec, with_cell
 from hearthgrid.operators.neighbours import HOUR_US, micros
 from hearthgrid.operators.ordered import grouped_rank
-from hearthgrid.plans.spread import CELL, RUN_STEP, in_windows, run_steps
+from hearthgrid.plans.spread import CELL, RUN_STEP, cell_weather, in_windows, run_steps, with_terrain
 
 
 def group_events(times: DataFrame, keys: Sequence[str], interval_h: int, min_steps: int = 1) -> DataFrame:
@@ -81,3 +81,10 @@ def labelled_cells(runs: DataFrame, horizons: Sequence[int], active: DataFrame,
     then = observed.withColumn("label", F.lit(1))
     return dense.join(now, ["run_id", "i", "j"], "left").join(then, CELL, "left").withColumns({
         "fire_t0": F.coalesce("fire", F.lit(0.0)), "label": F.coalesce("label", F.lit(0))}).drop("fire")
+
+
+def with_inputs(cells: DataFrame, nodes: DataFrame, terrain: DataFrame, grid: GridSpec, weather_grid: tuple) -> DataFrame:
+    """Cells (run, horizon, i, j) with elevation, slope, aspect parts, and wind (calm where there is none), temperature and humidity at the horizon."""
+    met = cell_weather(cells, nodes, grid, weather_grid)
+    blown = met.withColumn("wind_speed", F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10")))
+    return with_terrain(blown, terrain).drop("lat", "lon")
