@@ -201,7 +201,7 @@ def auc(t):
 @query("win_auc_rank", with_ctes("scores") + "SELECT id, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2e0 AS avg_rank FROM scores")
 def auc_rank(t):
     folded = t.scores.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    ranked = ordered.running_totals(folded, "p", ["n"], ordered.unit_bucket("p")).select("p", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    ranked = ordered.running_totals(folded, "p", ["n"]).select("p", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
     return t.scores.join(ranked, "p").select("id", "avg_rank")
 
 

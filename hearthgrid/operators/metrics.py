@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hearthgrid.operators.ordered import running_totals, unit_bucket
+from hearthgrid.operators.ordered import running_totals
 
 # Inner edges of ten equal probability bins as a linspace in doubles gives them.
 BIN_EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
@@ -74,10 +74,10 @@ def confusion_at(df: DataFrame, y: str, p: str, thresholds: Sequence[float], key
     return out.withColumns(rates(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn")))
 
 
-def ranking_metrics(df: DataFrame, y: str, p: str, bucket: Column | None = None) -> DataFrame:
+def ranking_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     """Exact ROC-AUC (ties count half) and step-wise average precision; null with a single class."""
     folded = class_counts(df, y, p)
-    run = running_totals(folded, "score", ["pos", "neg"], unit_bucket("score") if bucket is None else bucket)
+    run = running_totals(folded, "score", ["pos", "neg"])
     c = F.col
     pairs = c("pos") * (c("upto_neg") - c("neg") + 0.5 * c("neg"))
     tp = c("all_pos") - c("upto_pos") + c("pos")
@@ -91,7 +91,7 @@ def ranking_metrics(df: DataFrame, y: str, p: str, bucket: Column | None = None)
 
 def roc_points(df: DataFrame, y: str, p: str) -> DataFrame:
     """One point per distinct score: false and true positive rate and precision at that threshold."""
-    run = running_totals(class_counts(df, y, p), "score", ["pos", "neg"], unit_bucket("score"))
+    run = running_totals(class_counts(df, y, p), "score", ["pos", "neg"])
     tp = F.col("all_pos") - F.col("upto_pos") + F.col("pos")
     fp = F.col("all_neg") - F.col("upto_neg") + F.col("neg")
     return run.select("score", safe_ratio(fp, F.col("all_neg")).alias("fpr"), safe_ratio(tp, F.col("all_pos")).alias("tpr"),

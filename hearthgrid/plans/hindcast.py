@@ -67,7 +67,7 @@ def sample_negatives(cells: DataFrame, ratio: float = 5.0, min_negatives: int =
     kept = cells.where((F.col("label") == 1) | burning)
     rest = cells.where(~((F.col("label") == 1) | burning)).withColumn(
         "_h", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in CELL], F.lit(str(seed)))))
-    ranked = grouped_rank(rest, RUN_STEP, "_h", F.substring("_h", 1, 2), "_rank")
+    ranked = grouped_rank(rest, RUN_STEP, "_h", "_rank")
     sampled = ranked.join(quota, RUN_STEP).where("_rank <= _quota").drop("_h", "_rank", "_quota")
     return kept.unionByName(sampled)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.operators.metrics import confusion_at, min_max
 from hearthgrid.operators.neighbours import HOUR_US, micros
-from hearthgrid.operators.ordered import grouped_rank, quantiles, running_totals, unit_bucket
+from hearthgrid.operators.ordered import grouped_rank, quantiles, running_totals
 
 
 def bad_labels(df: DataFrame, label: str = "label_numeric") -> DataFrame:
@@ -21,7 +21,7 @@ def score_summary(df: DataFrame, score: str, noise: str) -> DataFrame:
     """Count, mean, exact median, range, noise count and percent, as one row."""
     base = df.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.min(score).alias("low"), F.max(score).alias("high"),
                   F.count_if(F.col(noise)).alias("noise"))
-    median = quantiles(df, score, {"median": 0.5}, unit_bucket(score)).select("median").scalar()
+    median = quantiles(df, score, {"median": 0.5}).select("median").scalar()
     return base.withColumns({"median": median, "noise_pct": F.lit(100.0) * F.col("noise") / F.col("n")})
 
 
@@ -58,8 +58,8 @@ def top_errors(df: DataFrame, y: str, p: str, k: int) -> DataFrame:
 
 
 def time_quantile(df: DataFrame, time: str, share: float) -> DataFrame:
-    """Exact time quantile (linear interpolation), one row ``split_us``; rows fold per instant, totals per hour."""
-    return quantiles(df.select(micros(F.col(time)).alias("t")), "t", {"split_us": share}, F.floor(F.col("t") / HOUR_US))
+    """Exact time quantile (linear interpolation), one row ``split_us``; rows fold per instant."""
+    return quantiles(df.select(micros(F.col(time)).alias("t")), "t", {"split_us": share})
 
 
 def split_at_quantile(df: DataFrame, time: str = "acq_time", share: float = 0.8, fallback: float = 0.7, gap_hours: int = 0) -> DataFrame:
@@ -67,8 +67,7 @@ def split_at_quantile(df: DataFrame, time: str = "acq_time", share: float = 0.8,
 
     A quantile on the edge of the observed range is replaced by the fallback share.
     """
-    both = quantiles(df.select(micros(F.col(time)).alias("t")), "t", {"a": share, "b": fallback, "lo": 0.0, "hi": 1.0},
-                     F.floor(F.col("t") / HOUR_US)).select(F.struct("a", "b", "lo", "hi").alias("q"))
+    both = quantiles(df.select(micros(F.col(time)).alias("t")), "t", {"a": share, "b": fallback, "lo": 0.0, "hi": 1.0}).select(F.struct("a", "b", "lo", "hi").alias("q"))
     q = both.scalar()
     cut = F.when((q["a"] <= q["lo"]) | (q["a"] >= q["hi"]), q["b"]).otherwise(q["a"])
     at = micros(F.col(time)).cast("double")
@@ -84,7 +83,7 @@ def split_at(df: DataFrame, when: str, gap_hours: int = 0, time: str = "acq_time
 def split_by_time_steps(df: DataFrame, time: str, share: float) -> DataFrame:
     """First ``int(n * share)`` distinct times are train, the rest validation."""
     steps = df.select(time).distinct().withColumns({"one": F.lit(1), "_us": micros(F.col(time))})
-    ranked = running_totals(steps, "_us", ["one"], F.floor(F.col("_us") / (24 * HOUR_US)))
+    ranked = running_totals(steps, "_us", ["one"])
     part = F.when(F.col("upto_one") <= F.floor(F.col("all_one") * F.lit(share)), "train").otherwise("validation")
     return df.join(ranked.select(time, part.alias("part")), time)
 
@@ -103,7 +102,7 @@ def split_stratified(df: DataFrame, y: str, key: str, eval_share: float, seed: i
     wanted = F.greatest(F.lit(1), F.least(s["n"] - 1, F.ceil(F.lit(eval_share) * s["n"])))
     force = (s["pos"] >= 2) & (s["neg"] >= 2) & (wanted >= 2)
     seeded = force & ((F.col("_h") == s["first_pos"]) | (F.col("_h") == s["first_neg"]))
-    # Two-step rank over (seeded first, hash): hashes are spread evenly over 4096 prefixes.
+    # Seeded rows first, the others by hash.
     marked = hashed.withColumn("_order", F.concat(F.when(seeded, "").otherwise("~"), F.col("_h")))
-    ranked = grouped_rank(marked, [], "_order", F.when(seeded, "").otherwise(F.substring("_h", 1, 3)), "_rank")
+    ranked = grouped_rank(marked, [], "_order", "_rank")
     return ranked.withColumn("part", F.when(F.col("_rank") <= wanted, "eval").otherwise("train")).drop("_h", "_order", "_rank")

@@ -234,7 +234,9 @@ class Tables:
 
     @cached_property
     def raw_rows(self) -> DataFrame:
-        return self._events.selectExpr(*select_text(RAW_ROWS))
+        """A feed as it would be read. Rows are made by a generator, so that a formula is worked out once, not wherever its column is read."""
+        fields = [expr.replace("TIMESTAMP ", "TIMESTAMP_NTZ ") + f" AS {name}" for name, expr in RAW_ROWS.items()]
+        return self._events.selectExpr(f"inline(array(struct({', '.join(fields)})))")
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -1,5 +1,6 @@
 """Table changes, metrics, terrain, spread, contours and streams on small hand-made inputs."""
 
+import bisect
 import json
 import math
 import random
@@ -58,11 +59,29 @@ def test_ranking_metrics_against_pairs(spark):
     sweep = {round(r.threshold, 2): (r.tp, r.fp, r.tn, r.fn) for r in metrics.threshold_sweep(df, "y", "p").collect()}
     for t in (0.0, 0.35, 0.5, 1.0):
         assert sweep[t] == (sum(p >= t for p in pos), sum(p >= t for p in neg), sum(p < t for p in neg), sum(p < t for p in pos))
-    q = ordered.quantiles(df, "p", {"a": 0.3, "m": 0.5}, ordered.unit_bucket("p", 7)).first()
+    q = ordered.quantiles(df, "p", {"a": 0.3, "m": 0.5}).first()
     ranked = sorted(p for _, _, p in rows)
     assert q.m == pytest.approx((ranked[149] + ranked[150]) / 2)
 
 
+def test_crowded_values_are_dealt_to_many_ranges(spark):
+    """Scores within a hair of each other: ranges follow the values, so no task holds them all."""
+    rng = random.Random(2)
+    rows = [(k, int(rng.random() < 0.5), 0.5 + rng.random() * 1e-7) for k in range(4000)] + [(9000, 1, 0.0), (9001, 0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, y int, p double")
+    sizes = [r["count"] for r in ordered.dealt_by_range(df.groupBy("p").agg(F.sum("y").alias("y")), "p").groupBy("_range").count().collect()]
+    assert len(sizes) >= 3 and max(sizes) < 2500
+    ranked = sorted(p for _, _, p in rows)
+    assert ordered.quantiles(df, "p", {"m": 0.5}).first().m == pytest.approx((ranked[2000] + ranked[2001]) / 2, abs=1e-15)
+    pos, neg = sorted(p for _, y, p in rows if y), sorted(p for _, y, p in rows if not y)
+    pairs = sum(bisect.bisect_left(neg, p) + (bisect.bisect_right(neg, p) - bisect.bisect_left(neg, p)) / 2 for p in pos)
+    assert metrics.ranking_metrics(df, "y", "p").first().roc_auc == pytest.approx(pairs / (len(pos) * len(neg)))
+    placed = {(r["y"], r["id"]): r["rank"] for r in ordered.grouped_rank(df.withColumn("o", F.col("p") + F.col("id") * 1e-12), ["y"], "o").collect()}
+    for y in (0, 1):
+        own = sorted((p + k * 1e-12, k) for k, a, p in rows if a == y)
+        assert all(placed[y, k] == n + 1 for n, (_, k) in enumerate(own))
+
+
 def test_probability_bins_are_left_closed(spark):
     got = spark.range(1).select(*[metrics.probability_bin(F.lit(p)) for p in (0.0, 0.1, 0.3, 0.6, 0.7, 1.0)]).first()
     assert tuple(got) == (0, 1, 2, 5, 6, 9)
