@@ -5,9 +5,9 @@ Order is by planar degrees, the reported distance is the great circle. Nothing i
 1. Copies of a detection (same place and time) are at distance 0.
 2. Where cells hold few rows, the 2x2 cells around a target are joined row by row, with wider cells for
    those that found nothing; a hit counts only inside the radius those cells are sure to cover.
-3. All other targets walk down a tree of ever smaller cells. At each level the running counts over time
-   tell which cells have a detection in the target's span; only cells that can still hold the nearest
-   one are opened. Each target carries a handful of cells from level to level.
+3. All other targets walk down a tree of ever smaller cells. At each level an as-of merge over time tells which cells
+   have a detection in the target's span; only cells that can still hold the nearest one are opened. Each target
+   carries a handful of cells from level to level.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.functions.geo import haversine_km
+from hearthgrid.operators.asof import last_before
 from hearthgrid.operators.neighbours import CROWDED_ROWS, HOUR_US, POINT, count_upto, micros
 from hearthgrid.session import materialize
 
@@ -79,9 +80,9 @@ def _cell(deg: float, lat: str = "lat", lon: str = "lon") -> tuple[str, str]:
 
 
 def _in_span(frontier: DataFrame, stream: DataFrame, unit: list[str], width: int) -> DataFrame:
-    """Keep (target, unit) rows whose unit has another detection in the target's span.
+    """Keep (target, position) rows whose position has another detection in the target's span.
 
-    ``own`` tells that the unit holds the target itself, which is then not counted.
+    ``own`` tells that the position is the target's, which is then not counted. A position's day is what one window holds.
     """
     asked = frontier.selectExpr("*", f"inline(array(named_struct('b', floor(t_us / {width}), 'at_us', t_us, 'sign', 1L), "
                                      f"named_struct('b', floor(t_us / {width}) - 1, 'at_us', t_us, 'sign', 1L), "
@@ -91,13 +92,28 @@ def _in_span(frontier: DataFrame, stream: DataFrame, unit: list[str], width: int
     return kept.where(F.col("found") - F.col("own") > 0).drop("found")
 
 
+def _cells_in_span(frontier: DataFrame, stream: DataFrame, width: int) -> DataFrame:
+    """Keep (target, cell) rows whose cell has another detection in the target's span, by the last one at or before its time.
+
+    Cells and instants are merged in ranges of time, so a cell that holds a third of all detections is spread like any other. In its own
+    cell a target asks for the instant before, and for company at its own.
+    """
+    key = F.expr("shiftleft(ci, 32) + (cj & 4294967295L)")
+    moments = stream.select(key.alias("unit"), "at_us", "n")
+    asked = frontier.withColumns({"unit": key, "ask_us": F.col("t_us") - F.col("own")})
+    seen = last_before(asked.select("unit", "ask_us").distinct(), moments.select("unit", F.col("at_us").alias("ask_us"), F.col("at_us").alias("seen_us")), "unit", "ask_us", ["seen_us"])
+    company = moments.where("n > 1").select("unit", F.col("at_us").alias("t_us"), F.col("n").alias("peers"))
+    met = asked.join(seen, ["unit", "ask_us"]).join(company, ["unit", "t_us"], "left")
+    return met.where(f"seen_us >= t_us - {width} OR (own = 1 AND peers > 1)").select(*frontier.columns)
+
+
 def _walk_down(targets: DataFrame, series: DataFrame, width: int) -> DataFrame:
     frontier = None
     for level, deg in enumerate(TREE_DEG):
         ci, cj = _cell(deg)
         boxes = series.selectExpr("lat", "lon", f"{ci} AS ci", f"{cj} AS cj").groupBy("ci", "cj").agg(
             F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"), F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"))
-        stream = series.selectExpr(f"{ci} AS ci", f"{cj} AS cj", "b", "t_us AS at_us", "n").groupBy("ci", "cj", "b", "at_us").agg(F.sum("n").alias("n"))
+        stream = series.selectExpr(f"{ci} AS ci", f"{cj} AS cj", "t_us AS at_us", "n").groupBy("ci", "cj", "at_us").agg(F.sum("n").alias("n"))
         if frontier is None:
             # The top level has at most 3 x 4 cells on the whole globe.
             tops = boxes.agg(F.collect_list(F.struct(*boxes.columns)).alias("cells")).select("cells").scalar()
@@ -107,7 +123,7 @@ def _walk_down(targets: DataFrame, series: DataFrame, width: int) -> DataFrame:
             children = boxes.selectExpr("*", f"{pi} AS pi", f"{pj} AS pj")
             opened = frontier.selectExpr(*POINT, "ci AS pi", "cj AS pj").join(children, ["pi", "pj"]).drop("pi", "pj")
         opened = opened.withColumn("own", F.expr(f"CAST(ci = {ci} AND cj = {cj} AS INT)"))
-        present = _in_span(opened, stream, ["ci", "cj"], width)
+        present = _cells_in_span(opened, stream, width)
         reach = present.withColumns({
             "near": F.expr("pow(greatest(0e0, lat_lo - lat, lat - lat_hi), 2e0) + pow(greatest(0e0, lon_lo - lon, lon - lon_hi), 2e0)"),
             "far": F.expr("pow(greatest(abs(lat - lat_lo), abs(lat - lat_hi)), 2e0) + pow(greatest(abs(lon - lon_lo), abs(lon - lon_hi)), 2e0)"),
