@@ -33,6 +33,8 @@ BITS, SEED = 64, 42
 VIEWS = 10
 #: Different fingerprints of a key that are paired at most; larger keys are solved by meeting points.
 CROWDED = 64
+#: Segments of the views' fingerprints: shorter and so fewer keys, as these only leave out texts that are alone.
+VIEW_SEGMENTS = 8
 #: Words of 64 bits in the bitmap of a text's shingles.
 MARKS = 16
 
@@ -63,9 +65,9 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def ring(radius: int) -> tuple[int, int]:
+def ring(radius: int, segments: int | None = None) -> tuple[int, int]:
     """Number of segments, and how many of them a chain begins with that have to be equal."""
-    segments = 8 if radius == 1 else 16
+    segments = segments or (8 if radius == 1 else 16)
     return segments, (segments - 1) // radius
 
 
@@ -87,9 +89,9 @@ def _chain(value: Column, bits: Column, length: int, segments: int) -> Column:
     return _turned(value, bits).bitwiseAND(F.lit(signed((1 << (BITS // segments * length)) - 1)).cast("long"))
 
 
-def ring_keys(rows: DataFrame, radius: int, *names: str) -> DataFrame:
+def ring_keys(rows: DataFrame, radius: int, *names: str, segments: int | None = None) -> DataFrame:
     """``names``, ``fp``, ``at`` and ``key``: one row for each segment that a chain can start from, keyed by its equal segments."""
-    segments, equal = ring(radius)
+    segments, equal = ring(radius, segments)
     starts = F.explode(F.sequence(F.lit(0), F.lit(BITS - 1), F.lit(BITS // segments))).alias("at")
     return rows.select(*names, "fp", starts).withColumn("key", _chain(F.col("fp"), F.col("at"), equal, segments))
 
@@ -235,8 +237,15 @@ def view_groups(near: DataFrame, radius: int) -> DataFrame:
     flipped = F.explode(_longs(flips(radius // 2))).alias("flip")
     reached = different.select("view", "g", F.col("fp"), flipped).select("view", "g", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     several = reached.groupBy("view", "at").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("view", "at", "low")
-    root = components(reached.join(several, ["view", "at"]).select(F.col("g").alias("a"), F.col("low").alias("b")))
-    return near.select("view", "fp", "node", named).join(root.withColumnRenamed("node", "g"), "g", "left").select("view", F.coalesce("root", "g").alias("group"), "fp", "node")
+    met = materialize(reached.join(several, ["view", "at"]).select("g", F.xxhash64("view", "at").alias("point"), "low"), "meeting")
+    # Each fingerprint is tied to the smallest one it meets first; what is left to tie are the few groups that share a point then.
+    own = components(met.groupBy("g").agg(F.min("low").alias("b")).select(F.col("g").alias("a"), "b"))
+    named = met.join(own.withColumnRenamed("node", "g"), "g", "left").select("point", F.coalesce("root", "g").alias("root"))
+    mixed = named.groupBy("point").agg(F.min("root").alias("b"), F.max("root").alias("high")).filter("b <> high").select("point", "b")
+    tied = components(named.join(mixed, "point").select(F.col("root").alias("a"), "b"))
+    group = own.join(tied.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("g"), F.coalesce("top", "root").alias("top"))
+    named = F.xxhash64("view", "fp").alias("g")
+    return near.select("view", "fp", "node", named).join(group, "g", "left").select("view", F.coalesce("top", "g").alias("group"), "fp", "node")
 
 
 def linked(grouped: DataFrame, nodes: DataFrame, held: DataFrame, views: int, radius: int, shingle: int, similarity: float) -> DataFrame:
@@ -251,7 +260,9 @@ def linked(grouped: DataFrame, nodes: DataFrame, held: DataFrame, views: int, ra
     marked = nodes.select("node", "n", "marks", F.array(*names).alias("prints"))
     other = marked.select(*[F.col(c).alias(f"other_{c}") for c in marked.columns])
     likely = may_be_similar("n", "marks", "other_n", "other_marks", similarity)
-    leads = grouped.groupBy("view", "group").agg(F.min_by("node", F.xxhash64("view", "node")).alias("other_node"))
+    # By the text, not by the number of the node, so that another run chooses the same.
+    known = grouped.join(nodes.select("node", "t1"), "node")
+    leads = known.groupBy("view", "group").agg(F.min_by("node", F.xxhash64("view", "t1")).alias("other_node"))
     first = grouped.join(leads, ["view", "group"]).filter("node <> other_node").select("node", "other_node").distinct()
     first = first.join(marked, "node").join(other, "other_node").filter(likely).select(F.greatest("node", "other_node").alias("a"), F.least("node", "other_node").alias("b"))
     found = materialize(components(verified(materialize(first.distinct(), "pairs"), held, shingle, similarity)), "roots")
@@ -286,7 +297,7 @@ def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle
     nodes = prints.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "x")).alias("low"), F.min("n").alias("n"), F.min(F.struct("marks")).alias("m"), *[F.min(c).alias(c) for c in names])
     nodes = materialize(nodes.select("t1", "t2", "low", "n", "m.marks", *names, F.monotonically_increasing_id().alias("node")), "texts")
     rows = nodes.select("node", F.posexplode(F.array(*names)).alias("view", "fp"))
-    keyed = ring_keys(rows, radius, "view", "node")
+    keyed = ring_keys(rows, radius, "view", "node", segments=VIEW_SEGMENTS)
     keyed = keyed.select("view", "fp", "node", F.xxhash64("view", "at", "key").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
     near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
