@@ -195,7 +195,7 @@ def centroid(t):
     "k": "SELECT *, (sxx - sx * sx / s) / (s - s2 / s) AS cxx, (syy - sy * sy / s) / (s - s2 / s) AS cyy, (sxy - sx * sy / s) / (s - s2 / s) AS cxy FROM m",
     "e": "SELECT *, (cxx + cyy) / 2 + sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy) AS hi, greatest((cxx + cyy) / 2 - sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy), 0) AS lo FROM k",
     "a": "SELECT e.*, abs(degrees(atan2(2 * cxy, cxx - cyy) / 2 - atan2(v, u))) % 180 AS off FROM e JOIN wind USING (run_id, horizon_h)"}) +
-       "SELECT run_id, horizon_h, round(sqrt(hi / lo), 3) AS anisotropy, round(CASE WHEN off > 90 THEN 180 - off ELSE off END, 2) AS angle_error FROM a")
+       "SELECT run_id, horizon_h, CASE WHEN lo < 1e-9 * hi THEN 'inf'::DOUBLE ELSE round(sqrt(hi / lo), 3) END AS anisotropy, round(CASE WHEN off > 90 THEN 180 - off ELSE off END, 2) AS angle_error FROM a")
 def anisotropy(t):
     w = World(t)
     cells = w.forecast().join(w.wind().select("run_id", "horizon_h", "u", "v"), ["run_id", "horizon_h"])

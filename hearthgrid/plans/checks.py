@@ -49,7 +49,8 @@ def anisotropy(cells: DataFrame, keys: list[str], value: str, origin: tuple[floa
         "cxy": (c("sxy") - c("sx") * c("sy") / c("s")) / scale})
     half_gap = F.sqrt(F.pow((c("cxx") - c("cyy")) / 2.0, F.lit(2.0)) + c("cxy") * c("cxy"))
     s = s.withColumns({"major": F.greatest((c("cxx") + c("cyy")) / 2.0 + half_gap, F.lit(0.0)), "minor": F.greatest((c("cxx") + c("cyy")) / 2.0 - half_gap, F.lit(0.0))})
-    ratio = F.when(c("minor") >= 1e-12, F.sqrt(c("major") / c("minor"))).when(c("major") > 1e-12, F.lit(float("inf"))).otherwise(1.0)
+    # A footprint on one line has no width but for rounding.
+    ratio = F.when((c("minor") >= 1e-12) & (c("minor") >= 1e-9 * c("major")), F.sqrt(c("major") / c("minor"))).when(c("major") > 1e-12, F.lit(float("inf"))).otherwise(1.0)
     off = F.abs(F.degrees(F.atan2(2.0 * c("cxy"), c("cxx") - c("cyy")) / 2.0 - F.atan2(c("v"), c("u")))) % 180
     return s.withColumn("off", off).select(*keys, ratio.alias("anisotropy"), F.when(c("off") > 90, F.lit(180.0) - c("off")).otherwise(c("off")).alias("angle_error"))
 
