@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgrid import session
+from hearthgrid.catalog.projections import COARSE
+from hearthgrid.operators import terrain
 from hearthgrid.sources.testbed import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,3 +23,13 @@ def test_made_rows_are_dealt_to_tasks(spark, monkeypatch, name):
     cut = getattr(Tables(spark, FOLDER), name)
     assert cut.count() == total and cut.exceptAll(made).isEmpty()
     assert largest_task(cut) <= total // 2
+
+
+def test_windows_of_areas_are_dealt_to_tasks(spark, tables, monkeypatch):
+    flat = COARSE.cells(spark).withColumns({"z": F.lit(1.0), "slope_deg": F.lit(0.0), "aspect_deg": F.lit(None).cast("double")})
+    whole = terrain.aoi_windows(tables.aois, flat, COARSE).drop("lat", "lon")
+    total = whole.count()
+    monkeypatch.setattr(session, "MADE_PER_TASK", total // 16, raising=False)
+    cut = terrain.aoi_windows(tables.aois, flat, COARSE).drop("lat", "lon")
+    assert largest_task(cut) <= total // 4
+    assert cut.exceptAll(whole).isEmpty() and whole.exceptAll(cut).isEmpty()
