@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgrid import session
+from hearthgrid.catalog import fields
 from hearthgrid.catalog.projections import COARSE
 from hearthgrid.operators import terrain
 from hearthgrid.sources.testbed import Tables
@@ -33,3 +34,12 @@ def test_windows_of_areas_are_dealt_to_tasks(spark, tables, monkeypatch):
     cut = terrain.aoi_windows(tables.aois, flat, COARSE).drop("lat", "lon")
     assert largest_task(cut) <= total // 4
     assert cut.exceptAll(whole).isEmpty() and whole.exceptAll(cut).isEmpty()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_made_cells_are_not_sent_to_every_task(tables):
+    plan = plan_of(fields.pairs(tables))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
