@@ -7,6 +7,7 @@ from hearthgrid import session
 from hearthgrid.catalog import fields
 from hearthgrid.catalog.projections import COARSE
 from hearthgrid.operators import terrain
+from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
 from hearthgrid.sources.testbed import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -43,3 +44,9 @@ def plan_of(df):
 def test_made_cells_are_not_sent_to_every_task(tables):
     plan = plan_of(fields.pairs(tables))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_probes_are_not_sent_to_every_task(tables):
+    rows = tables.detections.select("id", "lat", "lon", "acq_time")
+    met = [line for line in plan_of(neighbour_counts(rows, [Span("n", 5000.0, HOUR_US, HOUR_US)])).splitlines() if "Join" in line and "q_us" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
