@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthgrid import session
-from hearthgrid.catalog import fields
+from hearthgrid.catalog import fields, load
 from hearthgrid.catalog.projections import COARSE
 from hearthgrid.operators import terrain
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
+from hearthgrid.plans import spread
 from hearthgrid.sources.testbed import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -50,3 +51,22 @@ def test_probes_are_not_sent_to_every_task(tables):
     rows = tables.detections.select("id", "lat", "lon", "acq_time")
     met = [line for line in plan_of(neighbour_counts(rows, [Span("n", 5000.0, HOUR_US, HOUR_US)])).splitlines() if "Join" in line and "q_us" in line]
     assert met and all("SortMergeJoin" in line for line in met)
+
+
+def test_spread_inputs_are_worked_out_once(tables, monkeypatch):
+    load()
+    from hearthgrid.catalog import spreading
+
+    winds = []
+    plain = spread.mean_wind
+    monkeypatch.setattr(spread, "mean_wind", lambda *a: winds.append(1) or plain(*a))
+    world = spreading.World(tables)
+    plan = plan_of(world.forecast().join(world.wind(), ["run_id", "horizon_h"]))
+    assert len(winds) == 1
+    # No kernel is added up again, no event or supplier read again, by whoever reads the forecast.
+    assert "CoGroups" not in plan and "events.parquet" not in plan and "supplier.parquet" not in plan
+
+
+def test_json_is_read_once_a_detection(tables):
+    plan = plan_of(tables.detections.where("lat > 41 AND lon > 23").select("lat", "lon", "denoised_score"))
+    assert plan.count("get_json_object") == 1
