@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hearthgrid.operators import neighbours
 from hearthgrid.operators.nearest import nearest_before
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
 from hearthgrid.operators.proximity import near_any
@@ -54,6 +55,22 @@ def test_counts_equal_brute_force(spark, crowded_rows):
         assert found[(lat, lon, when)] == (len(a), b, c, tuple(sorted({o[4] for o in a if o[4]})))
 
 
+@pytest.mark.parametrize("group, asking_rows", [("sensor", 1 << 17), (None, 3)])
+def test_busy_cells_equal_pairs(spark, monkeypatch, group, asking_rows):
+    """Cells held by one task, also with their targets cut up, count as pairs do, and make no pairs of their rows."""
+    monkeypatch.setattr(neighbours, "ASKING_ROWS", asking_rows)
+    monkeypatch.setattr(neighbours, "TAGS", 2)
+    rows = frame(spark, cloud(11, 400)).withColumn("sensor", F.when(F.col("id") < 300, F.col("sensor")))
+    spans = [Span("a", 750.0, 72 * HOUR_US), Span("b", 2000.0, 6 * HOUR_US, 6 * HOUR_US)]
+    pairs = neighbour_counts(rows, spans, group=group, busy_rows=10_000)
+    held = neighbour_counts(rows, spans, group=group, busy_rows=1, asking=rows.where("id % 3 > 0"))
+    mixed = neighbour_counts(rows, spans, group=group, busy_rows=4, crowded_rows=12)
+    assert "CoGroupsInArrow" in held._jdf.queryExecution().executedPlan().toString()
+    assert mixed.exceptAll(pairs).isEmpty() and pairs.exceptAll(mixed).isEmpty()
+    wanted = pairs.join(rows.where("id % 3 > 0").select("lat", "lon", neighbours.micros(F.col("acq_time")).alias("t_us")).distinct(), neighbours.POINT, "left_semi")
+    assert held.exceptAll(wanted).isEmpty() and wanted.exceptAll(held).isEmpty()
+
+
 @pytest.mark.parametrize("crowded_rows", [10_000, 2])
 def test_nearest_equals_brute_force(spark, crowded_rows):
     rows = cloud(5, 200) + [(900, -30.0, -60.0, 300_000, None), (901, -30.0, -61.5, 290_000, None), (902, 60.0, 100.0, 9_000_000, None)]
