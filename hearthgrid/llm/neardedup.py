@@ -227,25 +227,37 @@ def verified(pairs: DataFrame, held: DataFrame, shingle: int, similarity: float)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def view_groups(near: DataFrame, radius: int) -> DataFrame:
-    """``(view, group, fp, node)``: rows of ``near(view, fp, node)`` whose fingerprints are tied by steps of at most ``radius`` bits in a view share a group.
+def view_groups(different: DataFrame, radius: int, crowded: int = CROWDED) -> DataFrame:
+    """``(view, fp, group)`` for the ``different(view, fp)`` that are tied by steps of at most ``radius`` bits to others of their view.
 
-    Worked out on the different fingerprints, by meeting points. Groups only say where to look for pairs.
+    Fingerprints that share a ring key of at most ``crowded`` are paired, those of larger keys are tied by meeting points.
+    Groups only say where to look for pairs.
     """
-    named = F.xxhash64("view", "fp").alias("g")
-    different = near.select("view", "fp", named).distinct()
+    keyed = ring_keys(different, radius, "view", segments=VIEW_SEGMENTS).select("view", "fp", F.xxhash64("view", "at", "key").alias("key"))
+    # Dealt by key once: what counts the keys and what is joined to the counts read the same shuffle.
+    dealt, member = keyed.repartition("key"), F.struct("view", "fp")
+    shared = dealt.groupBy("key").agg(F.min(member).alias("low"), F.max(member).alias("high"), F.count("*").alias("n")).filter("low <> high").select("key", "n")
+    chained = materialize(dealt.join(shared, "key"), "chained")
+    few = chained.filter(F.col("n") <= crowded).select("key", "view", "fp")
+    others = few.select("key", F.col("view").alias("other_view"), F.col("fp").alias("other"))
+    near = (F.col("view") == F.col("other_view")) & (F.col("fp") > F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    pairs = few.join(others, "key").filter(near).select("view", "fp", "other")
+    many = chained.filter(F.col("n") > crowded).select("view", "fp").distinct()
     flipped = F.explode(_longs(flips(radius // 2))).alias("flip")
-    reached = different.select("view", "g", F.col("fp"), flipped).select("view", "g", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
-    several = reached.groupBy("view", "at").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low <> high").select("view", "at", "low")
-    met = materialize(reached.join(several, ["view", "at"]).select("g", F.xxhash64("view", "at").alias("point"), "low"), "meeting")
-    # Each fingerprint is tied to the smallest one it meets first; what is left to tie are the few groups that share a point then.
-    own = components(met.groupBy("g").agg(F.min("low").alias("b")).select(F.col("g").alias("a"), "b"))
-    named = met.join(own.withColumnRenamed("node", "g"), "g", "left").select("point", F.coalesce("root", "g").alias("root"))
-    mixed = named.groupBy("point").agg(F.min("root").alias("b"), F.max("root").alias("high")).filter("b <> high").select("point", "b")
-    tied = components(named.join(mixed, "point").select(F.col("root").alias("a"), "b"))
-    group = own.join(tied.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("g"), F.coalesce("top", "root").alias("top"))
-    named = F.xxhash64("view", "fp").alias("g")
-    return near.select("view", "fp", "node", named).join(group, "g", "left").select("view", F.coalesce("top", "g").alias("group"), "fp", "node")
+    reached = many.select("view", "fp", flipped).select("view", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    points = reached.groupBy("view", "at").agg(F.min("fp").alias("other"), F.max("fp").alias("high")).filter("other <> high").select("view", "at", "other")
+    met = reached.join(points, ["view", "at"]).filter("fp <> other").select("view", "fp", "other")
+    named = [F.xxhash64("view", c).alias(x) for c, x in (("fp", "a"), ("other", "b"))]
+    links = materialize(pairs.union(met).distinct().select("view", "fp", "other", *named), "view_links")
+    # Each fingerprint is tied to one it is near first; what is left to tie are the few groups that other links join.
+    both = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    own = materialize(components(both.groupBy("a").agg(F.min("b").alias("b"))), "own_groups")
+    left, right = (own.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    rooted = links.select("a", "b").join(left, "a").join(right, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    tied = components(rooted).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    group = own.join(tied, "root", "left").select(F.col("node").alias("g"), F.coalesce("top", "root").alias("group"))
+    ends = links.select("view", "fp").union(links.select("view", "other")).distinct()  # every end has a link of its own, so a root
+    return ends.withColumn("g", F.xxhash64("view", "fp")).join(group, "g").select("view", "fp", "group")
 
 
 def linked(grouped: DataFrame, nodes: DataFrame, held: DataFrame, views: int, radius: int, shingle: int, similarity: float) -> DataFrame:
@@ -297,11 +309,10 @@ def similar_groups(docs: DataFrame, views: int = VIEWS, radius: int = 2, shingle
     nodes = prints.groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "x")).alias("low"), F.min("n").alias("n"), F.min(F.struct("marks")).alias("m"), *[F.min(c).alias(c) for c in names])
     nodes = materialize(nodes.select("t1", "t2", "low", "n", "m.marks", *names, F.monotonically_increasing_id().alias("node")), "texts")
     rows = nodes.select("node", F.posexplode(F.array(*names)).alias("view", "fp"))
-    keyed = ring_keys(rows, radius, "view", "node", segments=VIEW_SEGMENTS)
-    keyed = keyed.select("view", "fp", "node", F.xxhash64("view", "at", "key").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key")
-    near = materialize(keyed.join(shared, "key", "left_semi").select("view", "fp", "node").distinct(), "chained")
-    grouped = materialize(view_groups(near, radius), "view_groups")
+    different = materialize(rows.groupBy("view", "fp").agg(F.count("*").alias("several")), "view_fingerprints")
+    group = view_groups(different.select("view", "fp"), radius)
+    tied = different.join(group, ["view", "fp"], "left").filter("group IS NOT NULL OR several > 1").select("view", "fp", F.coalesce("group", F.xxhash64("view", "fp")).alias("group"))
+    grouped = materialize(rows.join(tied, ["view", "fp"]).select("view", "group", "fp", "node"), "view_groups")
     wanted = nodes.join(grouped.select("node").distinct(), "node", "left_semi").select("node", "low.doc_id", "low.x")
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(), "text").join(wanted, ["doc_id", "x"]).select("node", "text")
     held = materialize(held.groupBy("node").agg(F.max("text").alias("text")), "texts_held")  # repeated rows have equal texts

@@ -230,3 +230,37 @@ def test_texts_of_several_stretches_equal_brute_force(spark):
     assert whole.equals(cut.astype(whole.dtypes))
     docs = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(items)], "doc_id long, text string")
     assert cut_rows(docs, 200) == removed(list(enumerate(items)), 200)
+
+
+@pytest.mark.parametrize("crowded", [64, 2])
+def test_view_groups_equal_brute_force(spark, crowded):
+    """Fingerprints tied by steps of two bits in a view, by pairs of a key and by meeting points; equal ones in two views stay apart."""
+    rng = random.Random(4)
+    rows = set()
+    for _ in range(12):
+        fp = rng.getrandbits(64)
+        for _ in range(rng.choice([1, 2, 5, 9])):
+            rows |= {(view, fp) for view in rng.choice([(0,), (1,), (0, 1)])}
+            for _ in range(rng.choice([0, 1, 2, 2, 3])):
+                fp ^= 1 << rng.randrange(64)
+    rows = sorted(rows)
+    root = {r: r for r in rows}
+
+    def top(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and (a[1] ^ b[1]).bit_count() <= 2:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    wanted = {}
+    for r in rows:
+        wanted.setdefault(top(r), set()).add(r)
+    wanted = {frozenset(g) for g in wanted.values() if len(g) > 1}
+    frame = spark.createDataFrame([(v, neardedup.signed(fp)) for v, fp in rows], "view int, fp long")
+    found = {}
+    for r in neardedup.view_groups(frame, 2, crowded).collect():
+        found.setdefault(r["group"], set()).add((r["view"], r["fp"] % (1 << 64)))
+    assert {frozenset(g) for g in found.values()} == wanted
