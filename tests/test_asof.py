@@ -1,10 +1,14 @@
 """Merged as-of joins against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from hearthgrid import session
+from hearthgrid.operators import asof, weather
+from hearthgrid.operators import runs as run_tables
 from hearthgrid.operators.asof import last_before
 from hearthgrid.operators.runs import as_of_run, latest_run_at, latest_run_for_boxes
 
@@ -86,3 +90,53 @@ def test_runs_for_points_boxes_and_moments(spark, tasks):
     got = {r["id"]: r["run_id"] for r in latest_run_at(frame.select("id", "at"), table(spark, runs)).collect()}
     newest = lambda h: max((r for r in runs if r[3] == "completed" and r[1] <= h), key=lambda r: (r[1], r[2], r[0]), default=(None,))[0]
     assert got == {b[0]: newest(b[5]) for b in boxes if newest(b[5]) is not None}
+
+
+def counting(monkeypatch, counts):
+    for module in (asof, run_tables):
+        if hasattr(module, "materialize"):
+            monkeypatch.setattr(module, "materialize", lambda df, name: counts.append(session.materialize(df, name)) or counts[-1])
+
+
+def test_points_do_not_ask_once_for_each_box(spark, monkeypatch):
+    forecast = [(n, n % 10, n, "completed", -10.0 - n, -10.0 - n, 40.0 + n, 40.0 + n) for n in range(60)]
+    points = [(n, n * 0.01, n * 0.02, n % 16) for n in range(1500)]
+    asked = spark.createDataFrame([(n, lat, lon, h * HOUR) for n, lat, lon, h in points], "id long, lat double, lon double, t_us long")
+    written = []
+    counting(monkeypatch, written)
+    got = {r["id"]: r["run_id"] for r in as_of_run(asked, table(spark, forecast)).collect()}
+    assert got == {n: best(forecast, h, (lon, lat, lon, lat), h - 6) for n, lat, lon, h in points if h <= 15}
+    assert max(df.count() for df in written) <= len(points)
+
+
+@pytest.mark.parametrize("sent", [0, 500_000])
+def test_runs_for_odd_points(spark, monkeypatch, sent):
+    monkeypatch.setattr(run_tables, "SENT_OFFERS", sent, raising=False)
+    rng = random.Random(7)
+    # Nearly as many boxes as runs, more than one row of offers a tile, and boxes over the borders of tiles and of the world.
+    forecast = [(n, rng.randrange(0, 12), rng.randrange(5), "completed", *rng.choice([
+        (None,) * 4, (-180.0, -90.0, 0.0, 0.0), (x := rng.uniform(-20, 15), y := rng.uniform(-20, 15), x + rng.uniform(0, 30), y + rng.uniform(0, 30)),
+        (5.0, 5.0, 5.0, 5.0), (170.0, 0.0, -170.0, 10.0), (-500.0, -500.0, -100.0, 500.0)])) for n in range(700)]
+    forecast += [(900, 30, 1, "completed", None, None, None, None), (901, 50, 1, "completed", 0.0, 0.0, 5.0, 5.0), (902, 20, 1, "failed", None, None, None, None)]
+    places = [(rng.uniform(-25, 25), rng.uniform(-25, 25)) for _ in range(250)] + [(0.0, 0.0), (5.0, 5.0), (-90.0, -180.0), (90.0, 180.0), (95.0, 10.0), (10.0, 190.0), (10.0, -300.0), (float("nan"), 3.0), (2.0, float("inf"))]
+    points = [(n, lat, lon, rng.choice([0, 3, 11, 17, 30, 36, 37, 50, 56])) for n, (lat, lon) in enumerate(places)]
+    rows = [(n, lat, lon, h * HOUR) for n, lat, lon, h in points] + [(n, lat, lon, h * HOUR) for n, lat, lon, h in points[:20]]  # repeated rows
+    rows += [(2000, None, 1.0, HOUR), (2001, 1.0, None, HOUR), (2002, 1.0, 1.0, None), (2003, 1.0, 1.0, 36 * HOUR + 1), (2004, 1.0, 1.0, 30 * HOUR - 1)]
+    out = as_of_run(spark.createDataFrame(rows, "id long, lat double, lon double, t_us long"), table(spark, forecast)).collect()
+    want = {n: best(forecast, h, (lon, lat, lon, lat), h - 6) for n, lat, lon, h in points}
+    assert len(out) == len({r["id"] for r in out})
+    assert {r["id"]: r["run_id"] for r in out} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_cells_of_other_runs_are_dropped_where_they_are_read(spark):
+    points = spark.createDataFrame([(1, 0.4, 0.4, HOUR), (2, 1.2, 0.1, 2 * HOUR)], "id long, lat double, lon double, t_us long")
+    forecast = table(spark, [(n, n % 2, n, "completed", None, None, None, None) for n in range(50)])
+    step = F.timestamp_micros(F.col("lead") * F.lit(HOUR)).cast("timestamp_ntz").alias("valid_time")
+    cells = spark.range(50).select(F.col("id").alias("run_id"), F.explode(F.array([F.lit(x) for x in range(3)])).alias("lead")).select(
+        "run_id", step, F.explode(F.array([F.lit(x).cast("long") for x in range(3)])).alias("i"), F.lit(0).cast("long").alias("j"),
+        *[(F.col("run_id") + F.col("lead") * n).cast("double").alias(c) for n, c in enumerate(("u10", "v10", "rh2m", "tp"))])
+    found = weather.weather_at_points(points, forecast, cells, (0.0, 0.0, 1.0, 3))
+    # The first join over the cells keeps the chosen runs; nothing is dealt out between.
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in line]
+    assert joins and re.search(r"BroadcastHashJoin \[run_id#\w+\], ", joins[-1])
+    assert {r["id"]: (r["run_id"], r["rh2m"], r["precip_mm"]) for r in found.collect()} == {1: (49, 51.0, 1000.0 * (49 + 52)), 2: (49, 53.0, 1000.0 * (49 + 52 + 55))}
