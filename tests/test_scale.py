@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hearthgrid import session
 from hearthgrid.catalog import fields, load
 from hearthgrid.catalog.projections import COARSE
-from hearthgrid.operators import terrain
+from hearthgrid.operators import terrain, weather
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
 from hearthgrid.plans import spread
 from hearthgrid.sources.testbed import Tables
@@ -70,3 +70,13 @@ def test_spread_inputs_are_worked_out_once(tables, monkeypatch):
 def test_json_is_read_once_a_detection(tables):
     plan = plan_of(tables.detections.where("lat > 41 AND lon > 23").select("lat", "lon", "denoised_score"))
     assert plan.count("get_json_object") == 1
+
+
+def test_elevation_is_sent_to_the_cells_not_the_cells_to_it(spark, tables):
+    raster = fields.dem(tables).select("i", "j", "z")
+    small = weather.with_ground(tables.weather_cells, raster, (40.05, 22.05), 0.1, 200)
+    assert "BuildRight" in plan_of(small) and "BuildLeft" not in plan_of(small)
+    large = weather.with_ground(tables.weather_cells, raster, (40.05, 22.05), 0.1, 200, sent_cells=0)
+    assert "SortMergeJoin" in plan_of(large) and "Broadcast" not in plan_of(large)
+    shown = ["run_id", "lead_h", "i", "j", "z"]
+    assert small.count() == large.count() > 0 and small.select(*shown).exceptAll(large.select(*shown)).isEmpty()
