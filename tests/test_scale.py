@@ -80,3 +80,9 @@ def test_elevation_is_sent_to_the_cells_not_the_cells_to_it(spark, tables):
     assert "SortMergeJoin" in plan_of(large) and "Broadcast" not in plan_of(large)
     shown = ["run_id", "lead_h", "i", "j", "z"]
     assert small.count() == large.count() > 0 and small.select(*shown).exceptAll(large.select(*shown)).isEmpty()
+
+
+def test_interpolated_corners_are_not_sent_to_every_task(tables):
+    plan = plan_of(fields.aligned(tables))
+    # Corners are also folded without a sort.
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "SortAggregate" not in plan
