@@ -196,4 +196,4 @@ def dq_forecast(t):
 @query("join_pip_aoi", with_ctes("detections", "aoi_edges", "aois") + "SELECT d.id, e.aoi_id FROM detections d JOIN aois a ON d.lat BETWEEN a.min_lat AND a.max_lat AND d.lon BETWEEN a.min_lon AND a.max_lon "
        "JOIN aoi_edges e ON e.aoi_id = a.aoi_id GROUP BY d.id, e.aoi_id HAVING count_if((y1 > d.lat) <> (y2 > d.lat) AND d.lon < (x2 - x1) * (d.lat - y1) / nullif(y2 - y1, 0) + x1) % 2 = 1")
 def pip_aoi(t):
-    return polygons.points_in_polygons(t.detections.select("id", "lat", "lon"), t.aois, "aoi_id").select("id", "aoi_id")
+    return polygons.points_in_polygons(t.detections.select("id", "lat", "lon"), t.aois, "aoi_id", keep=["id"])

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthgrid.functions.geo import EARTH_RADIUS_M
 
+#: Points and edges of a bin that one task holds at most, about; and rows that it hands on at a time.
+ASKED_POINTS, HELD_EDGES, TOLD_ROWS = 1 << 16, 1 << 19, 1 << 18
+
 
 def vertex_count(rings: str = "rings") -> Column:
     return F.coalesce(F.size(F.flatten(F.col(rings))), F.lit(0))
@@ -72,23 +80,133 @@ def with_parity(asked: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return met.groupBy(key, "slab", *[c for c in asked.columns if c not in (key, "slab")]).agg((F.sum(F.when(crosses, 1).otherwise(0)) % 2 == 1).alias("inside"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, bin_deg: float = 0.5, rings: str = "rings") -> DataFrame:
-    """(point columns, key) for every polygon that holds the point, by even-odd crossings.
+def _bin_edges(polygons: DataFrame, key: str, width: str, rings: str) -> DataFrame:
+    """What points of a bin meet: ``(bin_i, bin_j, key, box, x1, y1, x2, y2)``, each edge in the bins around it.
 
-    A polygon's box (no ring) is listed in the bins it touches; a point joins on its own bin, is tested against the
-    box, and then meets the edges of one strip of the polygon. Rings are never copied, nor held in one row. Points that repeat in all
-    columns are repeated in the result.
+    For the bins farther west in the polygon's box the edge lies to the east, whatever the longitude: only the latitudes where that
+    starts and stops matter. They are rows without x (from y1 north), and those of edges that meet in a vertex cancel out.
+    """
+    every = edges(polygons, key, rings)
+    shape = every.groupBy(key).agg(*[f(g(f"{c}1", f"{c}2")).alias(f"{name}_{end}") for c, name in (("y", "lat"), ("x", "lon")) for f, g, end in ((F.min, F.least, "lo"), (F.max, F.greatest, "hi"))])
+    box = ["lat_lo", "lat_hi", "lon_lo", "lon_hi"]
+    number = lambda text: F.expr(f"CAST(floor({text} / {width}) AS BIGINT)")
+    # Merged: edges and boxes grow with the polygons, and look as few as they are.
+    met = every.where("y1 <> y2").join(shape.hint("merge"), key).withColumns({
+        "south": number("least(y1, y2)"), "north": number("greatest(y1, y2)"), "first": number("lon_lo"), "last": number("lon_hi"),
+        "west": number("least(x1, x2)") - 1, "east": number("greatest(x1, x2)") + 1})
+    rows = met.withColumn("bin_i", F.explode(F.sequence("south", "north")))
+    place = ["bin_i", "bin_j", key, *box]
+    near = rows.withColumn("bin_j", F.explode(F.sequence(F.greatest("first", "west"), F.least("last", "east")))).select(*place, "x1", "y1", "x2", "y2")
+    turns = F.array(F.when(F.col("bin_i") > F.col("south"), F.lit(float("-inf"))).otherwise(F.least("y1", "y2")), F.when(F.col("bin_i") == F.col("north"), F.greatest("y1", "y2")))
+    far = rows.where("first < west").withColumn("bin_j", F.explode(F.sequence("first", F.col("west") - 1))).select(*place, F.explode(turns).alias("y1"))
+    far = far.where("y1 IS NOT NULL").groupBy(*place, "y1").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").drop("n")
+    return near.unionByName(far, allowMissingColumns=True)
+
+
+def _tell_inside(held: pa.StructArray, asked: pa.StructArray, key: str, keep: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """(kept columns, key) of the asked points inside the held polygons of their bin, in batches of a bounded size."""
+    column = lambda rows, c: rows.field(rows.type.get_field_index(c))
+    number = lambda rows, c: column(rows, c).to_numpy(zero_copy_only=False)
+    points = asked.take(pa.array(np.argsort(number(asked, "_lat"), kind="stable")))
+    lat, lon = number(points, "_lat"), number(points, "_lon")
+    names = column(held, key).dictionary_encode()
+    which = names.indices.to_numpy()
+    by_shape = np.argsort(which, kind="stable")
+    which = which[by_shape]
+    begins = np.flatnonzero(np.diff(which, prepend=-1))
+    ends = np.append(begins[1:], len(which))
+    x1, y1, x2, y2, lat_lo, lat_hi, lon_lo, lon_hi = (number(held, c)[by_shape] for c in ("x1", "y1", "x2", "y2", "lat_lo", "lat_hi", "lon_lo", "lon_hi"))
+    far = column(held, "x1").is_null().to_numpy(zero_copy_only=False)[by_shape]
+    # An edge crosses the latitudes from its lower end to below its upper one; rows are in their order.
+    start = np.searchsorted(lat, np.where(far, y1, np.minimum(y1, y2)), "left")
+    stop = np.where(far, len(lat), np.searchsorted(lat, np.maximum(y1, y2), "left"))
+    low, high = np.searchsorted(lat, lat_lo[begins], "left"), np.searchsorted(lat, lat_hi[begins], "right")
+    rise, run = y2 - y1, x2 - x1
+    rows, shapes, ready = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        index = pa.array(np.concatenate(rows))
+        owner = pa.array(np.repeat(np.array([n for n, _ in shapes], np.int32), [n for _, n in shapes]))
+        return pa.RecordBatch.from_arrays([*[column(points, c).take(index) for c in keep], names.dictionary.take(owner)], [*keep, key])
+
+    for p in np.flatnonzero(low < high):
+        a, b, first, last = low[p], high[p], begins[p], ends[p]
+        odd = np.zeros(b - a, dtype=bool)
+        for e in range(first, last):
+            s, t = max(start[e], a), min(stop[e], b)
+            if s >= t:
+                continue
+            if far[e]:
+                np.logical_not(odd[s - a:t - a], out=odd[s - a:t - a])
+            else:
+                odd[s - a:t - a] ^= lon[s:t] < run[e] * (lat[s:t] - y1[e]) / rise[e] + x1[e]
+        inside = np.flatnonzero(odd) + a
+        at = lon[inside]
+        inside = inside[(at >= lon_lo[first]) & (at <= lon_hi[first])]
+        if len(inside):
+            rows.append(inside)
+            shapes.append((which[first], len(inside)))
+            ready += len(inside)
+            if ready >= TOLD_ROWS:
+                yield batch()
+                rows, shapes, ready = [], [], 0
+    if ready:
+        yield batch()
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, bin_deg: float = 0.5, rings: str = "rings", keep: Sequence[str] | None = None,
+                       asked_points: int = ASKED_POINTS, held_edges: int = HELD_EDGES) -> DataFrame:
+    """(kept point columns, key) for every polygon that holds the point, by even-odd crossings. ``keep`` is all columns by default.
+
+    Points and edges are dealt out by bin, and what lies in a polygon is told in the task that holds both: pairs are never dealt out,
+    written or grouped. A task holds the edges of one bin, listed for its polygons, and so many of its points; bins with more points or
+    edges are cut up, each part of the points meeting each part of the polygons. Points that repeat are repeated in the result.
     """
-    shape, listed = slabs(polygons, key, rings)
-    span = "sequence(CAST(floor({0}_lo / {1}) AS INT), CAST(floor({0}_hi / {1}) AS INT))"
+    keep = list(points.columns if keep is None else keep)
     width = f"{bin_deg!r}D"
-    boxes = shape.withColumn("bin_i", F.explode(F.expr(span.format("lat", width)))).withColumn("bin_j", F.explode(F.expr(span.format("lon", width))))
-    placed = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_times")).withColumns({
-        "bin_i": F.expr(f"CAST(floor(lat / {width}) AS INT)"), "bin_j": F.expr(f"CAST(floor(lon / {width}) AS INT)")})
-    near = placed.join(boxes, ["bin_i", "bin_j"]).where("lat BETWEEN lat_lo AND lat_hi AND lon BETWEEN lon_lo AND lon_hi")
-    asked = near.select(key, slab_of(F.col("lat")).alias("slab"), *points.columns, "_times")
-    held = with_parity(asked, listed, key).where("inside")
-    return held.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*points.columns, key)
+    listed = _bin_edges(polygons, key, width, rings)
+    placed = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(
+        F.expr(f"CAST(floor(lat / {width}) AS BIGINT)").alias("bin_i"), F.expr(f"CAST(floor(lon / {width}) AS BIGINT)").alias("bin_j"),
+        F.struct(*keep, F.col("lat").cast("double").alias("_lat"), F.col("lon").cast("double").alias("_lon")).alias("point"))
+    place = ["bin_i", "bin_j"]
+
+    def parts(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / most).alias(name)).where(F.col(name) > 1)
+
+    busy = parts(placed, asked_points, "point_parts").join(parts(listed, held_edges, "edge_parts"), place, "full_outer")
+    cut = lambda rows: rows.join(busy, place, "left").fillna(1, ["point_parts", "edge_parts"])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = cut(placed).withColumn("point_part", F.expr("pmod(xxhash64(point), point_parts)")).withColumn("edge_part", each("edge_parts"))
+    left = cut(listed).withColumn("edge_part", F.pmod(F.xxhash64(key), F.col("edge_parts"))).withColumn("point_part", each("point_parts"))
+    unit = [*place, "point_part", "edge_part"]
+    edge = F.struct(key, "lat_lo", "lat_hi", "lon_lo", "lon_hi", "x1", "y1", "x2", "y2")
+    both = left.select(*unit, F.lit(0).alias("kind"), edge.alias("edge")).unionByName(right.select(*unit, F.lit(1).alias("kind"), "point"), allowMissingColumns=True)
+    # Few bytes, much work behind each: dealt to all tasks (a fixed count is not merged away again at run time).
+    tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), points.sparkSession.sparkContext.defaultParallelism)
+    dealt = both.repartition(tasks, *unit).sortWithinPartitions(*unit, "kind").select(*unit, "kind", "edge", "point")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*[points.schema[c] for c in keep], polygons.schema[key]]])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, asked = None, [], []
+        for batch in batches:
+            units = np.stack([batch.column(n).to_numpy() for n in range(len(unit))], axis=1)
+            kind = batch.column(len(unit)).to_numpy()
+            starts = np.flatnonzero(np.append(True, (units[1:] != units[:-1]).any(axis=1)))[:len(units)]
+            for first, last in zip(starts, np.append(starts[1:], len(units))):
+                now = tuple(units[first])
+                if now != here:
+                    if held and asked:
+                        yield from _tell_inside(pa.concat_arrays(held), pa.concat_arrays(asked), key, keep)
+                    here, held, asked = now, [], []
+                edges_end = first + int(np.searchsorted(kind[first:last], 1))
+                if edges_end > first:
+                    held.append(batch.column(len(unit) + 1).slice(first, edges_end - first))
+                if last > edges_end and held:  # edges come first: points of a bin without any need not be kept
+                    asked.append(batch.column(len(unit) + 2).slice(edges_end, last - edges_end))
+        if held and asked:
+            yield from _tell_inside(pa.concat_arrays(held), pa.concat_arrays(asked), key, keep)
+
+    return dealt.mapInArrow(tell, schema)
 
 
 def cell_outline(cells: DataFrame, keys: list[str]) -> DataFrame:

@@ -242,6 +242,24 @@ def test_points_in_polygons_of_many_vertices(spark):
     assert all(entries.get(k, 0) <= 3 * sum(map(len, rings)) for k, rings in shapes.items()) and counts[5] > 1000 and counts[2] < 4
 
 
+def test_points_in_polygons_cut_up_and_far_from_edges(spark):
+    """Wide shapes whose edges lie bins away, corners on bin borders, a bow-tie and an open ring; bins cut into parts of points and edges."""
+    rng = random.Random(9)
+    shapes = {1: [[(-6.0, -3.0), (7.0, -3.0), (7.0, 3.0), (-2.0, 3.0), (-2.0, 1.0), (5.5, 1.0), (5.5, -1.25), (-6.0, -1.25), (-6.0, -3.0)], [(0.1, -2.0), (3.7, -2.0), (3.7, -1.5), (0.1, -1.5), (0.1, -2.0)]],
+              2: [[(-5.0, -2.0), (5.0, 2.2), (5.0, -2.0), (-5.0, 2.2), (-5.0, -2.0)]], 3: [[(-4.0, -2.5), (6.0, 0.0), (-4.0, 2.5)]], 4: [[(0.5, 0.5), (1.0, 0.5), (1.0, 1.0), (0.5, 1.0), (0.5, 0.5)]]}
+    poly = spark.createDataFrame([(k, [[{"lon": x, "lat": y} for x, y in r] for r in rings]) for k, rings in shapes.items()], "k int, rings array<array<struct<lon: double, lat: double>>>")
+    rows = [(n, rng.uniform(-7, 8), rng.uniform(-4, 4)) for n in range(1500)] + [(2000 + n, x / 2, y / 2) for n, (x, y) in enumerate((x, y) for x in range(-13, 16) for y in range(-7, 8))]
+    pts = spark.createDataFrame([*rows, (3000, None, 1.0), (3001, float("nan"), 1.0)], "id int, lon double, lat double")
+    boxes = {k: [f(v) for v in zip(*(p for r in rings for p in r)) for f in (min, max)] for k, rings in shapes.items()}
+    want = sorted((n, k) for n, x, y in rows for k, rings in shapes.items() if _inside(x, y, rings) and boxes[k][0] <= x <= boxes[k][1])
+    for cuts in ({}, {"asked_points": 3, "held_edges": 2}):
+        found = polygons.points_in_polygons(pts, poly, "k", keep=["id"], **cuts)
+        assert found.columns == ["id", "k"] and sorted(map(tuple, found.collect())) == want
+    # What lies inside is told where points and edges meet: pairs are neither grouped nor dealt out.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan.split("MapInArrow")[0] for word in ("Aggregate", "Exchange", "Join"))
+
+
 def test_calibration_lowers_the_error(spark):
     rng = random.Random(0)
     rows = [(k % 4, 24, p, float(rng.random() < p * p), 1.0) for k in range(3000) for p in [rng.random()]]
