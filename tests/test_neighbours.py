@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hearthgrid.operators import neighbours
+from hearthgrid.functions.geo import haversine_km
+from hearthgrid.operators import nearest, neighbours
 from hearthgrid.operators.nearest import nearest_before
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
 from hearthgrid.operators.proximity import near_any
@@ -89,6 +90,33 @@ def test_nearest_equals_brute_force(spark, crowded_rows):
 
         assert got[(lat, lon, when)] == pytest.approx(min(km(o) for o in ties), abs=1e-6)
 
+@pytest.mark.parametrize("met_rows, held_rows", [(4096, 1 << 19), (5, 60)])
+def test_nearest_in_tiles_equals_pairs(spark, monkeypatch, met_rows, held_rows):
+    """Crowds, rows on tile borders and days apart, equal distances, a busy place, and targets far from all: tiles, wider tiles and the walk agree with all pairs."""
+    monkeypatch.setattr(nearest, "MET_ROWS", met_rows)
+    monkeypatch.setattr(nearest, "COMPARED_ROWS", 50)
+    rng = random.Random(3)
+    day = 86_400
+    spots = [(rng.gauss(1.6, 0.01), rng.gauss(-1.6, 0.01), rng.randrange(5 * day)) for _ in range(150)] + [(rng.uniform(-9, 9), rng.uniform(-9, 9), rng.randrange(4 * day)) for _ in range(60)]
+    spots += [(0.5, 0.5, day + 600 * k) for k in range(40)] + [(50.0 + a, 100.0 + b, 2 * day + k) for k, (a, b) in enumerate([(-0.25, 0), (0, 0.25), (0.25, 0), (0, -0.25), (0, 0)])]
+    spots += [(-80.0, -170.0, 3 * day), (80.0, 170.0, 2 * day + 30), (80.0, 170.0, 4 * day), (1.6, 1.6, 0), (1.6, 1.6, day), (1.6, 1.6, 2 * day + 1)]
+    rows = frame(spark, [(n, lat, lon, t, None) for n, (lat, lon, t) in enumerate(spots)])
+    got = {r.id: r.nn_km for r in neighbours.attach_counts(rows, nearest.nearest_before(rows, crowded_rows=held_rows)).collect()}
+    a, b = (rows.select("id", "lat", "lon", neighbours.micros(F.col("acq_time")).alias("t")).toDF(*[f"{c}_{x}" for c in ("id", "lat", "lon", "t")]) for x in "ab")
+    pairs = a.join(b, F.expr(f"t_b BETWEEN t_a - {24 * HOUR_US} AND t_a AND id_a <> id_b"))
+    scored = pairs.withColumns({"planar": F.expr("(lat_a - lat_b) * (lat_a - lat_b) + (lon_a - lon_b) * (lon_a - lon_b)"), "km": haversine_km("lat_a", "lon_a", "lat_b", "lon_b")})
+    want = {r.id_a: r.best.km for r in scored.groupBy("id_a").agg(F.min(F.struct("planar", "km")).alias("best")).collect()}
+    for n in range(len(spots)):
+        assert got[n] == pytest.approx(want.get(n, 999.0), abs=1e-9), (n, spots[n])
+
+
+def test_targets_with_nothing_before_them_do_not_walk(spark, monkeypatch):
+    """One detection that is first, far or alone must not send all others through the tree."""
+    monkeypatch.setattr(nearest, "_walk_down", lambda *a: pytest.fail("walked"))
+    rows = frame(spark, [(1, 10.0, 10.0, 0, None), (2, 10.001, 10.0, 60, None), (3, -40.0, 60.0, 100, None), (4, 10.0, 10.0, 10 * 86_400, None)])
+    got = {r.id: round(r.nn_km, 3) for r in neighbours.attach_counts(rows, nearest_before(rows)).collect()}
+    assert got[1] == got[4] == 999.0 and got[2] == 0.111 and got[3] > 5000
+
 
 def test_near_any_across_the_date_line(spark):
     points = spark.createDataFrame([(1, 10.0, 179.999), (2, 10.0, -179.999), (3, 10.0, 179.9), (4, None, None)], "id int, lat double, lon double")
