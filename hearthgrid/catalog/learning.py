@@ -63,6 +63,8 @@ def _labelled_features(t):
        "SELECT CASE WHEN us < cut THEN 'train' ELSE 'eval' END AS part, count(*) AS n, count_if(label = 'POSITIVE') AS positives FROM x, c GROUP BY 1")
 def snapshot_split(t):
     rows = labels.label_detections(t.detections, t.industrial).where("label <> 'UNKNOWN'").join(t.detections.select("id", "acq_time"), "id")
+    # Written: the quantile and the split both read the labels.
+    rows = materialize(rows.select("acq_time", "label"), "labelled-times")
     return training.split_at_quantile(rows).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "POSITIVE").alias("positives"))
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,32 @@ def test_busy_cells_equal_pairs(spark, monkeypatch, group, asking_rows):
     assert held.exceptAll(wanted).isEmpty() and wanted.exceptAll(held).isEmpty()
 
 
+def test_plain_counts_in_pieces_equal_pairs(spark, monkeypatch):
+    """Running sums over positions a few at a time, and probes that are dealt out only where few rows are, give what pairs give."""
+    rows = frame(spark, cloud(17, 300))
+    spans = [Span("a", 750.0, 72 * HOUR_US), Span("b", 2000.0, 6 * HOUR_US, 6 * HOUR_US), Span("c", 2000.0, 24 * HOUR_US)]
+    monkeypatch.setattr(neighbours, "SENT_CELLS", 0)
+    pairs = neighbour_counts(rows, spans, busy_rows=10_000)
+    want = sorted(map(tuple, pairs.collect()))
+    monkeypatch.setattr(neighbours, "SENT_CELLS", 10_000)
+    monkeypatch.setattr(neighbours, "LOOKED_AT", 50)
+    for busy_rows in (0, 5):
+        assert sorted(map(tuple, neighbour_counts(rows, spans, busy_rows=busy_rows).collect())) == want
+    plan = neighbour_counts(rows, spans)._jdf.queryExecution().executedPlan().toString()
+    probed = [line for line in plan.splitlines() if "LeftSemi" in line and "BroadcastHashJoin" in line and "cell_row" in line]
+    assert probed and sum(sum(c) for _, _, _, *c in want) > 1000
+
+
+def test_within_equals_metres():
+    rng = np.random.default_rng(2)
+    asked = rng.uniform(-90, 90, 400) + 1j * rng.uniform(-180, 180, 400)
+    sites = np.concatenate([asked.real + rng.normal(0, 0.02, 400) + 1j * ((asked.imag + rng.normal(0, 0.04, 400) + 180) % 360 - 180), [89.999 + 179.9j, 89.999 - 179.9j]])
+    exact = np.stack([neighbours._metres(p.real, p.imag, sites.real, sites.imag) for p in asked])
+    radii = (2000.0, 5000.0, float(exact[7, 7]), float(exact[9, 9]))
+    for radius, inside in zip(radii, neighbours._within(asked, sites, radii)):
+        assert (inside == (exact <= radius)).all() and inside.any()
+
+
 @pytest.mark.parametrize("crowded_rows", [10_000, 2])
 def test_nearest_equals_brute_force(spark, crowded_rows):
     rows = cloud(5, 200) + [(900, -30.0, -60.0, 300_000, None), (901, -30.0, -61.5, 290_000, None), (902, 60.0, 100.0, 9_000_000, None)]

@@ -86,3 +86,11 @@ def test_interpolated_corners_are_not_sent_to_every_task(tables):
     plan = plan_of(fields.aligned(tables))
     # Corners are also folded without a sort.
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "SortAggregate" not in plan
+
+
+def test_labels_are_worked_out_once_for_the_split(tables):
+    load()
+    from hearthgrid.catalog import learning
+
+    # The quantile and the split read written labels, not the detections again.
+    assert "events.parquet" not in plan_of(learning.snapshot_split(tables))
