@@ -1,5 +1,7 @@
 """Work that must be dealt to many tasks, and tables that must not be sent to all of them."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from hearthgrid.catalog import fields, load
 from hearthgrid.catalog.projections import COARSE
 from hearthgrid.operators import terrain, weather
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
-from hearthgrid.plans import spread
+from hearthgrid.plans import features, spread
 from hearthgrid.sources.testbed import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +96,24 @@ def test_labels_are_worked_out_once_for_the_split(tables):
 
     # The quantile and the split read written labels, not the detections again.
     assert "events.parquet" not in plan_of(learning.snapshot_split(tables))
+
+
+@pytest.mark.parametrize("held_rows", [1, 40, 1 << 17])
+def test_histories_of_cells_equal_brute_force(spark, monkeypatch, held_rows):
+    """Blocks of one row, of some cells and of all, with copies, rows before 1970, days apart and rows without a place or time; no window."""
+    monkeypatch.setattr(features, "HELD_ROWS", held_rows)
+    rng = random.Random(6)
+    day = 86_400
+    rows = [(n, 45.0 + 0.01 * rng.randrange(3) + 0.005, -20.005, rng.choice((-1, 1_700_000_000)) * 1 + rng.randrange(80 * 24) * 3600 // rng.choice((1, 1, 30))) for n in range(300)]
+    rows += [(1000, None, 1.0, 5), (1001, 45.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, s long").selectExpr("id", "lat", "lon", "CAST(timestamp_seconds(s) AS timestamp_ntz) AS acq_time")
+    found = features.same_cell_history(df)
+    assert "Window" not in plan_of(found)
+    got = {r.id: (r.n_same_cell_24h, r.n_same_cell_7d, r.seen_same_cell_past_3d, r.days_with_detection_past_30d_in_cell) for r in found.collect()}
+    placed = [r for r in rows if None not in r]
+    for key, lat, lon, t in placed:
+        same = [o for o in placed if o[0] != key and (o[1] // 0.01, o[2] // 0.01) == (lat // 0.01, lon // 0.01)]
+        past = lambda span: [o for o in same if t - span <= o[3] <= t]
+        want = (len(past(day)), len(past(7 * day)), int(any(o[3] < t for o in past(3 * day))), len({o[3] // day for o in past(30 * day) if o[3] < t}))
+        assert got[key] == want
+    assert set(got) == {r[0] for r in placed}
