@@ -14,8 +14,9 @@ from hearthgrid.catalog.registry import query
 from hearthgrid.catalog.spreading import _BIN as PROBABILITY_BIN_SQL
 from hearthgrid.catalog.spreading import HORIZONS, WGRID, World
 from hearthgrid.operators.metrics import confidence_bin, ranking_metrics
+from hearthgrid.operators.neighbours import neighbour_counts
 from hearthgrid.plans import artifacts, calibration, denoiser, hindcast, labels, spread, training
-from hearthgrid.plans.features import denoiser_features
+from hearthgrid.plans.features import RADIUS_SPANS, denoiser_features
 from hearthgrid.session import materialize, scratch_path
 
 add_cte("labelled", "SELECT d.id, CASE rule WHEN 'Default' THEN 'UNKNOWN' WHEN 'Persistent Cluster' THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, rule FROM (SELECT d.id, CASE WHEN d.id IN (SELECT id FROM near_industrial) THEN 'Industrial Mask' "
@@ -28,8 +29,13 @@ def label_v1(t):
     return labels.label_detections(t.detections, t.industrial).select("id", "label", "rule")
 
 
-def _features(t):
-    return denoiser_features(t.detections, slopes(t, dem(t)).drop("terrain_id"), COARSE)
+def _features(t, counts=None):
+    return denoiser_features(t.detections, slopes(t, dem(t)).drop("terrain_id"), COARSE, counts)
+
+
+def _counts(t):
+    """What features and labels count around each detection, counted in one go and written for both."""
+    return materialize(neighbour_counts(t.detections.select("id", "lat", "lon", "acq_time"), [*RADIUS_SPANS, *labels.rule_spans()]), "learning-counts")
 
 
 _ROUNDED = ("brightness_minus_t31", "sin_hour", "cos_hour", "sin_doy", "cos_doy", "dist_nn_24h_km", "slope_deg")
@@ -55,7 +61,8 @@ def features(t):
 
 
 def _labelled_features(t):
-    return denoiser.labelled_features(_features(t), labels.label_detections(t.detections, t.industrial))
+    counts = _counts(t)
+    return denoiser.labelled_features(_features(t, counts), labels.label_detections(t.detections, t.industrial, counts=counts))
 
 
 @query("job_snapshot_split", with_ctes("detections", "labelled", extra={

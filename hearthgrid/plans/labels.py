@@ -35,18 +35,23 @@ def in_chronic_cell(df: DataFrame, cell_deg: float, days: int, history: DataFram
     return placed.join(cells, ["ci", "cj"], "left").withColumn("chronic", F.col("_hit").isNotNull()).drop("_hit", "ci", "cj")
 
 
+def rule_spans(rules: LabelRules = LabelRules()) -> list[Span]:
+    """What the rules count around a detection."""
+    return [
+        Span("near", rules.singleton_km * 1000.0, rules.singleton_hours * HOUR_US, rules.singleton_hours * HOUR_US),
+        Span("close", rules.cluster_km * 1000.0, rules.cluster_hours * HOUR_US, rules.cluster_hours * HOUR_US),
+    ]
+
+
 def label_detections(detections: DataFrame, industrial: DataFrame, rules: LabelRules = LabelRules(),
-                     start: str | None = None, end: str | None = None, bbox: tuple | None = None) -> DataFrame:
+                     start: str | None = None, end: str | None = None, bbox: tuple | None = None, counts: DataFrame | None = None) -> DataFrame:
     """id, label, rule. Rules in order: industrial, low-confidence singleton, chronic cell, cluster; else UNKNOWN.
 
     Neighbours and chronic days are looked for in all detections, the labels are given to the selected ones.
+    ``counts`` may bring the spans of the rules counted elsewhere.
     """
     rows = detections.select("id", "lat", "lon", "acq_time", "confidence")
-    spans = [
-        Span("near", rules.singleton_km * 1000.0, rules.singleton_hours * HOUR_US, rules.singleton_hours * HOUR_US),
-        Span("close", rules.cluster_km * 1000.0, rules.cluster_hours * HOUR_US, rules.cluster_hours * HOUR_US),
-    ]
-    counts = neighbour_counts(rows, spans)
+    counts = neighbour_counts(rows, rule_spans(rules)) if counts is None else counts
     wanted, history = rows, rows
     if start is not None and end is not None:
         first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")

@@ -10,7 +10,7 @@ from hearthgrid.catalog import fields, load
 from hearthgrid.catalog.projections import COARSE
 from hearthgrid.operators import terrain, weather
 from hearthgrid.operators.neighbours import HOUR_US, Span, neighbour_counts
-from hearthgrid.plans import features, spread
+from hearthgrid.plans import features, labels, spread
 from hearthgrid.sources.testbed import Tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -117,3 +117,14 @@ def test_histories_of_cells_equal_brute_force(spark, monkeypatch, held_rows):
         want = (len(past(day)), len(past(7 * day)), int(any(o[3] < t for o in past(3 * day))), len({o[3] // day for o in past(30 * day) if o[3] < t}))
         assert got[key] == want
     assert set(got) == {r[0] for r in placed}
+
+
+def test_features_and_labels_count_once(tables, monkeypatch):
+    load()
+    from hearthgrid.catalog import learning
+
+    counted = []
+    for module in (learning, features, labels):
+        monkeypatch.setattr(module, "neighbour_counts", lambda *a, plain=neighbour_counts, **k: counted.append(1) or plain(*a, **k), raising=False)
+    rows = learning._labelled_features(tables)
+    assert len(counted) == 1 and rows.count() > 0
