@@ -126,8 +126,10 @@ def train_denoiser(t):
 @query("job_score_denoiser")
 def score_denoiser(t):
     """Train, store, load and score the rows without a score; scoring reads the stored model only."""
-    everything = materialize(_features(t), "features")
-    known = denoiser.labelled_features(everything, labels.label_detections(t.detections, t.industrial))
+    counts = _counts(t)
+    everything = materialize(_features(t, counts), "features")
+    # Written: the quantile, the split and the stored medians all read it.
+    known = materialize(denoiser.labelled_features(everything, labels.label_detections(t.detections, t.industrial, counts=counts)), "labelled-features")
     model, _ = denoiser.train_denoiser(known)
     path = artifacts.save_model(model, scratch_path(t.spark, "denoiser"), "denoiser", denoiser.FEATURES, known, "label_numeric", threshold=0.5)
     return artifacts.score_stored(everything, path).select("id", "denoised_score", "is_noise")
